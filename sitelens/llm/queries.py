@@ -6,6 +6,7 @@ from sitelens.llm import op5_decontaminate as op5
 from sitelens.llm.op2_bpe import op2_bpe_encode_decode
 from sitelens.llm.op3_token_counts import op3_token_counts
 from sitelens.llm.op6_token_files import op6_token_files
+from sitelens.llm.op9_suffix_dedup import op9_suffix_dedup
 from sitelens.llm.op10_probminhash import op10_probminhash
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_decontaminate": op5.op5_decontaminate,
     "op6_token_files": op6_token_files,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_probminhash": op10_probminhash,
 }
 ORACLE = {
