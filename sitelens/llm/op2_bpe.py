@@ -7,12 +7,13 @@ included; columns other than doc_id and text are not read. One pass over the inp
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm.bpe import BpeModel, ids_bytes
+from sitelens.llm.bpe import BpeModel
 from sitelens.llm.common import id_text, map_batches, read_table, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,12 +23,17 @@ def model(path: str) -> BpeModel:
     return worker_cache(f"bpe:{path}", lambda: BpeModel(path))
 
 
+def slices(texts: pa.Array, rows: int = 500) -> Iterator[list[str | None]]:
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows).to_pylist()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids ARRAY<INT>: the exact ids of every text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model(path)
-        ids = [m.encode(t) for t in batch.column(1).to_pylist()]
+        ids = [x.tolist() for part in slices(batch.column(1)) for x in m.encode_batch(part)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return map_batches(id_text(docs), run, "doc_id long, ids array<int>")
@@ -50,11 +56,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model(path)
         n, ids_sha, text_sha = [], [], []
-        for text in batch.column(1):
-            ids = m.encode(text.as_py())
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(ids_bytes(ids)).hexdigest())
-            text_sha.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
+        for part in slices(batch.column(1)):
+            for ids in m.encode_batch(part):
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                text_sha.append(hashlib.sha256(m.decode(ids.tolist()).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(id_text(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
