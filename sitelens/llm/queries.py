@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sitelens.llm import op5_decontaminate as op5
+from sitelens.llm import op7_line_frequency as op7
 from sitelens.llm.op2_bpe import op2_bpe_encode_decode
 from sitelens.llm.op3_token_counts import op3_token_counts
 from sitelens.llm.op6_token_files import op6_token_files
@@ -14,9 +15,11 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_decontaminate": op5.op5_decontaminate,
     "op6_token_files": op6_token_files,
+    "op7_line_frequency": op7.op7_line_frequency,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_probminhash": op10_probminhash,
 }
 ORACLE = {
     "op5_decontaminate": op5.SQL,
+    "op7_line_frequency": op7.SQL,
 }
