@@ -11,9 +11,10 @@ to with probability (1 - 0.8^ROWS)^BANDS = 7e-6) and whose exact J_P is THRESHOL
 1. Texts with the same words are one node, the smallest doc_id; copies are never paired.
 2. In each band's bucket, the node that shares the most buckets is the leader; each node is verified against the leader it
    meets most often. In a group of copies of one text this finds the text, and one pair a node joins the group.
-3. Buckets whose nodes are in one class are done. In the others all pairs between classes that are left are compared by their
-   registers in tiles of at most TILE nodes a side, and those that may reach the threshold are verified; so no link is lost
-   to the choice of leaders, and a bucket of any size is worked on by many tasks.
+3. Buckets whose nodes are in one class are done. Of the others, those of two nodes are one pair, verified if it wasn't yet.
+   Larger ones are dealt out in tiles of about TILE nodes a side; a task holds two tiles, compares all their nodes of
+   different classes through an inverted index of shingles, each pair in its first common band, and gives one link for each
+   node and class. So no link is lost to the choice of leaders, and a bucket of any size is worked on by many tasks.
 
 Null texts and texts without words are classes of their own. A null doc_id has a null class and links nothing. Repeated rows
 give repeated rows; different texts under one doc_id are taken as one node. An empty table gives an empty result.
@@ -24,87 +25,82 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import Memo, id_text, map_batches, materialise, mix64, read_table, worker_cache
+from sitelens.llm.common import id_text, map_batches, materialise, mix64, read_table
 from sitelens.llm.graph import components
-from sitelens.llm.words import words
+from sitelens.llm.words import hashed_words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 30
 M = ROWS * BANDS
-TILE = 1024
-#: Registers that agree by chance have a standard deviation of 0.033 at 0.8; pairs four of them below aren't verified.
-LEAST_AGREEING = int(M * (THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5))
-LIKELIEST = 8
+TILE = 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xD1B54A32D192ED03)
-
-
-def word_hashes() -> Memo:
-    return worker_cache("word64", lambda: Memo(xxhash.xxh3_64_intdigest, 400_000))
+#: Shingle hashes have 54 bits, so that with the number of a text (of TEXTS) they are one sortable integer.
+BITS = np.uint64(54)
+TEXTS = 1000
+EPSILON = 1e-9
 
 
 def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (text number, shingle hash, weight), sorted by the first two, and a 128-bit key of each text's words as 2 x uint64."""
-    known = word_hashes()
-    per = [words(t) for t in texts]
-    n = np.array([len(x) for x in per], dtype=np.int64)
-    flat = np.fromiter((known[w] for x in per for w in x), dtype=np.uint64, count=int(n.sum()))
+    """Rows (text number, shingle hash, weight), sorted by the first two, and a 128-bit key of each text's words as 2 x uint64.
+    At most TEXTS texts."""
+    if len(texts) > TEXTS:
+        raise ValueError("too many texts at once")
+    flat, n = hashed_words(texts)
     keys = np.zeros((len(texts), 2), dtype=np.uint64)
-    doc = np.repeat(np.arange(len(texts)), n)
-    first = np.cumsum(n) - n
-    place = (np.arange(len(flat)) - np.repeat(first, n)).astype(np.uint64)
-    for k, salt in enumerate((GOLDEN, SALT)):
-        mixed = mix64(flat ^ mix64(place * salt + salt))
-        if len(flat):
-            total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
-            keys[:, k] = mix64(total[first + n] - total[first] + n.astype(np.uint64))
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0), keys
+    last = np.cumsum(n)
+    first = last - n
+    doc = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(flat)) - first[doc]
+    plain = np.concatenate([[np.uint64(0)], np.cumsum(flat, dtype=np.uint64)])
+    placed = np.concatenate([[np.uint64(0)], np.cumsum(flat * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
+    keys[:, 0] = mix64(plain[last] - plain[first] + n.astype(np.uint64))
+    keys[:, 1] = mix64((placed[last] - placed[first]) ^ SALT)
     h = np.zeros(len(flat), dtype=np.uint64)
-    left = np.repeat(n, n) - place.astype(np.int64)  # words from here to the end
+    factor = GOLDEN
     for k in range(size):
-        shifted = np.concatenate([flat[k:], np.zeros(min(k, len(flat)), np.uint64)])[: len(flat)]
-        h = np.where(left > k, mix64((h ^ shifted) + GOLDEN), h)
-    starts = (left >= size) | (place == 0)
-    doc, h = doc[starts], h[starts]
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
-    at = np.flatnonzero(new)
-    return doc[at], h[at], np.diff(np.append(at, len(doc))).astype(np.float64), keys
+        h[: len(flat) - k] += flat[k:] * factor
+        factor = np.uint64(int(factor) * int(GOLDEN) % 2**64)
+    full = place + size <= n[doc]
+    short = np.flatnonzero((n > 0) & (n < size))
+    h[first[short]] = keys[short, 0] ^ keys[short, 1]
+    full[first[short]] = True
+    key = np.sort(doc[full].astype(np.uint64) << BITS | mix64(h[full]) >> (np.uint64(64) - BITS))
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    weight = np.diff(np.append(at, len(key))).astype(np.float64)
+    return (key[at] >> BITS).astype(np.int64), key[at] & ((np.uint64(1) << BITS) - np.uint64(1)), weight, keys
 
 
 def prob_min_hash(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int, m: int = M) -> np.ndarray:
     """n_docs x m registers; a document without shingles has zeros."""
-    time = np.full((n_docs, m), np.inf)
-    held = np.zeros((n_docs, m), dtype=np.uint64)
+    time = np.full(n_docs * m, np.inf)
+    held = np.zeros(n_docs * m, dtype=np.uint64)
     at, arrival, turn = np.arange(len(h)), np.zeros(len(h)), 0
     while len(at):
         turn += 1
         r = mix64(h[at] + np.uint64(turn * int(GOLDEN) % 2**64))
         arrival = arrival - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / w[at]
-        place = doc[at] * m + (mix64(r ^ SALT) % np.uint64(m)).astype(np.int64)
-        flat = time.reshape(-1)
-        early = np.flatnonzero(arrival < flat[place])
-        order = early[np.lexsort((arrival[early], place[early]))]
-        where = place[order]
-        lead = np.concatenate([[True], where[1:] != where[:-1]]) if len(order) else np.zeros(0, bool)
-        flat[where[lead]] = arrival[order[lead]]
-        held.reshape(-1)[where[lead]] = h[at[order[lead]]]
-        live = np.unique(doc[at]) if len(at) * 4 < n_docs else np.arange(n_docs)
-        latest = np.zeros(n_docs)
-        latest[live] = time[live].max(axis=1)
+        place = doc[at] * m + ((r * SALT >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(time, place, arrival)
+        lead = arrival == time[place]
+        held[place[lead]] = h[at[lead]]
+        if len(at) * 4 < n_docs:
+            live = np.unique(doc[at])
+            latest = np.zeros(n_docs)
+            latest[live] = time.reshape(n_docs, m)[live].max(axis=1)
+        else:
+            latest = time.reshape(n_docs, m).max(axis=1)
         on = arrival < latest[doc[at]]
         at, arrival = at[on], arrival[on]
-    return held
+    return held.reshape(n_docs, m)
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -125,155 +121,208 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / ((from_x[split] + only_a) / x + (upto_y[split] + only_b) / y)).sum())
 
 
-SIGNATURE = "doc_id long, key binary, bands array<long>, registers binary"
+def slices(column: pa.Array, rows: int = TEXTS, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many rows and bytes, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    at = total = 0
+    for i, n in enumerate(lengths):
+        if i > at and (i - at >= rows or total + n > size):
+            yield at, i - at
+            at, total = i, 0
+        total += n
+    if at < len(lengths):
+        yield at, len(lengths) - at
+
+
+def weighted_sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingle hashes and weights of each text."""
+    out = []
+    for at, size in slices(column):
+        doc, h, w, _ = shingles(column.slice(at, size).to_pylist())
+        cut = np.searchsorted(doc, np.arange(size + 1))
+        out += [(h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]) for i in range(size)]
+    return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the words (null without words), band hashes and one byte of each register."""
+    """doc_id, key of the words (null without words) and band hashes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys_out, bands_out, regs_out = [], [], []
+        keys_out, bands_out = [], []
         for at, size in slices(batch.column(1)):
-            texts = batch.column(1).slice(at, size).to_pylist()
-            doc, h, w, keys = shingles(texts)
-            held = prob_min_hash(doc, h, w, len(texts))
-            band = np.zeros((len(texts), BANDS), dtype=np.uint64)
+            doc, h, w, keys = shingles(batch.column(1).slice(at, size).to_pylist())
+            held = prob_min_hash(doc, h, w, size)
+            band = np.zeros((size, BANDS), dtype=np.uint64)
             for k in range(ROWS):
                 band = mix64((band ^ held[:, k::ROWS]) + GOLDEN)
-            band = mix64(band ^ np.arange(BANDS, dtype=np.uint64) * SALT).view(np.int64).tolist()
-            some = np.zeros(len(texts), bool)
+            band = mix64(band ^ np.arange(BANDS, dtype=np.uint64) * SALT).view(np.int64)
+            some = np.zeros(size, bool)
             some[doc] = True
-            small = (held >> np.uint64(56)).astype(np.uint8)
             for i, ok in enumerate(some.tolist()):
                 keys_out.append(keys[i].tobytes() if ok else None)
                 bands_out.append(band[i] if ok else None)
-                regs_out.append(small[i].tobytes() if ok else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys_out, pa.binary()), pa.array(bands_out, pa.list_(pa.int64())), pa.array(regs_out, pa.binary())], names=["doc_id", "key", "bands", "registers"])
-
-    return map_batches(id_text(docs), run, SIGNATURE)
-
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys_out, pa.binary()), pa.array(bands_out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
-def slices(column: pa.Array, rows: int = 1000, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of at most so many rows and bytes, one row at least."""
-    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-    at = total = 0
-    for i, n in enumerate(lengths):
-        if i > at and (i - at >= rows or total + n > size):
-            yield at, i - at
-            at, total = i, 0
-        total += n
-    if at < len(lengths):
-        yield at, len(lengths) - at
+    return map_batches(id_text(docs), run, "doc_id long, key binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids whose texts have a J_P of threshold or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    own = texts.select("doc_id", "text").hint("merge")
+    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
-        for at, size in slices(batch.column(2)):
+        for at in range(0, batch.num_rows, TEXTS):
             sides = []
             for k in (2, 3):
-                texts = batch.column(k).slice(at, size).to_pylist()
-                distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-                doc, h, w, _ = shingles(list(distinct))
-                cut = np.searchsorted(doc, np.arange(len(distinct) + 1))
-                sides.append([(h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]) for i in map(distinct.__getitem__, texts)])
-            keep += [probability_jaccard(x, y) >= threshold for x, y in zip(*sides, strict=True)]
+                coded = batch.column(k).slice(at, TEXTS).dictionary_encode()
+                sets = weighted_sets(coded.dictionary)
+                sides.append([sets[i] for i in coded.indices.to_pylist()])
+            keep += [probability_jaccard(x, y) >= threshold - EPSILON for x, y in zip(*sides, strict=True)]
         mask = pa.array(keep, pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def cross_pairs(postings: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes in one bucket and different classes whose registers agree often enough; each in its first common
-    band. postings: band, doc_id, label of the buckets that hold more than one class. most: for each node and class of a tile
-    only so many pairs, those that agree most; a later call without it gives the others."""
+def tiled(postings: DataFrame, tile: int = TILE) -> DataFrame:
+    """Deals the nodes of each bucket (band, doc_id, label) into tiles and names the pairs of tiles each takes part in: x a tile
+    of nodes outside the bucket's largest class, y another such tile, or one of the largest class, numbered below 0. Nodes of
+    the largest class aren't compared with each other."""
     sizes = postings.groupBy("band", "label").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    marked = postings.join(top, "band").select("band", "doc_id", "label", (F.col("label") == F.col("top")).alias("in_top"))
-    counts = marked.groupBy("band").agg(F.count_if("in_top").alias("n_top"), F.count_if(~F.col("in_top")).alias("n_rest"))
-    tiles = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / TILE)).cast("int")
-    dealt = marked.join(counts, "band").select("band", "doc_id", "label", "in_top", tiles("n_top").alias("a"), tiles("n_rest").alias("b"))
+    top = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n"))
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / tile)).cast("int")
+    dealt = postings.join(top, "band").select("band", "doc_id", "label", (F.col("label") == F.col("top")).alias("in_top"), tiles(F.col("n_top")).alias("a"), tiles(F.col("n") - F.col("n_top")).alias("b"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("in_top"), F.col("a")).otherwise(F.col("b"))).cast("int"))
-    # a tile pair is named (rest tile, other tile); other tiles of the largest class are numbered below 0
     with_top = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda r: F.struct(r.alias("x"), (-1 - F.col("own")).alias("y")))
     rest_top = F.transform(F.sequence(F.lit(1), F.col("a")), lambda t: F.struct(F.col("own").alias("x"), (-t).alias("y")))
     rest_rest = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda r: F.struct(F.least(r, "own").alias("x"), F.greatest(r, "own").alias("y")))
     spread = dealt.withColumn("tile", F.explode(F.when(F.col("in_top"), with_top).otherwise(F.concat(rest_top, rest_rest))))
-    rows = spread.join(nodes.select("doc_id", "bands", "registers"), "doc_id").select("band", "tile.x", "tile.y", "doc_id", "label", "in_top", "own", "bands", "registers")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        band, x, y = key
-        regs = np.frombuffer(b"".join(pdf["registers"]), np.uint8).reshape(len(pdf), M)
-        bands = np.array(pdf["bands"].tolist(), dtype=np.int64)
-        label, ids = pdf["label"].to_numpy(), pdf["doc_id"].to_numpy()
-        left = np.flatnonzero((~pdf["in_top"] & (pdf["own"] == x)).to_numpy())
-        right = np.flatnonzero(pdf["in_top"].to_numpy() if y < 0 else (~pdf["in_top"] & (pdf["own"] == y)).to_numpy())
-        mine = int(np.flatnonzero(bands[0] == band)[0])
-        found = []
-        for i in left.tolist():
-            others = right[(label[right] != label[i]) & ((ids[right] > ids[i]) | (y < 0) | (x != y))]
-            others = others[(regs[others] == regs[i]).sum(axis=1) >= LEAST_AGREEING]
-            if mine:
-                others = others[~(bands[others, :mine] == bands[i, :mine]).any(axis=1)]
-            if most and len(others) > most:
-                agree = (regs[others] == regs[i]).sum(axis=1)
-                others = others[np.lexsort((ids[others], -agree, label[others]))]
-                own_class = label[others]
-                first = np.flatnonzero(np.concatenate([[True], own_class[1:] != own_class[:-1]]))
-                others = others[np.arange(len(others)) - np.repeat(first, np.diff(np.append(first, len(others)))) < most]
-            found += [(ids[i], ids[o]) for o in others]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return rows.groupBy("band", "x", "y").applyInPandas(compare, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    return spread.select("band", "tile.x", "tile.y", "doc_id", "label", "in_top", "own")
+
+
+def compare(band: int, x: int, y: int, rows: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    """Links between the nodes of two tiles: for each node of the first, one with each class of the second it has a link to."""
+    ids, label, own = (rows.column(k).to_numpy() for k in ("doc_id", "label", "own"))
+    in_top = rows.column("in_top").to_numpy()
+    left = np.flatnonzero(~in_top & (own == x))
+    right = np.flatnonzero(in_top if y < 0 else ~in_top & (own == y))
+    if not len(left) or not len(right):
+        return []
+    sets = weighted_sets(rows.column("text").combine_chunks())
+    bands = np.array(rows.column("bands").to_pylist(), dtype=np.int64)
+    mine = int(np.flatnonzero(bands[0] == band)[0])
+    flat = np.concatenate([sets[i][0] for i in right])
+    size = np.array([len(sets[i][0]) for i in right])
+    share = np.concatenate([sets[i][1] / sets[i][1].sum() for i in right])
+    order = np.argsort(flat, kind="stable")
+    flat, share, owner = flat[order], share[order], np.repeat(np.arange(len(right)), size)[order]
+    plain = np.array([bool((s[1] == 1).all()) for s in sets])
+    found = []
+    for i in left.tolist():
+        h, w = sets[i]
+        lo, hi = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        may = (label[right] != label[i]) & (ids[right] != ids[i]) & ((ids[right] > ids[i]) | (x != y))
+        if mine:
+            may &= ~(bands[right, :mine] == bands[i, :mine]).any(axis=1)
+        # a register agrees with at most the mass that the two share; where all weights are 1, J_P is |common| / |either|
+        mass = np.bincount(owner[at], np.minimum(share[at], np.repeat(w / w.sum(), n)), len(right))
+        may &= mass >= threshold - EPSILON
+        if plain[i]:
+            common = np.bincount(owner[at], minlength=len(right))
+            may &= ~plain[right] | (common >= (threshold - EPSILON) * (size + len(h) - common))
+        done: set[int] = set()
+        for k in np.flatnonzero(may)[np.argsort(-mass[may], kind="stable")].tolist():
+            other = int(right[k])
+            if label[other] not in done and (plain[i] and plain[other] or probability_jaccard(sets[i], sets[other]) >= threshold - EPSILON):
+                done.add(label[other])
+                found.append((int(ids[i]), int(ids[other])))
+    return found
+
+
+def cross_links(tiles: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) within pairs of tiles; nodes: doc_id, bands, text. A task holds one pair of tiles at a time."""
+    rows = tiles.join(nodes.hint("merge"), "doc_id").select("band", "x", "y", "doc_id", "label", "in_top", "own", "bands", "text")
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
+
+        def finish() -> list[tuple[int, int]]:
+            return compare(*name, pa.Table.from_batches(held), threshold) if held else []
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            found: list[tuple[int, int]] = []
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != name:
+                    found += finish()
+                    held, name = [], keys[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+            yield links_batch(found)
+        yield links_batch(finish())
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_texts (different word sequences in it) for every row."""
     docs = id_text(docs)
     sigs = materialise(signatures(docs), "signatures")
     same = materialise(sigs.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node")), "same-words")
-    nodes = sigs.where("key IS NOT NULL").join(same.select(F.col("node").alias("doc_id"), F.col("key").alias("own")), "doc_id").where("key = own").select("doc_id", "bands", "registers").dropDuplicates(["doc_id"])
+    nodes = sigs.where("key IS NOT NULL").join(same.select(F.col("node").alias("doc_id"), F.col("key").alias("own")).hint("merge"), "doc_id").where("key = own").select("doc_id", "bands").dropDuplicates(["doc_id"])
     nodes = materialise(nodes, "nodes")
     postings = nodes.select("doc_id", F.explode("bands").alias("band"))
     buckets = postings.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(postings.join(buckets, "band"), "buckets")
+    shared = materialise(postings.join(buckets.hint("merge"), "band"), "buckets")
 
     # the node that meets the most others is the leader of its buckets
-    rank = shared.groupBy("doc_id").agg(F.sum("n").alias("met"))
-    ranked = shared.join(rank, "doc_id").select("band", "doc_id", "met")
-    leaders = ranked.groupBy("band").agg(F.max(F.struct("met", -F.col("doc_id"))).alias("top")).select("band", (-F.col("top.col2")).alias("leader"), F.col("top.met").alias("leader_met"))
-    met = shared.join(leaders, "band").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("times"), F.max("leader_met").alias("leader_met"))
+    rank = materialise(shared.groupBy("doc_id").agg(F.sum("n").alias("met")), "candidates")
+    ranked = shared.join(rank.hint("merge"), "doc_id").select("band", "doc_id", "met")
+    leaders = ranked.groupBy("band").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("leader"), F.col("top.met").alias("leader_met"))
+    met = shared.join(leaders.hint("merge"), "band").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("times"), F.max("leader_met").alias("leader_met"))
     best = met.groupBy("doc_id").agg(F.max(F.struct("times", "leader_met", (-F.col("leader")).alias("minus"))).alias("top")).select(F.col("doc_id").alias("a"), (-F.col("top.minus")).alias("b"))
-    edges = materialise(verified(materialise(best, "led"), docs), "links")
+    best = materialise(best, "led")
+    # texts of the nodes that meet any other; the only shuffle of all texts
+    own = nodes.join(rank.select("doc_id").hint("merge"), "doc_id")
+    texts = materialise(docs.join(own.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "bands", "text"), "texts")
+    edges = materialise(verified(best, texts, threshold), "links")
     labels = components(edges)
 
-    # what is left: first the likeliest pairs of each node and class, then all those that are still between classes
-    for most in (LIKELIEST, None):
-        classed = shared.select("band", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        classed = materialise(classed, "classed")
-        mixed = classed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        rest = materialise(classed.join(mixed, "band", "left_semi"), "mixed-buckets")
-        more = materialise(cross_pairs(rest, nodes, most), "cross-pairs")
-        if not more.limit(1).count():
-            break
-        links = materialise(verified(more, docs), "links")
-        if links.limit(1).count():
-            edges = edges.union(links)
-            labels = components(edges)
-
-    classes = same.join(labels.select("node", "label"), "node", "left").select("key", F.coalesce("label", "node").alias("label"))
+    # what is left between classes
+    classed = shared.join(labels.select(F.col("node").alias("doc_id"), "label").hint("merge"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    classed = materialise(classed, "classed")
+    mixed = classed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("n").alias("n")).where("low <> high")
+    mixed = materialise(mixed, "mixed-buckets")
+    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    twos = materialise(mixed.where("n = 2").select("a", "b").distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    rest = classed.join(mixed.where("n > 2").select("band").hint("merge"), "band", "left_semi").select("band", "doc_id", "label")
+    more = materialise(verified(twos, texts, threshold).union(cross_links(tiled(rest, tile), texts, threshold)), "links")
+    if more.limit(1).count():
+        labels = components(edges.union(more))
+
+    classes = same.join(labels.select("node", "label").hint("merge"), "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     classes = materialise(classes, "classes")
     sizes = classes.groupBy("label").agg(F.count("*").alias("texts"))
-    named = materialise(classes.join(sizes, "label").select("key", "label", "texts"), "named-classes")
+    named = materialise(classes.join(sizes.hint("merge"), "label").select("key", "label", "texts"), "named-classes")
     out = sigs.select("doc_id", "key").join(named, "key", "left")
-    own = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(own, F.coalesce("label", "doc_id")).alias("class_id"), F.when(own, F.coalesce("texts", F.lit(1))).cast("long").alias("class_texts"))
+    own_class = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.when(own_class, F.coalesce("label", "doc_id")).alias("class_id"), F.when(own_class, F.coalesce("texts", F.lit(1))).cast("long").alias("class_texts"))
 
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

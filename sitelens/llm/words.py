@@ -4,9 +4,42 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
+from sitelens.llm.common import mix64
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_IN_WORD = np.zeros(256, dtype=bool)
+_IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+#: A value for each byte, of its lower case, and the odd factor of each place in a word.
+_VALUE = mix64((_LOWER.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+_FACTOR = 0xD6E8FEB86659FD93
+
 
 def words(text: str | None) -> list[bytes]:
     """Runs of digits, letters and non-ASCII characters, A-Z in lower case; bytes.lower() leaves other letters alone."""
     return WORD.findall(text.encode().lower()) if text else []
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each of the words of all texts, in order, and the number of words of each text."""
+    raw = [(t or "").encode() for t in texts]
+    buf = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    size = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+    inside = _IN_WORD[buf]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(at, np.concatenate([[0], np.cumsum(size)])))
+    if not len(at):
+        return np.zeros(0, np.uint64), counts
+    kept = buf[inside]
+    first = np.flatnonzero(begins[inside])
+    length = np.diff(np.append(first, len(kept)))
+    place = np.arange(len(kept)) - np.repeat(first, length)
+    powers = np.multiply.accumulate(np.concatenate([[1], np.full(int(length.max()), _FACTOR, np.uint64)]).astype(np.uint64))
+    total = np.add.reduceat(_VALUE[kept] * powers[place], first)
+    return mix64(total + length.astype(np.uint64)), counts
