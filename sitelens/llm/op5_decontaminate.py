@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,15 @@ def covered(spans) -> int:
 FOUND = "doc_id long, text string, spans array<int>, items array<long>"
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, int, list[tuple[int | None, str]]]]:
+    """Number, count and items of the benchmark's blocks , each of about block_bytes, one at least."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, math.ceil(size / block_bytes))
+    for k in range(passes):
+        yield k, passes, [(r[0], r[1]) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
+
+
 def _search_pass(df: DataFrame, items: list[tuple[int | None, str]], window: int) -> DataFrame:
     """Adds what one block of items finds to spans (start, end, start, end ...) and items."""
     shipped = df.sparkSession.sparkContext.broadcast(items)
@@ -116,18 +126,33 @@ def _search_pass(df: DataFrame, items: list[tuple[int | None, str]], window: int
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text, spans (word starts and ends, in turn), items (ids of the items found, in order)."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, math.ceil(size / block_bytes))
     out = id_text(docs).select("doc_id", "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<long>").alias("items"))
-    for k in range(passes):
-        items = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        out = _search_pass(out, [(r[0], r[1]) for r in items], window)
+    for k, passes, items in _blocks(benchmark, block_bytes):
+        out = _search_pass(out, items, window)
         if k % STACKED == STACKED - 1 and k + 1 < passes:
             out = materialise(out, "occurrences")
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no window of any item."""
+    at = docs.columns.index("text")
+    for k, passes, items in _blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(items), at, window), docs.schema)
+        if k % STACKED == STACKED - 1 and k + 1 < passes:
+            docs = materialise(docs, "clean")
+    return docs
+
+
+def _without(shipped, at: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = WuManber([(i, words(t)) for i, t in shipped.value], window)
+        for batch in batches:
+            yield batch.filter(pa.array([not tables.search(words(t.as_py()))[0] for t in batch.column(at)], pa.bool_()))
+
+    return run
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the spans found."""
 
