@@ -1,16 +1,524 @@
-"""Every registered query of the audit engine, with its SQL for the oracle."""
+"""Every registered query of the audit engine, each beside its SQL for the oracle. Inputs are those of bridge.py."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelens import constants as K
+from sitelens.functions import html, text, urls
+from sitelens.operators import accuracy, checks, manifest, report, robots, scoring, signals, sitemap, study
+from sitelens.plans import bridge as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+FLAGSHIP = "access_score"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- shared plans -------------------------------------------------------------------------------------------------------
+
+
+def featured(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    """Pages with their features in place of their HTML; kept where more than one grouping reads them."""
+    p = B.pages(spark, sf_dir).withColumn("f", html.features(F.col("html"), F.col("url"))).drop("html")
+    return p.persist(StorageLevel.MEMORY_AND_DISK) if keep else p
+
+
+def site_verdicts(spark: SparkSession, sites: DataFrame) -> DataFrame:
+    """A body is judged once, however many sites share it."""
+    return sites.select("domain", "robots_id").join(robots.verdicts(B.bodies(spark)), "robots_id")
+
+
+def audited(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sites, verdicts and check results."""
+    s = B.sites(spark, sf_dir)
+    v = site_verdicts(spark, s)
+    return s, v, checks.checks(s, featured(spark, sf_dir), v, only)
+
+
+def site_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    s, v, r = audited(spark, sf_dir)
+    blanket = s.select("domain", "robots_id").join(robots.blanket_disallow(B.bodies(spark)), "robots_id").select("domain", "blanket")
+    return s, v, r, scoring.scores(s, r, scoring.caps(v, blanket))
+
+
+ACCESS = tuple(i for c, i, _ in K.RUBRIC if c == "access")
+
+# ---- shared SQL ---------------------------------------------------------------------------------------------------------
+
+_AGENTS = B.values([(i, *a[:5]) for i, a in enumerate(K.AGENTS)], "t", "pos, token, vendor, bucket, obeys, ai_only")
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_LINES = rf"""
+r AS (SELECT * FROM {B.values(list(enumerate(B.BODIES)), "t", "robots_id, body")}),
+l0 AS (SELECT robots_id, unnest(a) AS line, unnest(range(len(a))) AS pos FROM (SELECT robots_id, string_split_regex(body, '\r\n|[\n\r]') AS a FROM r WHERE body IS NOT NULL)),
+d AS (SELECT robots_id, pos, lower({_STRIP.format("split_part(c, ':', 1)")}) AS field, {_STRIP.format("substr(c, strpos(c, ':') + 1)")} AS value
+      FROM (SELECT robots_id, pos, split_part(line, '#', 1) AS c FROM l0) WHERE strpos(c, ':') > 0)"""
+_GROUPS = f"""{_LINES},
+g AS (SELECT *, sum(opens) OVER (PARTITION BY robots_id ORDER BY pos) AS gid
+      FROM (SELECT *, CASE WHEN field = 'user-agent' AND coalesce(lag(field) OVER (PARTITION BY robots_id ORDER BY pos), '') <> 'user-agent' THEN 1 ELSE 0 END AS opens FROM d)),
+an AS (SELECT robots_id, gid, pos, value AS agent FROM g WHERE gid > 0 AND field = 'user-agent'),
+ru AS (SELECT robots_id, gid, pos, field, value FROM g WHERE gid > 0 AND field IN ('allow', 'disallow'))"""
+_REGEX = r"'^' || regexp_replace(regexp_replace(regexp_replace(value, '([\\.\[\](){}+?^|$])', '\\\1', 'g'), '\\\$$', '$'), '\*+', '.*', 'g')"
+
+
+def _select(tokens: str) -> str:
+    return rf"""{_GROUPS},
+ag AS (SELECT * FROM {tokens}),
+w AS (SELECT r.robots_id, ag.token, max(CASE WHEN an.agent <> '*' AND starts_with(lower(ag.token), lower(an.agent)) THEN length(an.agent) END) AS size
+      FROM r CROSS JOIN ag LEFT JOIN an ON an.robots_id = r.robots_id GROUP BY ALL),
+m AS (SELECT w.robots_id, w.token, an.gid, an.pos, an.agent FROM w JOIN an ON an.robots_id = w.robots_id AND lower(an.agent) = CASE WHEN w.size IS NULL THEN '*' ELSE lower(left(w.token, w.size)) END),
+wn AS (SELECT robots_id, token, arg_min(agent, pos) AS winner FROM m GROUP BY ALL),
+mr AS (SELECT x.robots_id, x.token, ru.pos, ru.field, ru.value, row_number() OVER (PARTITION BY x.robots_id, x.token ORDER BY ru.pos) AS k
+       FROM (SELECT DISTINCT robots_id, token, gid FROM m) x JOIN ru ON ru.robots_id = x.robots_id AND ru.gid = x.gid)"""
+
+
+_VERDICTS = rf"""{_select(_AGENTS)},
+dec AS (SELECT robots_id, token, arg_max(field = 'allow', 2 * length(value) + (field = 'allow')::INT) AS allowed FROM mr WHERE value <> '' AND regexp_matches('/', {_REGEX}) GROUP BY ALL),
+v AS (SELECT r.robots_id, ag.*, coalesce(dec.allowed, TRUE) AS allowed FROM r CROSS JOIN ag LEFT JOIN dec ON dec.robots_id = r.robots_id AND dec.token = ag.token)"""
+_BLANKET = f"""{_select("(VALUES ('*')) AS t(token)")},
+b AS (SELECT r.robots_id, coalesce(bool_or(field = 'disallow' AND value = '/') AND NOT bool_or(field = 'allow' AND value <> ''), FALSE) AS blanket FROM r LEFT JOIN mr ON mr.robots_id = r.robots_id GROUP BY r.robots_id)"""
+_SITES = f"{B.SQL_PAGES},{B.SQL_SITES}"
+_SITE_VERDICTS = f"{_SITES},{_VERDICTS},\nsv AS (SELECT s.domain, v.* FROM s JOIN v USING (robots_id))"
+_TEXT = r"""length(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'),
+ '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')))"""
+_SCRIPT = "coalesce(list_sum(list_transform(regexp_extract_all(html, '<script[^>]*>(.*?)</script>', 1, 's'), lambda x: length(x))), 0)"
+_LEVELS = "list_transform(regexp_extract_all(regexp_replace(html, '<!--.*?-->|<script[^>]*>.*?</script>', '', 'gs'), '<h([1-6])', 1), lambda x: x::INT)"
+_TITLE = r"replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '\s+', ' ', 'g')), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')".replace('\\"', '"')
+_FEATURES = f"""
+tx AS (SELECT *, {_TEXT} AS text_chars, {_SCRIPT} AS script_chars, {_LEVELS} AS levels_all, {_TITLE} AS title FROM p),
+sc AS (SELECT *, CASE WHEN text_chars < {K.TEXT_EMPTY} THEN 0 WHEN script_chars > {K.SCRIPT_HEAVY} * text_chars THEN 0.25 WHEN text_chars < {K.TEXT_THIN} THEN 0.5 ELSE 1 END AS raw_score,
+              len(list_filter(levels_all, lambda x: x = 1)) AS h1, len(list_filter(range(2, len(levels_all) + 1), lambda i: levels_all[i] > levels_all[i - 1] + 1)) AS jumps,
+              CASE WHEN has THEN description ELSE '' END AS descr FROM tx)"""
+_LOGIN = "|".join(K.LOGIN_PATHS)
+_PAGE_FACTS = f"""
+pf AS (SELECT *, status = 200 AND NOT regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '{_LOGIN}') AS open,
+              NOT (x_robots = '{B.X_ROBOTS[5]}') AND NOT (has AND noindex) AS clean FROM p)"""
+_ACCESS = f"""{_SITE_VERDICTS},{_PAGE_FACTS},
+cf AS (SELECT domain, count(*) FILTER (WHERE bucket = 'citation' AND allowed) AS ca, count(*) FILTER (WHERE bucket = 'citation') AS ct,
+              count(*) FILTER (WHERE bucket = 'user_fetch' AND (allowed OR obeys <> 'yes')) AS ur, count(*) FILTER (WHERE bucket = 'user_fetch') AS ut FROM sv GROUP BY domain),
+pa AS (SELECT domain, count(*) AS n, count(*) FILTER (WHERE open) AS open, count(*) FILTER (WHERE clean) AS clean FROM pf GROUP BY domain),
+ra AS (SELECT s.domain, s.robots_id, cf.ca, 50.0 * cf.ca / cf.ct + 20.0 * cf.ur / cf.ut + 15.0 * pa.open / pa.n + CASE WHEN s.reachable IS NULL THEN 0 ELSE 10 END + 5.0 * pa.clean / pa.n AS exact
+       FROM s JOIN cf USING (domain) JOIN pa USING (domain))"""
+_LETTER = "CASE WHEN {0} >= 90 THEN 'A' WHEN {0} >= 75 THEN 'B' WHEN {0} >= 60 THEN 'C' WHEN {0} >= 40 THEN 'D' ELSE 'F' END"
+#: bodies whose * group shuts everything, as a relation of its own beside the verdicts
+_SHUT = f"sh AS (WITH {_BLANKET} SELECT * FROM b)"
+_SCORED = f"""{_ACCESS},{_SHUT},
+fa AS (SELECT domain, raw, cap, CASE WHEN raw > cap THEN cap ELSE raw END AS final FROM (
+       SELECT ra.domain, round_even(ra.exact, 2) AS raw, CASE WHEN ra.ca = 0 THEN CASE WHEN sh.blanket THEN {K.CAP_BLANKET} ELSE {K.CAP_NO_CITATION} END END AS cap FROM ra JOIN sh ON sh.robots_id = ra.robots_id))"""
+
+# ---- pages --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {B.SQL_PAGES},{_FEATURES} SELECT page_id, text_chars::INT AS text_chars, script_chars::INT AS script_chars, title, h1::INT AS h1_count FROM sc")
+def page_text_volume(spark, sf_dir):
+    f = F.col("f")
+    return featured(spark, sf_dir).select(F.col("pos").alias("page_id"), f["text_chars"].alias("text_chars"), f["script_chars"].alias("script_chars"), f["title"].alias("title"), F.size(F.filter(f["headings"], lambda h: h["level"] == 1)).alias("h1_count"))
+
+
+@query(f"WITH {B.SQL_PAGES},{_FEATURES} SELECT domain, count(*) AS pages, count(*) FILTER (WHERE raw_score < 1) AS weak, sum(4 * raw_score)::BIGINT AS quarters FROM sc WHERE status = 200 GROUP BY domain")
+def raw_html_content_by_site(spark, sf_dir):
+    p = featured(spark, sf_dir).where("status = 200").withColumn("s", checks.page_raw())
+    return p.groupBy("domain").agg(F.count("*").alias("pages"), F.count_if(F.col("s") < 1).alias("weak"), F.sum(4 * F.col("s")).cast("long").alias("quarters"))
+
+
+@query(f"WITH {B.SQL_PAGES},{_FEATURES} SELECT page_id, unnest(range(1, len(levels_all) + 1))::INT AS pos, unnest(levels_all) AS level FROM sc")
+def heading_outline(spark, sf_dir):
+    p = featured(spark, sf_dir).select(F.col("pos").alias("page_id"), F.posexplode("f.headings").alias("k", "h"))
+    return p.select("page_id", (F.col("k") + 1).alias("pos"), F.col("h.level").alias("level"))
+
+
+@query(f"WITH {B.SQL_PAGES},{_FEATURES} SELECT page_id, jumps::INT AS jumps, h1::INT AS h1, (CASE WHEN h1 = 0 THEN 0 ELSE CASE WHEN h1 = 1 THEN 6 ELSE 0 END + CASE WHEN jumps = 0 THEN 4 ELSE 0 END END)::INT AS tenths FROM sc")
+def skipped_levels(spark, sf_dir):
+    levels = F.transform("f.headings", lambda h: h["level"])
+    return featured(spark, sf_dir).select(F.col("pos").alias("page_id"), F.size(checks.skipped_levels(levels)).alias("jumps"), F.size(F.filter(levels, lambda x: x == 1)).alias("h1"), F.round(10 * checks.heading_score(levels)).cast("int").alias("tenths"))
+
+
+@query(f"WITH {B.SQL_PAGES},{_FEATURES} SELECT page_id, length(title)::INT AS title_len, CASE WHEN title = '' THEN 'empty' WHEN length(title) BETWEEN 10 AND 70 THEN 'good' ELSE 'odd' END AS title_class, CASE WHEN descr = '' THEN 'empty' WHEN length(descr) BETWEEN 50 AND 160 THEN 'good' ELSE 'odd' END AS description_class FROM sc")
+def title_quality(spark, sf_dir):
+    named = lambda v, b: F.when(checks.field_score(v, b) == 0, "empty").when(checks.field_score(v, b) == 1, "good").otherwise("odd")
+    return featured(spark, sf_dir).select(F.col("pos").alias("page_id"), F.length("f.title").alias("title_len"), named(F.col("f.title"), K.TITLE_RANGE).alias("title_class"), named(F.col("f.description"), K.DESCRIPTION_RANGE).alias("description_class"))
+
+
+@query(f"WITH {B.SQL_PAGES},{_FEATURES} SELECT domain, count(*) AS pages, count(DISTINCT nullif(title, '')) AS distinct_titles, count(nullif(title, '')) > 0 AND count(DISTINCT nullif(title, '')) = count(nullif(title, '')) AS is_unique FROM sc WHERE status = 200 GROUP BY domain")
+def title_uniqueness(spark, sf_dir):
+    title = checks.page_title()
+    p = featured(spark, sf_dir).where("status = 200").groupBy("domain").agg(F.count("*").alias("pages"), F.count_distinct(title).alias("distinct_titles"), F.count(title).alias("titles"))
+    return p.select("domain", "pages", "distinct_titles", ((F.col("titles") > 0) & (F.col("titles") == F.col("distinct_titles"))).alias("is_unique"))
+
+
+@query(f"WITH {B.SQL_PAGES} SELECT page_id, CASE WHEN has AND types <> '' THEN len(string_split(types, ',')) ELSE 0 END::INT AS n_types, (has AND recognised > 0) AS recognised, CASE WHEN has THEN broken ELSE 0 END::INT AS broken FROM p")
+def jsonld_types(spark, sf_dir):
+    return featured(spark, sf_dir).select(F.col("pos").alias("page_id"), F.size("f.jsonld_types").alias("n_types"), checks.page_known().alias("recognised"), F.col("f.jsonld_broken").alias("broken"))
+
+
+@query(f"WITH {B.SQL_PAGES} SELECT page_id, has AND author AS has_author, has AND dated AS has_date FROM p")
+def author_dates(spark, sf_dir):
+    return featured(spark, sf_dir).select(F.col("pos").alias("page_id"), checks.has_author(F.col("f")).alias("has_author"), checks.has_date(F.col("f")).alias("has_date"))
+
+
+@query(f"WITH {B.SQL_PAGES} SELECT domain, count(*) AS pages, count(*) FILTER (WHERE NOT (has AND canonical = 'own')) AS faults FROM p WHERE status = 200 GROUP BY domain")
+def canonical_faults(spark, sf_dir):
+    return featured(spark, sf_dir).where("status = 200").groupBy("domain").agg(F.count("*").alias("pages"), F.count_if(checks.page_canonical().isNotNull()).alias("faults"))
+
+
+@query(f"WITH {B.SQL_PAGES},{_PAGE_FACTS} SELECT page_id, NOT clean AS flagged FROM pf")
+def noindex_flags(spark, sf_dir):
+    return featured(spark, sf_dir).select(F.col("pos").alias("page_id"), (F.size(checks.page_noindex()) > 0).alias("flagged"))
+
+
+@query(f"WITH {B.SQL_PAGES},{_PAGE_FACTS} SELECT domain, count(*) FILTER (WHERE open) AS reachable, count(*) AS total FROM pf GROUP BY domain")
+def login_walls(spark, sf_dir):
+    return featured(spark, sf_dir).groupBy("domain").agg(F.count_if(checks.page_wall().isNull()).alias("reachable"), F.count("*").alias("total"))
+
+
+@query(f"WITH {B.SQL_PAGES} SELECT domain, {', '.join(f'''bool_or(has AND substr(shapes, {k + 1}, 1) = '1') AS {n}''' for k, n in enumerate(checks.SHAPES))} FROM p WHERE status = 200 GROUP BY domain")
+def answer_shapes(spark, sf_dir):
+    return featured(spark, sf_dir).where("status = 200").groupBy("domain").agg(*(F.bool_or(F.col("f")[n]).alias(n) for n in checks.SHAPES))
+
+
+@query(f"SELECT id, largest::INT AS largest, total::INT AS total FROM {B.values([(i, a, t) for i, _, a, t in B.SECTIONS], 't', 'id, largest, total')}")
+def block_sections(spark, sf_dir):
+    df = spark.createDataFrame([(i, h) for i, h, _, _ in B.SECTIONS], "id int, html string")
+    sizes = html.features(F.col("html"), F.lit("https://a.example/"))["block_sizes"]
+    return df.select("id", sizes.alias("sizes")).select("id", F.array_max("sizes").alias("largest"), F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"SELECT id, CASE WHEN t < {K.WORDS_TO_JUDGE} OR a <= {K.WELL_SECTIONED} * t THEN 1000 WHEN a >= {K.ONE_BLOCK} * t THEN 0 ELSE round(1000 * ({K.ONE_BLOCK} - a / t) / ({K.ONE_BLOCK} - {K.WELL_SECTIONED})) END::INT AS citable FROM {B.values([(i, float(a), float(t)) for i, _, a, t in B.SECTIONS], 't', 'id, a, t')}")
+def citable_pages(spark, sf_dir):
+    df = spark.createDataFrame([(i, h) for i, h, _, _ in B.SECTIONS], "id int, html string")
+    return df.select("id", F.round(1000 * checks.citable_score(html.features(F.col("html"), F.lit("https://a.example/"))["block_sizes"])).cast("int").alias("citable"))
+
+
+@query(f"SELECT * FROM {B.values([(i, p) for i, _, p in B.PLATFORMS], 't', 'id, platform')}")
+def platform_detect(spark, sf_dir):
+    df = spark.createDataFrame([(i, h) for i, h, _ in B.PLATFORMS], "id int, html string").withColumn("f", html.features(F.col("html"), F.lit("https://a.example/")))
+    return df.select("id", checks.detect_platform(F.col("html"), F.create_map(F.lit("server"), F.lit("x")), F.col("f.metas")).alias("platform"))
+
+
+@query(f"""WITH {B.SQL_PAGES},{_FEATURES} SELECT k AS kind, min(text_chars)::INT AS least, (array_agg(text_chars ORDER BY text_chars))[count(*) // 2 + 1]::INT AS upper_median, max(text_chars)::INT AS most
+FROM (SELECT CASE WHEN contains(html, '</html>') THEN 'closed' ELSE 'open' END AS k, text_chars FROM sc) GROUP BY k""")
+def calibration_summary(spark, sf_dir):
+    p = B.pages(spark, sf_dir).withColumn("f", html.features(F.col("html"), F.col("url")))
+    p = p.select(F.when(F.contains("html", F.lit("</html>")), "closed").otherwise("open").alias("kind"), *study.calibration_row(F.col("f")))
+    return study.calibration(p, "kind")
+
+
+# ---- URLs ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS origin, CASE WHEN length(url) > 60 THEN left(url, 57) || '...' ELSE url END AS short FROM pages")
+def url_normalise(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", urls.normalise_base(F.col("url")).alias("origin"), text.shorten(F.col("url")).alias("short"))
+
+
+_SUFFIXED = "SELECT url || suffix AS url FROM pages, (VALUES (''), ('x.PDF'), ('x.html'), ('x.js?a=1'), ('x.json#b')) AS t(suffix)"
+
+
+@query(f"SELECT url, NOT regexp_matches(lower(regexp_extract(url, '^[^?#]*')), '\\.(pdf|jpg|jpeg|png|gif|webp|svg|mp4|mp3|zip|xml|json|css|js)$') AS is_page FROM ({_SUFFIXED})")
+def is_page_filter(spark, sf_dir):
+    suffix = F.explode(F.array(*map(F.lit, ["", "x.PDF", "x.html", "x.js?a=1", "x.json#b"])))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", suffix.alias("suffix")).select(F.concat("url", "suffix").alias("url"))
+    return p.select("url", urls.is_page(F.col("url")).alias("is_page"))
+
+
+@query(f"""WITH {B.SQL_PAGES} SELECT domain, rank, url FROM (SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY sha256(url)) AS rank FROM (SELECT DISTINCT domain, url FROM p
+WHERE NOT regexp_matches(lower(regexp_extract(url, '^[^?#]*')), '\\.(pdf|jpg|jpeg|png|gif|webp|svg|mp4|mp3|zip|xml|json|css|js)$'))) WHERE rank <= {K.PAGES_SAMPLED}""")
+def hash_sample_pages(spark, sf_dir):
+    return sitemap.sample(B.pages(spark, sf_dir).where(urls.is_page(F.col("url"))), K.PAGES_SAMPLED, "domain").withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---- robots.txt ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT robots_id, pos::INT AS pos, field, value FROM d")
+def robots_tokens(spark, sf_dir):
+    return robots.directives(B.bodies(spark))
+
+
+@query(f"WITH {_GROUPS} SELECT an.robots_id, an.gid::BIGINT AS group_id, an.agent, (SELECT count(*) FROM ru WHERE ru.robots_id = an.robots_id AND ru.gid = an.gid) AS n_rules FROM an")
+def robots_groups(spark, sf_dir):
+    return robots.groups(B.bodies(spark))
+
+
+@query(f"WITH {_VERDICTS} SELECT robots_id, token, allowed FROM v")
+def agent_verdicts(spark, sf_dir):
+    return robots.verdicts(B.bodies(spark)).select("robots_id", "token", "allowed")
+
+
+@query(f"""WITH {_VERDICTS} SELECT v.robots_id, v.token, CASE WHEN wn.winner IS NULL THEN NULL WHEN t.n IS NULL THEN 'User-agent: ' || wn.winner || ' (no rules)'
+ELSE 'User-agent: ' || wn.winner || ' | ' || t.shown || CASE WHEN t.n > 3 THEN ', and ' || (t.n - 3) || ' more' ELSE '' END END AS matched_rule
+FROM v LEFT JOIN wn USING (robots_id, token) LEFT JOIN (SELECT robots_id, token, count(*) AS n, string_agg(upper(left(field, 1)) || substr(field, 2) || ': ' || value, ', ' ORDER BY k) FILTER (WHERE k <= 3) AS shown FROM mr GROUP BY ALL) t USING (robots_id, token)""")
+def matched_rule(spark, sf_dir):
+    return robots.verdicts(B.bodies(spark)).select("robots_id", "token", "matched_rule")
+
+
+@query(f"WITH {_BLANKET} SELECT robots_id, blanket FROM b")
+def blanket_disallow(spark, sf_dir):
+    return robots.blanket_disallow(B.bodies(spark))
+
+
+@query(f"WITH {_SITE_VERDICTS} SELECT domain, bucket, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS total FROM sv GROUP BY domain, bucket")
+def bucket_counts(spark, sf_dir):
+    return robots.bucket_counts(site_verdicts(spark, B.sites(spark, sf_dir)), "domain")
+
+
+@query(f"WITH {_SITE_VERDICTS} SELECT domain, CASE WHEN bool_and(allowed) THEN 'open' WHEN NOT bool_or(allowed) THEN 'closed' ELSE 'partial' END AS posture FROM sv WHERE bucket = 'training' GROUP BY domain")
+def training_posture(spark, sf_dir):
+    n = robots.bucket_counts(site_verdicts(spark, B.sites(spark, sf_dir)), "domain").where("bucket = 'training'")
+    return n.select("domain", robots.posture(F.col("allowed"), F.col("total")).alias("posture"))
+
+
+@query(rf"""SELECT id, status = 200 AND NOT (starts_with(lower(ltrim(left(body, 500))), '<!doctype') OR contains(lower(left(body, 500)), '<html')) AND NOT (contains(kind, 'html') AND contains(lower(left(body, 5000)), '<html'))
+AND regexp_matches(body, '(?im)^\s*(user-agent|disallow|allow|sitemap|crawl-delay)\s*:') AS is_real FROM {B.values(B.RESPONSES, 't', 'id, status, kind, body')}""")
+def robots_validity(spark, sf_dir):
+    df = spark.createDataFrame(B.RESPONSES, "id int, status int, kind string, body string")
+    _, real, _ = robots.read_response(F.col("status"), F.lit(None).cast("string"), F.col("body"), F.col("kind"))
+    return df.select("id", real.alias("is_real"))
+
+
+@query(rf"""WITH r AS (SELECT * FROM {B.values(list(enumerate(B.BODIES)), 't', 'robots_id, body')}),
+c AS (SELECT robots_id, unnest(m) AS line, unnest(range(len(m))) AS k FROM (SELECT robots_id, regexp_extract_all(body, '(?im)^\s*content-signal\s*:\s*(.+?)\s*$', 1) AS m FROM r WHERE body IS NOT NULL)),
+p AS (SELECT robots_id, 10000 * k + i AS pos, lower(trim(split_part(pair, '=', 1))) AS key, lower(trim(substr(pair, strpos(pair, '=') + 1))) AS value
+      FROM (SELECT robots_id, k, unnest(string_split(line, ',')) AS pair, unnest(range(len(string_split(line, ',')))) AS i FROM c) WHERE contains(pair, '='))
+SELECT robots_id, key, CASE WHEN known THEN value END AS value, known FROM (SELECT robots_id, key, arg_max(value, pos) AS value, key IN ({', '.join(map(B.quoted, K.SIGNAL_KEYS))}) AS known FROM p WHERE key <> '' GROUP BY ALL)""")
+def content_signals(spark, sf_dir):
+    return signals.declared(B.bodies(spark))
+
+
+@query()
+def content_signal_summary(spark, sf_dir):
+    return signals.signals(B.bodies(spark)).select("robots_id", "unknown_keys", "raw", "boilerplate_only", "present", "summary")
+
+
+# ---- sitemaps and llms.txt ----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT id, pos, kind, url FROM {B.values([(i, k, kind, u) for i, _, locs in B.SITEMAPS for k, (kind, u) in enumerate(locs)], 't', 'id, pos, kind, url')}")
+def sitemap_locs(spark, sf_dir):
+    df = spark.createDataFrame([(i, x) for i, x, _ in B.SITEMAPS], "id int, xml string")
+    return df.select("id", F.posexplode(sitemap.parse("xml")).alias("pos", "loc")).select("id", "pos", "loc.kind", "loc.url")
+
+
+@query(f"WITH {_SITES} SELECT domain, CASE WHEN reachable IS NULL THEN 'warning' WHEN declared IS NULL THEN 'info' ELSE 'ok' END AS severity, CASE WHEN reachable IS NULL THEN 0 ELSE 1 END::DOUBLE AS ratio FROM s")
+def sitemap_status(spark, sf_dir):
+    return audited(spark, sf_dir, ("sitemap_available",))[2].select("domain", "severity", "ratio")
+
+
+@query(f"WITH {_SITES} SELECT domain, llms IS NOT NULL AS present, length(coalesce(llms, ''))::INT AS length, CASE WHEN length(trim(coalesce(llms, ''), chr(10) || ' ')) >= {K.LLMS_CHARS} THEN 1 ELSE 0 END::DOUBLE AS ratio FROM s")
+def llms_txt_check(spark, sf_dir):
+    s = B.sites(spark, sf_dir)
+    return s.select("domain", F.col("llms").isNotNull().alias("present"), F.length(F.coalesce("llms", F.lit(""))).alias("length"), checks.llms_ratio(F.col("llms")).alias("ratio"))
+
+
+# ---- checks and scores --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_SITE_VERDICTS}, c AS (SELECT domain, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS total, bool_and(NOT allowed) FILTER (WHERE ai_only) AND count(*) FILTER (WHERE allowed) > 0 AS blackout FROM sv WHERE bucket = 'citation' GROUP BY domain)
+SELECT domain, allowed, total, CASE WHEN allowed = total THEN 'ok' WHEN blackout OR allowed = 0 THEN 'critical' ELSE 'warning' END AS severity, blackout FROM c""")
+def citation_check(spark, sf_dir):
+    v = site_verdicts(spark, B.sites(spark, sf_dir))
+    c = F.col("citation")
+    severity = checks.citation(None)[1]
+    return checks.crawler_facts(v).select("domain", c["allowed"].alias("allowed"), c["total"].alias("total"), severity.alias("severity"), checks.blackout(c).alias("blackout"))
+
+
+@query(f"WITH {_SITE_VERDICTS} SELECT domain, count(*) FILTER (WHERE allowed OR obeys <> 'yes') AS reachable, count(*) AS total FROM sv WHERE bucket = 'user_fetch' GROUP BY domain")
+def user_fetch_check(spark, sf_dir):
+    u = F.col("user_fetch")
+    return checks.crawler_facts(site_verdicts(spark, B.sites(spark, sf_dir))).select("domain", (u["allowed"] + F.size(u["ignored"])).alias("reachable"), u["total"].alias("total"))
+
+
+@query(f"WITH {_SCORED} SELECT domain, round(100 * raw)::BIGINT AS raw_x100, round(100 * final)::BIGINT AS final_x100, {_LETTER.format('final')} AS letter, CASE WHEN raw > cap THEN cap ELSE 0 END::INT AS cap FROM fa")
+def access_score(spark, sf_dir):
+    s, v, r = audited(spark, sf_dir, ACCESS)
+    blanket = s.select("domain", "robots_id").join(robots.blanket_disallow(B.bodies(spark)), "robots_id").select("domain", "blanket")
+    out = scoring.scores(s, r, scoring.caps(v, blanket)).where("category = 'access'")
+    cap = F.when(F.col("cap_applied").isNotNull(), F.col("final").cast("int")).otherwise(0)
+    return out.select("domain", F.round(100 * F.col("raw")).cast("long").alias("raw_x100"), F.round(100 * F.col("final")).cast("long").alias("final_x100"), "letter", cap.alias("cap"))
+
+
+_READABILITY = f"""{_SITES},{_FEATURES},
+rd AS (SELECT s.domain, count(x.page_id) AS n, sum(4 * raw_score) AS raw4, count(*) FILTER (WHERE has AND recognised > 0) AS jl, sum(CASE WHEN h1 = 0 THEN 0 ELSE CASE WHEN h1 = 1 THEN 6 ELSE 0 END + CASE WHEN jumps = 0 THEN 4 ELSE 0 END END) AS hd,
+              sum(CASE WHEN title = '' THEN 0 WHEN length(title) BETWEEN 10 AND 70 THEN 2 ELSE 1 END) AS t2, sum(CASE WHEN descr = '' THEN 0 WHEN length(descr) BETWEEN 50 AND 160 THEN 2 ELSE 1 END) AS d2,
+              count(nullif(title, '')) > 0 AND count(DISTINCT nullif(title, '')) = count(nullif(title, '')) AS uni, count(*) FILTER (WHERE has AND author) + count(*) FILTER (WHERE has AND dated) AS ad, count(*) FILTER (WHERE has AND canonical = 'own') AS ca
+       FROM s LEFT JOIN (SELECT * FROM sc WHERE status = 200) x ON x.domain = s.domain GROUP BY s.domain)"""
+
+
+@query(f"""WITH {_READABILITY} SELECT domain, u.check_id, CASE WHEN n = 0 THEN 0 ELSE round(1000000 * u.ratio) END::BIGINT AS millionths FROM (SELECT domain, n, unnest([
+ {{'check_id': 'raw_html_content', 'ratio': raw4 / (4.0 * n)}}, {{'check_id': 'jsonld_valid', 'ratio': jl / (1.0 * n)}}, {{'check_id': 'heading_structure', 'ratio': hd / (10.0 * n)}},
+ {{'check_id': 'title_and_description', 'ratio': 0.5 * t2 / (2.0 * n) + 0.3 * d2 / (2.0 * n) + CASE WHEN uni THEN 0.2 ELSE 0 END}}, {{'check_id': 'author_and_dates', 'ratio': ad / (2.0 * n)}}, {{'check_id': 'canonical', 'ratio': ca / (1.0 * n)}}]) AS u FROM rd)""")
+def readability_checks(spark, sf_dir):
+    named = ("raw_html_content", "jsonld_valid", "heading_structure", "title_and_description", "author_and_dates", "canonical")
+    return audited(spark, sf_dir, named)[2].select("domain", "check_id", F.round(1_000_000 * F.col("ratio")).cast("long").alias("millionths"))
+
+
+@query()
+def readability_score(spark, sf_dir):
+    return site_scores(spark, sf_dir)[3].where("category = 'readability'").select("domain", "raw", "letter")
+
+
+@query(f"WITH {_SCORED} SELECT letter, count(*) AS sites FROM (SELECT {_LETTER.format('final')} AS letter FROM fa) GROUP BY letter")
+def grade_histogram(spark, sf_dir):
+    return access_score(spark, sf_dir).groupBy("letter").agg(F.count("*").alias("sites"))
+
+
+@query(f"WITH {_SCORED} SELECT domain FROM fa WHERE final < 75")
+def score_gate(spark, sf_dir):
+    s = access_score(spark, sf_dir).withColumn("final", F.col("final_x100") / 100)
+    return scoring.below(s, "75").select("domain")
+
+
+@query(f"""WITH {_SITE_VERDICTS} SELECT domain, count(*) FILTER (WHERE ai_only AND NOT allowed) AS ai_only_blocked, bool_and(NOT allowed) FILTER (WHERE ai_only) AND bool_and(allowed) FILTER (WHERE token IN ('Googlebot', 'Bingbot')) AS ai_blackout,
+ NOT bool_and(allowed) FILTER (WHERE token = 'OAI-SearchBot') AS blocks_oai_searchbot, NOT bool_and(allowed) FILTER (WHERE token = 'GPTBot') AS blocks_gptbot FROM sv GROUP BY domain""")
+def ai_blackout(spark, sf_dir):
+    return study.crawler_facts(site_verdicts(spark, B.sites(spark, sf_dir))).drop("training_posture")
+
+
+# ---- reports ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_ACCESS}, cost AS (SELECT domain, unnest([{{'i': 'citation_crawlers_allowed', 'p': 0, 'c': 50 * (1 - 1.0 * ca / ct)}}, {{'i': 'user_fetch_crawlers_allowed', 'p': 1, 'c': 20 * (1 - 1.0 * ur / ut)}},
+ {{'i': 'pages_reachable', 'p': 2, 'c': 15 * (1 - 1.0 * open / n)}}, {{'i': 'sitemap_available', 'p': 3, 'c': CASE WHEN reachable IS NULL THEN 10 ELSE 0 END}}, {{'i': 'no_noindex', 'p': 4, 'c': 5 * (1 - 1.0 * clean / n)}}]) AS x
+ FROM s JOIN cf USING (domain) JOIN pa USING (domain))
+SELECT domain, rank, check_id, round(1000 * cost)::BIGINT AS cost_x1000 FROM (SELECT domain, x.i AS check_id, x.c AS cost, row_number() OVER (PARTITION BY domain ORDER BY x.c DESC, x.p)::INT AS rank FROM cost WHERE x.c > 0) WHERE rank <= 5""")
+def top_fixes(spark, sf_dir):
+    s, _, r = audited(spark, sf_dir, ACCESS)
+    rows = r.join(F.broadcast(scoring.rubric(spark).select("check_id", "pos", "weight")), "check_id")
+    return report.top_fixes(rows).select("domain", "rank", "check_id", F.round(1000 * F.col("cost")).cast("long").alias("cost_x1000"))
+
+
+@query(f"""WITH {_SITE_VERDICTS}, t AS (SELECT domain, string_agg('User-agent: ' || token || chr(10) || 'Allow: /', chr(10) || chr(10) ORDER BY pos) AS lines
+ FROM sv WHERE NOT allowed AND (bucket = 'citation' OR (bucket = 'user_fetch' AND obeys = 'yes')) GROUP BY domain)
+SELECT s.domain, concat_ws(chr(10) || chr(10), t.lines, CASE WHEN s.reachable IS NOT NULL AND s.declared IS NULL THEN 'Sitemap: ' || s.reachable END) AS additions FROM s LEFT JOIN t ON t.domain = s.domain""")
+def robots_additions(spark, sf_dir):
+    return report.additions(audited(spark, sf_dir, ACCESS)[2])
+
+
+@query()
+def payload_json(spark, sf_dir):
+    s = B.sites(spark, sf_dir)
+    v = site_verdicts(spark, s)
+    p = featured(spark, sf_dir, keep=True)
+    r = checks.checks(s, p, v)
+    blanket = s.select("domain", "robots_id").join(robots.blanket_disallow(B.bodies(spark)), "robots_id").select("domain", "blanket")
+    scores = scoring.scores(s, r, scoring.caps(v, blanket))
+    made = report.payload(s.join(blanket, "domain"), report.check_rows(s, r), scores, v, p, report.additions(r))
+    return made.select("domain", "n_checks", F.regexp_replace("payload", '"generated_at":"[^"]*"', '"generated_at":""').alias("payload"))
+
+
+@query()
+def markdown_reports(spark, sf_dir):
+    return payload_json(spark, sf_dir).select("domain", report.render_markdown("payload").alias("report"), report.render_terminal("payload").alias("summary"))
+
+
+# ---- studies ------------------------------------------------------------------------------------------------------------
+
+
+def site_rows(spark, sf_dir) -> DataFrame:
+    s, v, r, scores = site_scores(spark, sf_dir)
+    home = B.pages(spark, sf_dir).groupBy("domain").agg(F.min_by(F.struct("html", "headers", "url"), "pos").alias("h"))
+    platforms = home.select("domain", checks.detect_platform(F.col("h.html"), F.col("h.headers"), html.features(F.col("h.html"), F.col("h.url"))["metas"]).alias("platform"))
+    return study.measure(s, v, r, scores, platforms, s.where("aborted IS NOT NULL").select("domain", F.col("aborted").alias("reason")))
+
+
+_STUDY = f"""{_SCORED},
+st AS (SELECT domain, count(*) FILTER (WHERE ai_only AND NOT allowed) AS blocked, bool_and(NOT allowed) FILTER (WHERE ai_only) AND bool_and(allowed) FILTER (WHERE token IN ('Googlebot', 'Bingbot')) AS dark,
+              bool_and(allowed) FILTER (WHERE token = 'OAI-SearchBot') AS oai, bool_and(allowed) FILTER (WHERE token = 'GPTBot') AS gpt FROM sv GROUP BY domain),
+rows_ AS (SELECT s.*, fa.final, st.blocked, st.dark, st.oai, st.gpt FROM s JOIN fa USING (domain) JOIN st USING (domain))"""
+
+
+@query(f"""WITH {_STUDY}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE blocked > 0) AS a, count(*) FILTER (WHERE dark) AS b, count(*) FILTER (WHERE NOT gpt AND oai) AS c, count(*) FILTER (WHERE NOT gpt AND NOT oai) AS d,
+ count(*) FILTER (WHERE trim(coalesce(llms, '')) <> '') AS e, count(*) FILTER (WHERE reachable IS NOT NULL) AS f, count(*) FILTER (WHERE NOT robots_real) AS g FROM rows_ WHERE aborted IS NULL)
+SELECT u.metric, u.c AS count, CASE WHEN n = 0 THEN 0 ELSE round_even(100.0 * u.c / n, 1) END::DOUBLE AS share FROM (SELECT n, unnest([{{'metric': 'blocks_any_ai_only', 'c': a}}, {{'metric': 'ai_blackout', 'c': b}}, {{'metric': 'blocked_training_only', 'c': c}},
+ {{'metric': 'blocked_training_and_search', 'c': d}}, {{'metric': 'llms_txt', 'c': e}}, {{'metric': 'sitemap', 'c': f}}, {{'metric': 'no_robots_txt', 'c': g}}]) AS u FROM t)""")
+def study_headline(spark, sf_dir):
+    named = ["blocks_any_ai_only", "ai_blackout", "blocked_training_only", "blocked_training_and_search", "llms_txt", "sitemap", "no_robots_txt"]
+    return study.headline(site_rows(spark, sf_dir)).where(F.col("metric").isin(named))
+
+
+_MEDIAN = "(array_agg({0} ORDER BY {0}) FILTER (WHERE aborted IS NULL))[count(*) FILTER (WHERE aborted IS NULL) // 2 + 1]"
+
+
+@query(f"""WITH {_STUDY} SELECT coalesce(category, 'unknown') AS category, count(*) AS domains, count(*) FILTER (WHERE aborted IS NULL) AS scored, count(aborted) AS aborted, round_even(100.0 * count(aborted) / count(*), 1)::DOUBLE AS abort_share,
+ CASE WHEN count(*) = count(aborted) THEN 0 ELSE round_even(100.0 * count(*) FILTER (WHERE aborted IS NULL AND blocked > 0) / count(*) FILTER (WHERE aborted IS NULL), 1) END::DOUBLE AS blocks_any_ai_only, {_MEDIAN.format('final')}::DOUBLE AS median_access FROM rows_ GROUP BY ALL""")
+def study_by_category(spark, sf_dir):
+    categories = B.sites(spark, sf_dir).where("category IS NOT NULL").select("domain", "category")
+    return study.by_category(site_rows(spark, sf_dir), categories).select("category", "domains", "scored", "aborted", "abort_share", "blocks_any_ai_only", "median_access")
+
+
+@query(f"WITH {_STUDY} SELECT 'custom or unidentified' AS platform, count(*) AS sites, {_MEDIAN.format('final')}::DOUBLE AS median_access FROM rows_ WHERE aborted IS NULL HAVING count(*) > 0")
+def study_by_platform(spark, sf_dir):
+    return study.by_platform(site_rows(spark, sf_dir)).select("platform", "sites", "median_access")
+
+
+@query(f"WITH {_SITES} SELECT split_part(aborted, ':', 1) AS reason, count(*) AS n FROM s WHERE aborted IS NOT NULL GROUP BY 1")
+def abort_reasons(spark, sf_dir):
+    s = B.sites(spark, sf_dir).where("aborted IS NOT NULL").select("domain", F.col("aborted").alias("reason"), F.lit("aborted").alias("outcome"))
+    return study.abort_reasons(s)
+
+
+@query(f"WITH {_SITES} SELECT domain, coalesce(TRY_CAST(regexp_extract(aborted, '(?:^|\\s)([0-9]+)(?:\\s|$)', 1) AS INT), -1) AS status, aborted = 'HTTP 403' AS refused FROM s WHERE aborted IS NOT NULL")
+def abort_notes(spark, sf_dir):
+    s = B.sites(spark, sf_dir).where("aborted IS NOT NULL")
+    return s.select("domain", F.coalesce(urls.status_in(F.col("aborted")), F.lit(-1)).alias("status"), F.contains(urls.abort_note(F.col("aborted")), F.lit("refuses")).alias("refused"))
+
+
+@query(f"WITH {_SITES}, t AS (SELECT CASE WHEN aborted IS NULL THEN 'scored' ELSE 'aborted' END AS outcome FROM s) SELECT outcome, count(*) AS n, 100.0::DOUBLE AS completed_share FROM t GROUP BY outcome")
+def robustness_report(spark, sf_dir):
+    s = B.sites(spark, sf_dir)
+    return study.robustness(s.select("domain", F.when(F.col("aborted").isNull(), "scored").otherwise(F.concat(F.lit("aborted: "), "aborted")).alias("outcome")))
+
+
+@query(f"WITH {_SITES}, x AS (SELECT domain FROM s WHERE least % 3 <> 0), y AS (SELECT domain FROM s WHERE least % 2 = 0) SELECT domain, 'uncategorised' AS side FROM s WHERE category IS NULL AND least % 3 <> 0 UNION ALL SELECT domain, 'stale' FROM y WHERE domain NOT IN (SELECT domain FROM x) UNION ALL SELECT domain, 'missing' FROM x WHERE domain NOT IN (SELECT domain FROM y)")
+def coverage_anti_join(spark, sf_dir):
+    s = B.sites(spark, sf_dir)
+    return study.coverage(s.where("least % 3 <> 0").select("domain"), s.where("category IS NOT NULL").select("domain"), s.where("least % 2 = 0").select("domain"))
+
+
+# ---- accuracy and manifests ---------------------------------------------------------------------------------------------
+
+
+@query()
+def accuracy_agreement(spark, sf_dir):
+    return accuracy.agreement(accuracy.compare(B.bodies(spark)))
+
+
+@query(f"WITH {_VERDICTS} SELECT DISTINCT robots_id FROM v WHERE bucket <> 'training' AND NOT allowed")
+def worth_reading(spark, sf_dir):
+    return accuracy.worth_reading(accuracy.compare(B.bodies(spark)))
+
+
+@query("SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, page_id, sha256(html) AS sha256, strlen(html)::INT AS bytes FROM pages")
+def manifest_fingerprint(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    sha, size = manifest.digest(F.col("html"))
+    return p.select(urls.authority(F.col("url")).alias("domain"), "page_id", sha.alias("sha256"), size.alias("bytes"))
+
 
-def page_text_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.length("html").alias("html_chars"))
+@query(f"""SELECT domain, CASE WHEN robots_id = 0 THEN '404' ELSE '200' END AS robots_status, CASE WHEN robots_id = 0 THEN '' ELSE sha256(body) END AS robots_sha256, CASE WHEN robots_id = 0 THEN '' ELSE strlen(body)::VARCHAR END AS robots_bytes
+FROM (WITH {_SITES} SELECT s.domain, s.robots_id, r.body FROM s JOIN {B.values(list(enumerate(B.BODIES)), 'r', 'robots_id, body')} USING (robots_id))""")
+def robots_manifest(spark, sf_dir):
+    s = B.sites(spark, sf_dir).join(B.bodies(spark), "robots_id")
+    own = s.select("domain", F.lit(1).alias("pos"), F.concat("base_url", F.lit("/robots.txt")).alias("url"), F.col("robots_status").alias("status"), F.lit(None).cast("string").alias("error"), F.col("body").alias("text"), F.lit("2024-01-01T00:00:00").alias("fetched_at"), F.lit("scored").alias("outcome"))
+    home = own.withColumns({"pos": F.lit(0), "url": F.regexp_replace("url", "robots.txt$", ""), "text": F.lit("home")})
+    return manifest.manifest(own.unionByName(home)).select("domain", "robots_status", "robots_sha256", "robots_bytes")
 
 
-FLAGSHIP = "page_text_volume"
-QUERIES = {"page_text_volume": page_text_volume}
-ORACLE = {"page_text_volume": "SELECT page_id, length(html) AS html_chars FROM pages"}
+@query(f"SELECT domain, CASE WHEN status IS NULL OR status <> 200 THEN 'UNREACHABLE' WHEN recorded = live THEN 'MATCH' ELSE 'CHANGED' END AS state FROM {B.values(B.SNAPSHOTS, 't', 'domain, recorded, status, live')}")
+def manifest_diff(spark, sf_dir):
+    df = spark.createDataFrame(B.SNAPSHOTS, "domain string, recorded string, status int, live string")
+    return manifest.difference(df.select("domain", F.sha2("recorded", 256).alias("robots_sha256")), df.select("domain", "status", F.col("live").alias("text")))
