@@ -39,6 +39,7 @@ THRESHOLD = 0.8
 ROWS, BANDS = 5, 30
 M = ROWS * BANDS
 TILE = 512
+SALTS = 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xD1B54A32D192ED03)
 #: Shingle hashes have 54 bits, so that with the number of a text (of TEXTS) they are one sortable integer.
@@ -169,7 +170,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids whose texts have a J_P of threshold or more."""
     own = texts.select("doc_id", "text").hint("merge")
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    # a text that many pairs name is copied to SALTS places at most, each for a part of its pairs
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    left = salted.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = salted.select("b", "salt").distinct().join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = left.join(right.hint("merge"), ["b", "salt"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
