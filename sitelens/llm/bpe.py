@@ -226,7 +226,7 @@ class BatchEncoder:
     """The same dynamic programming for many words at once: one step of the automaton for all words, then one compatibility
     test for all that have none yet, until every word has the last token of its prefix."""
 
-    MOST = 600_000
+    MOST = 300_000
     SLOTS = 1 << 21
     LONGEST = 40
 

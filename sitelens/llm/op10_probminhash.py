@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import id_text, map_batches, materialise, mix64, read_table
+from sitelens.llm.common import id_text, map_arrow, map_batches, materialise, mix64, read_table
 from sitelens.llm.graph import components
 from sitelens.llm.words import hashed_words
 
@@ -277,7 +277,7 @@ def cross_links(tiles: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD
             yield links_batch(found)
         yield links_batch(finish())
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import materialise, read_table
+from sitelens.llm.common import map_arrow, materialise, read_table
 
 VERSION = "WARC/1.1"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -134,7 +134,7 @@ def derive(responses: DataFrame) -> DataFrame:
                         rows.append(r)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[n] for r in rows], k) for n, k in zip(_NAMES, _KINDS, strict=True))], names=["id", *_NAMES])
 
-    return responses.select(F.col("id").cast("long").alias("id"), "record_id", "target_uri", "warc_date", "block").mapInArrow(run, f"id long, {COLUMNS}")
+    return map_arrow(responses.select(F.col("id").cast("long").alias("id"), "record_id", "target_uri", "warc_date", "block"), run, f"id long, {COLUMNS}")
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def write_warc(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
         if held:
             yield flush()
 
-    return materialise(records.mapInArrow(save, "file string, records long, bytes long"), "warc-files")
+    return materialise(map_arrow(records, save, "file string, records long, bytes long"), "warc-files")
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ids = [x.tolist() for part in slices(batch.column(1)) for x in m.encode_batch(part)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return map_batches(id_text(docs), run, "doc_id long, ids array<int>")
+    return map_batches(id_text(docs), run, "doc_id long, ids array<int>", "bpe:")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -47,7 +47,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         texts = [m.decode(x or ()) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string", "bpe:")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -63,7 +63,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(m.decode(ids.tolist()).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(id_text(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(id_text(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe:")
 
 
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

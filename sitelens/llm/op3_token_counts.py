@@ -203,7 +203,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         over = [n > limit for n in n_tokens]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_batches(id_text(docs), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(id_text(docs), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", "count:")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

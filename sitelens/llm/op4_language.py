@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import read_table
-from sitelens.llm.crf import emissions, marginals, train
+from sitelens.llm.common import map_arrow, read_table
+from sitelens.llm.crf import BUCKETS, emissions, marginals, train
 
 SAMPLE = 400
 SAMPLE_CHARS = 20_000
@@ -55,7 +55,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray,
             streams.setdefault(r["lang"], []).extend(own)
     langs = sorted(streams)
     if len(langs) < 2:
-        return langs, np.zeros((1, len(langs))), np.zeros((len(langs), len(langs)))
+        return langs, np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(langs)))
     weights, transition = train([streams[x] for x in langs])
     return langs, weights.astype(np.float32), transition
 
@@ -128,7 +128,7 @@ def languages(docs: DataFrame, langs: list[str], weights: np.ndarray, transition
             if pred:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
 def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

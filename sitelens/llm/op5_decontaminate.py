@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import id_text, map_batches, materialise, read_table
+from sitelens.llm.common import id_text, map_arrow, map_batches, materialise, read_table
 from sitelens.llm.words import words
 
 WINDOW = 10
@@ -138,7 +138,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     """The rows of docs, with all their columns, whose text holds no window of any item."""
     at = docs.columns.index("text")
     for k, passes, items in _blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(items), at, window), docs.schema)
+        docs = map_arrow(docs, _without(docs.sparkSession.sparkContext.broadcast(items), at, window), docs.schema)
         if k % STACKED == STACKED - 1 and k + 1 < passes:
             docs = materialise(docs, "clean")
     return docs

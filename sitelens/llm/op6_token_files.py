@@ -36,7 +36,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import id_text, map_batches, materialise, read_table, shared_dir
+from sitelens.llm.common import id_text, map_arrow, map_batches, materialise, read_table, shared_dir
 from sitelens.llm.op2_bpe import model
 
 TOKENIZER = "word_bpe_49k.json"
@@ -173,7 +173,7 @@ def encoded(docs: DataFrame, path: str, borders: np.ndarray, end_id: int = END_I
         shard[ids.is_null().to_numpy(zero_copy_only=False)] = 0
         return pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), pa.array(shard, pa.int32())], names=["doc_id", "ids", "shard"])
 
-    return map_batches(id_text(docs), run, "doc_id long, ids binary, shard int")
+    return map_batches(id_text(docs), run, "doc_id long, ids binary, shard int", "bpe:")
 
 
 def write(docs: DataFrame, folder: str, path: str, bits: bool = False, shard_rows: int = SHARD_ROWS, file_ids: int = FILE_IDS) -> DataFrame:
@@ -212,7 +212,7 @@ def write(docs: DataFrame, folder: str, path: str, bits: bool = False, shard_row
         if held:
             yield flush()
 
-    manifest = materialise(dealt.mapInArrow(save, "shard int, seq int, file string, n_docs long, n_ids long"), "token-manifest")
+    manifest = materialise(map_arrow(dealt, save, "shard int, seq int, file string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -230,7 +230,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file", "start").repartition(n, "file").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(manifest.select("file", "start").repartition(n, "file"), load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import materialise, read_table
+from sitelens.llm.common import map_arrow, materialise, read_table
 
 LEAST_DOCS = 5
 SHARE = 0.02
@@ -85,7 +85,7 @@ def figures(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(run, FIGURES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text")), run, FIGURES)
 
 
 def line_frequency(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED, min_words: int = MIN_WORDS) -> DataFrame:

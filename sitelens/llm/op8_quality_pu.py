@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from sitelens.llm.common import read_table
+from sitelens.llm.common import map_arrow, read_table
 from sitelens.llm.op7_line_frequency import repeat_words
 
 POSITIVES = 6_000
@@ -135,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             x = shapes(batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "good", "other", "shape"])
 
-    found = drawn.mapInArrow(run, "doc_id long, good boolean, other boolean, shape array<double>").limit(4 * (positives + unlabelled)).collect()
+    found = map_arrow(drawn, run, "doc_id long, good boolean, other boolean, shape array<double>").limit(4 * (positives + unlabelled)).collect()
     found.sort(key=lambda r: r["doc_id"])
     x_good = np.array([r["shape"] for r in found if r["good"]])
     x_all = np.array([r["shape"] for r in found if r["other"]])
@@ -155,7 +155,7 @@ def scores(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, "__score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return map_arrow(docs, run, StructType([*docs.schema.fields]).add("__score", DoubleType()))
 
 
 

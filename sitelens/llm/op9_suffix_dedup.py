@@ -34,15 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import materialise, mix64, read_table
+from sitelens.llm.common import map_arrow, materialise, mix64, read_table
 from sitelens.llm.suffix_sort import SHALLOW, deep_shallow, words_at
 
 LENGTH = 100
 GRAM = 16
 HOT = 1000
-PIECE = 2_000_000
+PIECE = 1_000_000
 #: Bytes of text whose runs are folded before they are sent.
-FLUSH = 48_000_000
+FLUSH = 24_000_000
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 32_000_000
 
@@ -463,12 +463,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     deal = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("id"), F.lit(buckets))).cast("int")
-    sent = named.where(F.octet_length("text") >= length).select("__id", "__mark", "text").mapInArrow(lambda x: spread(x, buckets, length), RECORDS)
-    met = materialise(sent.repartitionById(buckets, deal).mapInArrow(lambda x: meet(x, length, hot), REQUESTS), "runs")
+    sent = map_arrow(named.where(F.octet_length("text") >= length).select("__id", "__mark", "text"), lambda x: spread(x, buckets, length), RECORDS)
+    met = materialise(map_arrow(sent.repartitionById(buckets, deal), lambda x: meet(x, length, hot), REQUESTS), "runs")
     key = [F.col("id").alias("__id"), F.col("mark").alias("__mark")]
     asked = met.where(F.col("kind") != COVER).select(*key, "kind", "h", "a", "e", "p").groupBy("__id", "__mark").agg(F.collect_list(F.struct("kind", "h", "a", "e", "p")).alias("asked"))
     # both joins read the same columns of named, so that its texts are shuffled once
-    more = named.join(asked, ["__id", "__mark"]).mapInArrow(lambda x: fetch(x, buckets, length), RECORDS).repartitionById(buckets, deal).mapInArrow(lambda x: compare(x, length), RECORDS)
+    fetched = map_arrow(named.join(asked, ["__id", "__mark"]), lambda x: fetch(x, buckets, length), RECORDS)
+    more = map_arrow(fetched.repartitionById(buckets, deal), lambda x: compare(x, length), RECORDS)
     covers = met.where(F.col("kind") == COVER).select(*key, "a", "e").union(more.select(*key, "a", "e"))
     covers = covers.groupBy("__id", "__mark").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     return named.join(covers, ["__id", "__mark"], "left").drop("__id", "__mark")
@@ -490,7 +491,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return repeated_spans(own, length).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(repeated_spans(own, length).select("doc_id", "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
