@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import op2_bpe, op5_decontaminate, op8_quality_pu, op9_suffix_dedup, op10_probminhash
-from sitelens.llm.common import materialise, read_table
+from sitelens.llm.common import map_arrow, materialise, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kept = spans.select(*names, "spans").mapInArrow(run, docs.schema)
+    kept = map_arrow(spans.select(*names, "spans"), run, docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else kept
 
 
