@@ -155,3 +155,10 @@ def allow_lines(tokens: Column) -> Column:
 def posture(allowed: Column, total: Column) -> Column:
     """Whether a site is open to model training; never scored."""
     return F.when(total == 0, "unknown").when(allowed == total, "open").when(allowed == 0, "closed").otherwise("partial")
+
+
+def permitted(urls: DataFrame, bodies: DataFrame, token: str) -> DataFrame:
+    """Those of the URLs (robots_id, url, ...) that a body lets a client of this token read; a null body allows all."""
+    rules = selected(bodies, [token]).select("robots_id", "rules")
+    where = F.coalesce(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
+    return urls.join(rules, "robots_id", "left").where(decide(F.col("rules"), where)).drop("rules")
