@@ -109,3 +109,8 @@ LLMS_CHARS = 100
 RULES_SHOWN = 3
 PAGES_SAMPLED, NESTED_SITEMAPS, SITEMAP_URLS = 5, 5, 5000
 BODY_BYTES = 5_000_000
+
+#: patterns: a line that makes a body robots syntax, a content signal, and the words of its terms
+ROBOTS_DIRECTIVE = r"(?im)^\s*(user-agent|disallow|allow|sitemap|crawl-delay)\s*:"
+SIGNAL_LINE = r"(?im)^\s*content-signal\s*:\s*(.+?)\s*$"
+SIGNAL_TERMS = r"(?i)content[ -]signals?\s*:"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.constants import AGENTS, RULES_SHOWN
+from sitelens.constants import AGENTS, ROBOTS_DIRECTIVE, RULES_SHOWN
 from sitelens.functions.text import lines, strip
 
 
@@ -24,7 +24,7 @@ def looks_like_robots(body: Column, content_type: Column) -> Column:
     head = F.lower(F.regexp_replace(F.substring(body, 1, 500), r"^(?U)\s+", ""))
     page = F.startswith(head, F.lit("<!doctype")) | F.contains(head, F.lit("<html"))
     typed = F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("html")) & F.contains(F.lower(F.substring(body, 1, 5000)), F.lit("<html"))
-    return ~page & ~typed & F.rlike(body, F.lit(r"(?im)^\s*(user-agent|disallow|allow|sitemap|crawl-delay)\s*:"))
+    return ~page & ~typed & F.rlike(body, F.lit(ROBOTS_DIRECTIVE))
 
 
 def read_response(status: Column, error: Column, body: Column, content_type: Column) -> tuple[Column, Column, Column]:

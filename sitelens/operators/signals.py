@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.constants import SIGNAL_KEYS
+from sitelens.constants import SIGNAL_KEYS, SIGNAL_LINE, SIGNAL_TERMS
 from sitelens.functions.text import join_words, strip
 
-LINE = r"(?im)^\s*content-signal\s*:\s*(.+?)\s*$"
 MEANING = {
     "search": "showing up in AI search",
     "ai-train": "training of models",
@@ -19,12 +18,12 @@ MEANING = {
 
 
 def raw_lines(body: Column) -> Column:
-    return F.regexp_extract_all(body, F.lit(LINE), F.lit(1))
+    return F.regexp_extract_all(body, F.lit(SIGNAL_LINE), F.lit(1))
 
 
 def terms_only(body: Column) -> Column:
     """Whether the terms are published without a declaration."""
-    return (F.size(raw_lines(body)) == 0) & F.rlike(body, F.lit(r"(?i)content[ -]signals?\s*:")) & F.contains(F.lower(body), F.lit("content-signal"))
+    return (F.size(raw_lines(body)) == 0) & F.rlike(body, F.lit(SIGNAL_TERMS)) & F.contains(F.lower(body), F.lit("content-signal"))
 
 
 def pairs(bodies: DataFrame) -> DataFrame:
