@@ -13,6 +13,7 @@ from sitelens import constants as K
 from sitelens.functions import html, text, urls
 from sitelens.operators import accuracy, checks, manifest, report, robots, scoring, signals, sitemap, study
 from sitelens.plans import bridge as B
+from sitelens.sources.steps import balanced
 from sitelens.streaming import audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,10 +34,15 @@ def query(sql: str | None = None):
 # ---- shared plans -------------------------------------------------------------------------------------------------------
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """For what several parts of one plan read."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def featured(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     """Pages with their features in place of their HTML; kept where more than one grouping reads them."""
-    p = B.pages(spark, sf_dir).withColumn("f", html.features(F.col("html"), F.col("url"))).drop("html")
-    return p.persist(StorageLevel.MEMORY_AND_DISK) if keep else p
+    p = balanced(B.pages(spark, sf_dir)).withColumn("f", html.features(F.col("html"), F.col("url"))).drop("html")
+    return kept(p) if keep else p
 
 
 def site_verdicts(spark: SparkSession, sites: DataFrame) -> DataFrame:
@@ -47,12 +53,13 @@ def site_verdicts(spark: SparkSession, sites: DataFrame) -> DataFrame:
 def audited(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sites, verdicts and check results."""
     s = B.sites(spark, sf_dir)
-    v = site_verdicts(spark, s)
+    v = kept(site_verdicts(spark, s))
     return s, v, checks.checks(s, featured(spark, sf_dir), v, only)
 
 
 def site_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s, v, r = audited(spark, sf_dir)
+    r = kept(r)
     blanket = s.select("domain", "robots_id").join(robots.blanket_disallow(B.bodies(spark)), "robots_id").select("domain", "blanket")
     return s, v, r, scoring.scores(s, r, scoring.caps(v, blanket))
 
@@ -413,9 +420,9 @@ def robots_additions(spark, sf_dir):
 @query()
 def payload_json(spark, sf_dir):
     s = B.sites(spark, sf_dir)
-    v = site_verdicts(spark, s)
+    v = kept(site_verdicts(spark, s))
     p = featured(spark, sf_dir, keep=True)
-    r = checks.checks(s, p, v)
+    r = kept(checks.checks(s, p, v))
     blanket = s.select("domain", "robots_id").join(robots.blanket_disallow(B.bodies(spark)), "robots_id").select("domain", "blanket")
     scores = scoring.scores(s, r, scoring.caps(v, blanket))
     made = report.payload(s.join(blanket, "domain"), report.check_rows(s, r), scores, v, p, report.additions(r))

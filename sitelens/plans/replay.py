@@ -15,7 +15,7 @@ from sitelens.constants import PAGES_SAMPLED
 from sitelens.functions import html, urls
 from sitelens.operators import checks, report, robots, scoring, sitemap
 from sitelens.sources.responses import content_type
-from sitelens.sources.steps import written
+from sitelens.sources.steps import balanced, written
 
 TOKEN = "sitelens"
 FIELDS = ("final_url", "status", "headers", "text", "error")
@@ -95,7 +95,7 @@ def assemble(responses: DataFrame, domains: DataFrame, pages: int = PAGES_SAMPLE
 
 def features(audit: Audit) -> DataFrame:
     """Pages with their features in place of their HTML, written for the checks and the payload."""
-    return written(audit.pages.withColumn("f", html.features(F.col("html"), F.col("url"))).drop("html"), "features")
+    return written(balanced(audit.pages).withColumn("f", html.features(F.col("html"), F.col("url"))).drop("html"), "features")
 
 
 def payloads(audit: Audit) -> DataFrame:

@@ -18,3 +18,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least, for work that costs more than moving its rows; a table that has
+    as many already isn't touched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
