@@ -13,7 +13,7 @@ from sitelens import constants as K
 from sitelens.functions import html, text, urls
 from sitelens.operators import accuracy, checks, manifest, report, robots, scoring, signals, sitemap, study
 from sitelens.plans import bridge as B
-from sitelens.sources.steps import balanced
+from sitelens.sources.steps import balanced, shared_dir
 from sitelens.streaming import audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,7 +539,7 @@ def manifest_diff(spark, sf_dir):
 @query(f"WITH {B.SQL_PAGES.replace('s.added ||', '')},{_FEATURES} SELECT page_id, text_chars::INT AS text_chars, script_chars::INT AS script_chars, title FROM sc")
 def stream_audit(spark, sf_dir):
     """The pages read as a stream, written by an exactly-once sink and read back."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = audit.read_pages(spark, f"{sf_dir}/pages.parquet*")  # a pattern: one file or a folder of them
     audit.write_facts(stream, f"{base}/facts", f"{base}/log").awaitTermination()
     return spark.read.parquet(f"{base}/facts").select("page_id", "text_chars", "script_chars", "title")

@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df by way of the shared folder (spark.checkpoint.dir; a temporary one where that is unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where that is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df by way of the folder that all executors share."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def balanced(df: DataFrame) -> DataFrame:

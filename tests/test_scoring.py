@@ -34,6 +34,11 @@ def test_a_missing_check_is_a_zero(spark):
     assert scored(spark, [1, 1, 1, 1, None])["access"]["final"] == 95
 
 
+@pytest.mark.parametrize(("ratios", "score"), [((1, 1, 1, 0, 1), 90.0), ((5 / 11, 7 / 8, 0.8, 1, 1), 67.23), ((0, 2 / 8, 1, 1, 1), 35.0)])
+def test_scores_follow_from_counts(spark, ratios, score):
+    assert scored(spark, ratios)["access"]["raw"] == score
+
+
 def test_a_cap_lowers_and_never_raises(spark):
     assert scored(spark, [1, 1, 1, 1, 1], [("a", 20, "x")])["access"]["final"] == 20
     low = scored(spark, [0, 0, 0, 1, 1], [("a", 20, "x")])["access"]
