@@ -43,8 +43,10 @@ HOT = 1000
 PIECE = 1_000_000
 #: Bytes of text whose runs are folded before they are sent.
 FLUSH = 24_000_000
-#: Bytes of text for each bucket of anchors.
-BUCKET_BYTES = 32_000_000
+#: Bytes of text for each bucket of anchors, and how many buckets there are at most; a larger bucket is worked on in passes
+#: over parts of its anchors, each of about PASS records.
+BUCKET_BYTES, BUCKETS = 32_000_000, 50_000
+PASS = 2_000_000
 
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PLACE = np.uint64((1 << 24) - 1)
@@ -142,8 +144,8 @@ def pack(ids: np.ndarray, marks: np.ndarray, r: dict[str, np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    """Records of many blobs; id and mark name the document of each."""
+def unpack(blobs: list[bytes], part: int = 0, parts: int = 1) -> dict[str, np.ndarray]:
+    """Records of many blobs whose anchors fall in one of the parts; id and mark name the document of each."""
     out: dict[str, list[np.ndarray]] = {name: [] for name in ("id", "mark", "h", "c", "a", "n", "p")}
     squeeze = zstandard.ZstdDecompressor()
     for blob in blobs:
@@ -151,12 +153,15 @@ def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
         docs, n = struct.unpack_from("<II", raw)
         ids = np.frombuffer(raw, "<i8", docs, 8)
         marks = np.frombuffer(raw, "<i8", docs, 8 + 8 * docs)
-        at = 8 + 16 * docs
+        at, own = 8 + 16 * docs, slice(None)
         for name, width in FIELDS:
             wide = np.zeros((n, 8), dtype=np.uint8)
             wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
             value = wide.reshape(-1).view("<u8")
             at += n * width
+            if name == "h" and parts > 1:
+                own = np.flatnonzero(value % np.uint64(parts) == part)
+            value = value[own]
             if name == "doc":
                 out["id"].append(ids[value.astype(np.int64)])
                 out["mark"].append(marks[value.astype(np.int64)])
@@ -223,7 +228,7 @@ def send(kind: int, r: dict[str, np.ndarray], ids: np.ndarray, marks: np.ndarray
     by = np.lexsort((r["a"][lead], r["doc"][lead], bucket))
     lead, bucket = lead[by], bucket[by]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(lead) else [0]
-    rows = [(int(bucket[lo]), kind, None, None, None, None, pack(ids, marks, {k: v[lead[lo:hi]] for k, v in r.items()})) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+    rows = [(int(bucket[lo]), kind, None, None, int(hi - lo), None, pack(ids, marks, {k: v[lead[lo:hi]] for k, v in r.items()})) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
     if rows:
         yield records(rows)
 
@@ -290,14 +295,19 @@ def requests(kind: int, h: np.ndarray, ids: np.ndarray, marks: np.ndarray, a: np
 def meet(batches: Iterator[pa.RecordBatch], length: int, hot: int) -> Iterator[pa.RecordBatch]:
     """Step 2, over the records of one bucket: what is covered, and the runs whose bytes are needed."""
     blobs: list[bytes] = []
+    held = 0
     for batch in batches:
         kinds = batch.column(1)
         covers = batch.filter(pc.equal(kinds, COVER))
         if covers.num_rows:
             z = [covers.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5)]
             yield requests(COVER, np.zeros(len(z[0]), np.int64), *z, np.zeros(len(z[0]), np.int64))
-        blobs += batch.filter(pc.equal(kinds, RUNS)).column(6).to_pylist()
-    yield from resolve(unpack(blobs), length, hot)
+        sent = batch.filter(pc.equal(kinds, RUNS))
+        blobs += sent.column(6).to_pylist()
+        held += pc.sum(sent.column(4)).as_py() or 0
+    parts = -(-held // PASS)
+    for k in range(parts):
+        yield from resolve(unpack(blobs, k, parts), length, hot)
 
 
 def resolve(r: dict[str, np.ndarray], length: int, hot: int) -> Iterator[pa.RecordBatch]:
@@ -340,7 +350,7 @@ def fetch(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> Itera
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 k = near[x:y]
                 cols = [h[k].astype(np.int64), ids[row[own][k]], marks[row[own][k]], fields["a"][own][k], fields["p"][own][k]]
-                rows.append((int(bucket[k[0]]), CONTEXTS, None, None, None, None, pack_contexts(cols, [cut[i] for i in k.tolist()])))
+                rows.append((int(bucket[k[0]]), CONTEXTS, None, None, len(k), None, pack_contexts(cols, [cut[i] for i in k.tolist()])))
             if rows:
                 yield records(rows)
             far = np.flatnonzero(kind == WINDOWS)
@@ -355,36 +365,48 @@ def pack_contexts(cols: list[np.ndarray], raws: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def unpack_contexts(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def unpack_contexts(blobs: list[bytes], part: int = 0, parts: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of the contexts whose anchors fall in one of the parts, and their bytes, end to end."""
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     raws = []
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n = struct.unpack_from("<I", raw)[0]
-        for k in range(5):
-            cols[k].append(np.frombuffer(raw, "<i8", n, 4 + 8 * n * k))
-        cols[5].append(np.frombuffer(raw, "<u4", n, 4 + 40 * n).astype(np.int64))
-        raws.append(np.frombuffer(raw, np.uint8, offset=4 + 44 * n))
-    return [np.concatenate(c) for c in cols], raws
+        own = [np.frombuffer(raw, "<i8", n, 4 + 8 * n * k) for k in range(5)] + [np.frombuffer(raw, "<u4", n, 4 + 40 * n).astype(np.int64)]
+        text = np.frombuffer(raw, np.uint8, offset=4 + 44 * n)
+        if parts > 1:
+            keep = own[0] % parts == part
+            text = text[np.repeat(keep, own[5])]
+            own = [c[keep] for c in own]
+        for k in range(6):
+            cols[k].append(own[k])
+        raws.append(text)
+    return [np.concatenate(c) for c in cols], np.concatenate(raws)
 
 
 def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Steps 3 and 4 over one bucket: bytes covered because of runs that differ."""
     contexts: list[bytes] = []
     loose: list[bytes] = []
+    held = {CONTEXTS: 0, WINDOWS: 0}
     for batch in batches:
         kinds = batch.column(1)
         yield batch.filter(pc.equal(kinds, COVER))
-        contexts += batch.filter(pc.equal(kinds, CONTEXTS)).column(6).to_pylist()
-        loose += batch.filter(pc.equal(kinds, WINDOWS)).column(6).to_pylist()
-    r = unpack(loose)
-    if len(r["h"]):
+        for kind, blobs in ((CONTEXTS, contexts), (WINDOWS, loose)):
+            sent = batch.filter(pc.equal(kinds, kind))
+            blobs += sent.column(6).to_pylist()
+            held[kind] += pc.sum(sent.column(4)).as_py() or 0
+    parts = -(-held[WINDOWS] // PASS)
+    for k in range(parts):
+        r = unpack(loose, k, parts)
         order, _, same = fold(r)
         late = order[~same]
         yield from cover_rows(0, r["id"][late], r["mark"][late], r["a"][late], r["a"][late] + length)
-    if contexts:
-        (h, ids, marks, a, p, size), raws = unpack_contexts(contexts)
-        yield from cover_rows(0, *shared(h, ids, marks, a, p, size, np.concatenate(raws), length))
+    parts = -(-held[CONTEXTS] * 10 // PASS)  # a context is larger than a record
+    for k in range(parts):
+        (h, ids, marks, a, p, size), raw = unpack_contexts(contexts, k, parts)
+        if len(h):
+            yield from cover_rows(0, *shared(h, ids, marks, a, p, size, raw, length))
 
 
 def shared(h: np.ndarray, ids: np.ndarray, marks: np.ndarray, a: np.ndarray, p: np.ndarray, size: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -461,7 +483,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     spark = docs.sparkSession
     named = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__mark": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, -(-total // BUCKET_BYTES)))
     deal = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("id"), F.lit(buckets))).cast("int")
     sent = map_arrow(named.where(F.octet_length("text") >= length).select("__id", "__mark", "text"), lambda x: spread(x, buckets, length), RECORDS)
     met = materialise(map_arrow(sent.repartitionById(buckets, deal), lambda x: meet(x, length, hot), REQUESTS), "runs")

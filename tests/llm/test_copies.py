@@ -101,12 +101,23 @@ def passages(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize(("hot", "piece"), [(1000, 1_000_000), (2, 1_000_000), (1000, 150)])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot, piece):
+@pytest.mark.parametrize(("hot", "piece", "records"), [(1000, 1_000_000, 2_000_000), (2, 1_000_000, 40), (1000, 150, 40)])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot, piece, records):
     texts = passages(hot + piece) + [t for t in ODD if t is not LONG] + ["z" * 400, "yx" * 150]
     ids = random.Random(2).sample(range(1000), len(texts))
     monkeypatch.setattr(op9_suffix_dedup.pieces, "__defaults__", (piece,))
     df = frame(spark, texts, ids).repartition(3)
+    rows = spark.sparkContext.broadcast(records)  # the workers' PASS
+
+    def in_passes(f):
+        def run(*args):
+            op9_suffix_dedup.PASS = rows.value
+            return f(*args)
+
+        return run
+
+    for name in ("meet", "compare"):
+        monkeypatch.setattr(op9_suffix_dedup, name, in_passes(getattr(op9_suffix_dedup, name)))
     got = {r["doc_id"]: op9_suffix_dedup.remove((r["text"] or "").encode(), [(s["a"], s["e"]) for s in r["spans"] or ()]) for r in op9_suffix_dedup.repeated_spans(df, hot=hot).collect()}
     for i, want in brute_repeats(zip(ids, texts, strict=True)).items():
         kept, gone = got[i]
