@@ -258,10 +258,8 @@ class BatchEncoder:
         self.table = np.zeros((len(steps), len(used) + 2), dtype=np.int32)
         self.shorter = np.full(1 << 16, -1, dtype=np.int32)
         self.size = np.ones(1 << 16, dtype=np.int16)
-        for i, n in model.size.items():
+        for i, n in model.size.items():  # in bytes: a character of the byte-level alphabet is one
             self.size[i] = n
-        for token, i in model.vocab.items():  # in bytes, as one character of the byte-level alphabet is one byte
-            self.size[i] = model.size.get(i, 1)
         for c, to in steps[0].items():
             self.table[0, c] = to
         link = np.zeros(len(steps), dtype=np.int32)
@@ -339,8 +337,7 @@ class BatchEncoder:
         token_at = np.full((len(rest), width), -1, dtype=np.int32)
         state = np.zeros(len(rest), dtype=np.int32)
         for i in range(width):
-            live = int(np.searchsorted(-n, -(i - ends), side="right")) if i >= ends else len(rest)
-            live = min(live, int(np.searchsorted(-(n + ends), -(i + 1), side="right")))
+            live = int(np.searchsorted(-(n + ends), -(i + 1), side="right"))  # the longest words stand first
             c = np.where(n[:live] > i, flat[np.minimum(first[:live] + i, len(flat) - 1)], self.column[256])
             state[:live] = self.table[state[:live], c]
             token = self.token_of[state[:live]]

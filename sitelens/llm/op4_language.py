@@ -5,7 +5,8 @@ most probability over its words, and its score is that label's mean probability.
 
 It learns from rows with text and language whose crc32(doc_id as text) mod 4 isn't 2: from each language's rows a sample by
 hash of about SAMPLE documents of at most SAMPLE_CHARS characters (these two bound what the driver holds). Every word of a
-sampled document is taken as a word of its language. lang, source and doc_id aren't read when predicting.
+sampled document is taken as a word of its language. lang, source and doc_id aren't read when predicting. The model has a weight
+for each feature and language, so it learns the LANGUAGES most frequent ones at most (0.5 MB each).
 
 Null texts and texts without a letter are `und`, score 0. With no row to learn from, every text is. A null doc_id isn't held
 out and isn't learnt from. Repeated rows each give a row.

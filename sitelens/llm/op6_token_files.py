@@ -44,7 +44,7 @@ END_ID = 1
 MAGIC, VERSION = b"TIDP", 1
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 24
-SHARD_ROWS = 50_000
+SHARD_ROWS = 1_000_000
 
 
 def to_planes(ids: np.ndarray, width: int, bits: bool) -> list[bytes]:
