@@ -22,7 +22,7 @@ import pyarrow as pa
 import re
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm.bpe import BYTE_LEVEL, BpeModel
+from sitelens.llm.bpe import BYTE_LEVEL, LATIN_TEXT, BpeModel
 from sitelens.llm.common import Memo, id_text, map_batches, read_table, worker_cache
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BORDER = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+#: The same for text of visible ASCII, Latin-1 and Latin Extended-A letters, where the classes of the pattern are known.
+LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+| ?[0-9]+| ?[^\\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|\\s+(?!\\S)|\\s+")
 ASCII_LEVEL = {b: c for b, c in BYTE_LEVEL.items() if b < 128}
 
 
@@ -41,7 +43,7 @@ class Transducer:
     """Counts the tokens of words of the byte-level alphabet."""
 
     START = -1
-    MOST = 150_000
+    MOST = 300_000
 
     def __init__(self, model: BpeModel):
         self.model = model
@@ -113,8 +115,9 @@ class Counter:
     def __init__(self, path: str):
         self.model = BpeModel(path)
         self.transducer = Transducer(self.model)
-        self.words = Memo(self.transducer.count, 300_000)
-        self.segments = Memo(self._segment, 500_000)
+        self.words = Memo(self.transducer.count, 100_000)
+        self.segments = Memo(self._segment, 200_000)
+        self.latin = Memo(self._latin_word, 400_000)
 
     def _segment(self, segment: str) -> int:
         """Tokens of white space and the visible run after it."""
@@ -132,8 +135,13 @@ class Counter:
                 total += sum(self.words[w] for w, _ in self.model.split(piece))
         return total
 
+    def _latin_word(self, word: str) -> int:
+        return self.transducer.count((word if word.isascii() else word.encode().decode("latin-1")).translate(BYTE_LEVEL))
+
     def run(self, text: str) -> int:
         """Tokens of text that starts and ends at borders."""
+        if LATIN_TEXT.fullmatch(text) and not (self.model.cut is not None and "<" in text and self.model.cut.search(text)):
+            return sum(map(self.latin.__getitem__, LATIN_WORD.findall(text)))
         return sum(map(self.segments.__getitem__, SEGMENT.findall(text)))
 
     def chunk_map(self, chunk: str) -> tuple:
