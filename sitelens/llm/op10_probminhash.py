@@ -38,7 +38,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 30
 M = ROWS * BANDS
-TILE = 256
+TILE = 128
 SALTS = 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xD1B54A32D192ED03)
