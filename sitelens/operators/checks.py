@@ -180,7 +180,7 @@ def page_wall() -> Column:
     return wall_reason(F.col("status"), F.col("url"), F.col("f.has_password"), F.col("f.text_chars"))
 
 
-@check("pages_reachable", n=lambda: F.count_if(page_wall().isNull()), weak=lambda: first_four(page_wall().isNotNull(), F.concat(F.col("url"), F.lit(" ("), page_wall(), F.lit(")"))))
+@check("pages_reachable", n=lambda: F.count_if(F.col("_wall").isNull()), weak=lambda: first_four(F.col("_wall").isNotNull(), F.concat(F.col("url"), F.lit(" ("), F.col("_wall"), F.lit(")"))))
 def reachable(c):
     n, total = c("n"), F.col("pages")
     return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages can be read without an account. "), c("weak")), F.when(n < total, "Serve these pages to a client without an account."), F.struct(n.alias("open"), total.alias("pages"))
@@ -200,7 +200,7 @@ def page_noindex() -> Column:
     return noindex_reasons(F.col("headers"), F.col("f.metas"))
 
 
-@check("no_noindex", n=lambda: F.count_if(F.size(page_noindex()) == 0), weak=lambda: first_four(F.size(page_noindex()) > 0, F.concat(F.col("url"), F.lit(" ("), F.array_join(page_noindex(), ", "), F.lit(")"))))
+@check("no_noindex", n=lambda: F.count_if(F.size(F.col("_noindex")) == 0), weak=lambda: first_four(F.size(F.col("_noindex")) > 0, F.concat(F.col("url"), F.lit(" ("), F.array_join(F.col("_noindex"), ", "), F.lit(")"))))
 def noindex(c):
     n, total = c("n"), F.col("pages")
     return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages may be indexed. "), c("weak")), F.when(n < total, "Take the noindex directive off pages that are meant to be found."), F.struct(n.alias("clean"), total.alias("pages"))
@@ -210,7 +210,7 @@ def page_raw() -> Column:
     return raw_html_score(F.col("f.text_chars"), F.col("f.script_chars"))
 
 
-@check("raw_html_content", ratio=lambda: mean(page_raw()), weak=lambda: F.count_if(ok200() & (page_raw() < 1)), told=lambda: first_four(ok200() & (page_raw() < 1), F.concat(F.col("url"), F.lit(" ("), F.col("f.text_chars").cast("string"), F.lit(" characters of text)"))))
+@check("raw_html_content", ratio=lambda: mean(F.col("_raw")), weak=lambda: F.count_if(ok200() & (F.col("_raw") < 1)), told=lambda: first_four(ok200() & (F.col("_raw") < 1), F.concat(F.col("url"), F.lit(" ("), F.col("f.text_chars").cast("string"), F.lit(" characters of text)"))))
 def raw_html(c):
     severity = F.when(c("weak") == 0, "ok").when(c("ratio") < 0.34, "critical").otherwise("warning")
     return c("ratio"), severity, F.concat(of(F.col("readable") - c("weak"), F.col("readable")), F.lit(" pages carry their text in the HTML that is sent. "), c("told")), F.when(c("weak") > 0, "Render the text on the server."), F.struct(c("weak").alias("weak"))
@@ -220,7 +220,7 @@ def page_known() -> Column:
     return F.arrays_overlap("f.jsonld_types", F.array(*map(F.lit, K.JSONLD_TYPES)))
 
 
-@check("jsonld_valid", n=lambda: F.count_if(ok200() & page_known()), broken=lambda: F.sum(F.when(ok200(), F.col("f.jsonld_broken"))))
+@check("jsonld_valid", n=lambda: F.count_if(ok200() & F.col("_known")), broken=lambda: F.sum(F.when(ok200(), F.col("f.jsonld_broken"))))
 def jsonld(c):
     n, total, broken = c("n"), F.col("readable"), c("broken")
     severity = F.when((n == total) & (broken == 0), "ok").when((n == 0) | (broken > 0), "warning").otherwise("info")
@@ -231,7 +231,7 @@ def page_outline() -> Column:
     return heading_score(F.transform("f.headings", lambda h: h["level"]))
 
 
-@check("heading_structure", ratio=lambda: mean(page_outline()), weak=lambda: F.count_if(ok200() & (page_outline() < 1)), told=lambda: first_four(ok200() & (page_outline() < 1), F.col("url")))
+@check("heading_structure", ratio=lambda: mean(F.col("_outline")), weak=lambda: F.count_if(ok200() & (F.col("_outline") < 1)), told=lambda: first_four(ok200() & (F.col("_outline") < 1), F.col("url")))
 def headings(c):
     severity = F.when(c("weak") == 0, "ok").when(c("ratio") < 0.5, "warning").otherwise("info")
     return c("ratio"), severity, F.concat(of(F.col("readable") - c("weak"), F.col("readable")), F.lit(" pages have one h1 and skip no level. "), c("told")), F.when(c("weak") > 0, "Use one h1 and go down one level at a time."), F.struct(c("weak").alias("weak"))
@@ -243,11 +243,11 @@ def page_title() -> Column:
 
 @check(
     "title_and_description",
-    t=lambda: mean(field_score(F.col("f.title"), K.TITLE_RANGE)),
-    d=lambda: mean(field_score(F.col("f.description"), K.DESCRIPTION_RANGE)),
-    titles=lambda: F.count(page_title()),
-    distinct=lambda: F.size(F.collect_set(page_title())),
-    odd=lambda: F.count_if(~F.length(page_title()).between(*K.TITLE_RANGE)),
+    t=lambda: mean(F.col("_title_score")),
+    d=lambda: mean(F.col("_description_score")),
+    titles=lambda: F.count(F.col("_title")),
+    distinct=lambda: F.size(F.collect_set(F.col("_title"))),
+    odd=lambda: F.count_if(~F.length(F.col("_title")).between(*K.TITLE_RANGE)),
     plain=lambda: F.count_if(ok200() & (F.col("f.description") == "")),
 )
 def titles(c):
@@ -257,7 +257,7 @@ def titles(c):
     return ratio, F.when(full, "ok").otherwise("warning"), F.concat((F.col("readable") - c("titles")).cast("string"), F.lit(" pages have no title, "), c("plain").cast("string"), F.lit(" no description; titles are "), F.when(unique, "all different.").otherwise("not all different.")), F.when(~full, "Give each page a title and a description of its own, of the usual length."), F.struct(unique.alias("titles_unique"), c("odd").alias("titles_outside_range"), c("plain").alias("no_description"))
 
 
-@check("author_and_dates", a=lambda: F.count_if(ok200() & has_author(F.col("f"))), d=lambda: F.count_if(ok200() & has_date(F.col("f"))))
+@check("author_and_dates", a=lambda: F.count_if(ok200() & F.col("_author")), d=lambda: F.count_if(ok200() & F.col("_date")))
 def authorship(c):
     total = F.col("readable")
     full = (c("a") == total) & (c("d") == total)
@@ -268,7 +268,7 @@ def page_canonical() -> Column:
     return canonical_fault(F.col("f.canonical"), F.col("url"))
 
 
-@check("canonical", n=lambda: F.count_if(ok200() & page_canonical().isNull()), told=lambda: first_four(ok200() & page_canonical().isNotNull(), F.concat(F.col("url"), F.lit(" ("), page_canonical(), F.lit(")"))))
+@check("canonical", n=lambda: F.count_if(ok200() & F.col("_canonical").isNull()), told=lambda: first_four(ok200() & F.col("_canonical").isNotNull(), F.concat(F.col("url"), F.lit(" ("), F.col("_canonical"), F.lit(")"))))
 def canonical(c):
     full = c("n") == F.col("readable")
     return F.try_divide(c("n"), F.col("readable")), F.when(full, "ok").otherwise("warning"), F.concat(of(c("n"), F.col("readable")), F.lit(" pages name a canonical address on their own host. "), c("told")), F.when(~full, "Add a canonical link to each page, on its own host."), F.struct(c("n").alias("sound"))
@@ -294,7 +294,7 @@ def llms(c):
 SHAPES = ("steps", "comparison_table", "faq", "definition_list", "attributed_quote", "summary_box")
 
 
-@check("answer_shaped_content", citable=lambda: mean(citable_score(F.col("f.block_sizes"))), **{n: lambda n=n: F.coalesce(F.bool_or(ok200() & F.col("f")[n]), F.lit(False)) for n in SHAPES})
+@check("answer_shaped_content", citable=lambda: mean(F.col("_citable")), **{n: lambda n=n: F.coalesce(F.bool_or(ok200() & F.col("f")[n]), F.lit(False)) for n in SHAPES})
 def answers(c):
     found = reduce(lambda a, b: a + b, (c(n).cast("int") for n in SHAPES))
     full = (found >= K.SHAPES_WANTED) & (c("citable") == 1)
@@ -302,6 +302,23 @@ def answers(c):
     return F.when(full, 1.0).otherwise(ratio), F.when(full, "ok").otherwise("info"), F.concat(found.cast("string"), F.lit(" of 6 shapes that answers are taken from.")), F.when(~full, "Offer steps, tables, questions with answers or definitions, in sections."), F.struct(*(c(n).alias(n) for n in SHAPES), found.alias("found"), c("citable").alias("citable"))
 
 
+#: What the aggregates read of a page, computed once a page.
+PAGE: dict[str, Callable[[], Column]] = {
+    "_wall": page_wall,
+    "_noindex": page_noindex,
+    "_raw": page_raw,
+    "_known": page_known,
+    "_outline": page_outline,
+    "_title": page_title,
+    "_title_score": lambda: field_score(F.col("f.title"), K.TITLE_RANGE),
+    "_description_score": lambda: field_score(F.col("f.description"), K.DESCRIPTION_RANGE),
+    "_author": lambda: has_author(F.col("f")),
+    "_date": lambda: has_date(F.col("f")),
+    "_canonical": page_canonical,
+    "_citable": lambda: citable_score(F.col("f.block_sizes")),
+}
+
+
 #: Readability checks that need a page that answered 200.
 OF_PAGES = frozenset(i for c, i, _ in K.RUBRIC if c == "readability" and i != "llms_txt")
 
@@ -312,7 +329,7 @@ def checks(sites: DataFrame, pages: DataFrame, verdicts: DataFrame, only: tuple[
     sites: domain, declared, reachable, llms. pages and verdicts are grouped by domain once each."""
     wanted = [(c, i) for c, i, _ in K.RUBRIC if not only or i in only]
     aggregates = [a().alias(f"{i}__{n}") for _, i in wanted for n, a in CHECKS[i][1].items()]
-    per_site = pages.groupBy("domain").agg(F.count("*").alias("pages"), F.count_if(ok200()).alias("readable"), *aggregates)
+    per_site = pages.withColumns({n: c() for n, c in PAGE.items()}).groupBy("domain").agg(F.count("*").alias("pages"), F.count_if(ok200()).alias("readable"), *aggregates)
     row = sites.join(per_site, "domain", "left").join(crawler_facts(verdicts), "domain", "left").withColumn("pages", F.coalesce("pages", F.lit(0))).withColumn("readable", F.coalesce("readable", F.lit(0)))
     made = []
     for category, i in wanted:
