@@ -5,9 +5,11 @@ documents are counted for each hash. A line is boilerplate of a host if at least
 more than SHARE of them. Such lines are taken out, and a document that loses more than DEPLETED of its words is rejected.
 The limits are shares of a host's documents, so they mean the same at every size.
 
-One pass reads the texts: it gives the base figures and the distinct lines with their words. Counts are summed before they
-are shuffled, so a line on every page costs a row for each task. Back on the documents' lines, the few boilerplate lines are
-copied to SALTS partitions each and met by a part of the documents in each.
+A first pass over the texts gives the hashes of each document's distinct lines. Counts are summed before they are shuffled, so
+a line on every page costs a row for each task. Back on the documents' lines, the few boilerplate lines are copied to SALTS
+partitions each and met by a part of the documents in each. The texts are read again and shuffled once, to meet the boilerplate
+lines they hold: a second pass takes these out and counts the figures of the query. Documents meet their lines by host and a
+hash of doc_id, host and text; were two documents of a host to share it, each would be given boilerplate of that host only.
 
 Base rules: fewer than 50 words, or more than half of the words in three-word windows that the text repeats.
 Null and empty texts have no words and fail the base rules. A null host is a host of its own. Repeated rows count as
@@ -21,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sitelens.llm.common import map_arrow, materialise, read_table
 
@@ -32,7 +35,8 @@ SALTS = 64
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
-FIGURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,words:int>>"
+LINES = "host string, key long, lines array<long>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_cut")
 
 
 def repeat_words(words: list[list[bytes]]) -> list[int]:
@@ -60,48 +64,94 @@ def repeat_words(words: list[list[bytes]]) -> list[int]:
     return out.tolist()
 
 
-def figures(docs: DataFrame) -> DataFrame:
-    """Base figures and distinct normalised lines of every row."""
+def hashed_line(line: bytes) -> tuple[int | None, int]:
+    """Hash of a normalised line and its number of words; a blank line has no hash."""
+    w = line.lower().split()
+    return (xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) if w else None), len(w)
+
+
+def document_lines(docs: DataFrame) -> DataFrame:
+    """Host, key and hashes of the distinct normalised lines of every row of docs (host, key, text)."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column(2).to_pylist()]
-                raws = [t.encode() for t in texts]
-                words = [r.split() for r in raws]
-                rows, lines_out = [], []
-                for text, raw, own in zip(texts, raws, words, strict=True):
-                    filled = [line for line in raw.split(b"\n") if line.strip()]
-                    in_line: dict[int, int] = {}
-                    for line in filled:
-                        w = line.lower().split()
-                        h = xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63)
-                        in_line[h] = in_line.get(h, 0) + len(w)
-                    rows.append((len(own), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(filled) - len(set(filled))))
-                    lines_out.append([{"h": h, "words": n} for h, n in in_line.items()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array(repeat_words(words), pa.int64()), pa.array(lines_out, pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int32())])))],
-                    names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
-                )
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text")), run, FIGURES)
+                lines = [list({h for h, n in map(hashed_line, (t or "").encode().split(b"\n")) if n}) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.list_(pa.int64()))], names=["host", "key", "lines"])
 
+    return map_arrow(docs, run, LINES)
 
-def line_frequency(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, base figures, base_failed, words in boilerplate lines, and the verdict, of every row."""
-    seen = materialise(figures(docs).withColumn("row", F.monotonically_increasing_id()), "figures")
-    lines = seen.select("row", "host", "n_words", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("h"), F.col("line.words").alias("words"))
+
+def boilerplate(docs: DataFrame, least_docs: int, share: float) -> DataFrame:
+    """Host, key and the hashes of the boilerplate lines of the rows of docs (host, key, text) that hold any."""
+    seen = materialise(document_lines(docs).withColumn("row", F.monotonically_increasing_id()), "lines")
+    lines = seen.select("row", "host", "key", F.explode("lines").alias("h"))
     hosts = seen.groupBy("host").agg(F.count("*").alias("docs"))
     often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
     often = often.join(hosts, often["host"].eqNullSafe(hosts["host"])).where(F.col("n") > share * F.col("docs")).select(often["host"], "h")
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
-    gone = salted.join(often, salted["host"].eqNullSafe(often["host"]) & (salted["h"] == often["h"]) & (salted["salt"] == often["salt"])).groupBy("row").agg(F.sum("words").alias("words_cut"))
-    out = seen.drop("lines").join(gone, "row", "left").withColumn("n_words_cut", F.coalesce("words_cut", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = ~failed & ~(F.col("n_words_cut") > depleted * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_words_cut")
+    found = salted.join(often, salted["host"].eqNullSafe(often["host"]) & (salted["h"] == often["h"]) & (salted["salt"] == often["salt"]), "left_semi")
+    return found.groupBy("host", "key").agg(F.collect_set("h").alias("gone"))
+
+
+def refine(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every row of docs with the boilerplate lines of its host taken out of its text, its figures (COUNTS, of the text as it
+    came), base_failed and the verdict kept; the names of the new columns begin with two underscores."""
+    host, text = F.col("source").cast("string"), F.col("text").cast("string")
+    key = F.xxhash64(F.col("doc_id").cast("long"), host, text)
+    gone = boilerplate(docs.select(host.alias("host"), key.alias("key"), text.alias("text")), least_docs, share)
+    own = docs.withColumn("text", text).withColumns({"__host": host, "__key": key})
+    met = own.join(gone, own["__host"].eqNullSafe(gone["host"]) & (own["__key"] == gone["key"]), "left").select(*[own[c] for c in docs.columns], gone["gone"].alias("__gone"))
+    at_text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                given = part.column(at_text).to_pylist()
+                raws = [(t or "").encode() for t in given]
+                words = [r.split() for r in raws]
+                rows, left = [], []
+                for text, raw, own, cut in zip(given, raws, words, part.column(part.num_columns - 1).to_pylist(), strict=True):
+                    lines = raw.split(b"\n")
+                    filled = [line for line in lines if line.strip()]
+                    n_cut = 0
+                    if cut:
+                        cut, stay = set(cut), []
+                        for line in lines:
+                            h, n = hashed_line(line)
+                            if n and h in cut:
+                                n_cut += n
+                            else:
+                                stay.append(line)
+                        left.append(b"\n".join(stay).decode())
+                    else:
+                        left.append(text)
+                    text = text or ""
+                    rows.append((len(own), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(filled) - len(set(filled)), n_cut))
+                columns = [pa.array(left, pa.string()) if k == at_text else part.column(k) for k in range(part.num_columns - 1)]
+                counts = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
+                counts.insert(4, pa.array(repeat_words(words), pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns + counts, names=names)
+
+    schema = StructType([*met.drop("__gone").schema.fields, *(StructField(f"__{c}", LongType()) for c in COUNTS)])
+    names = schema.names
+    out = map_arrow(met, run, schema)
+    failed = (F.col("__n_words") < min_words) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
+    return out.withColumns({"__base_failed": failed, "__kept": ~failed & ~(F.col("__n_words_cut") > depleted * F.col("__n_words"))})
+
+
+def clean(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that are kept, without the boilerplate lines of their host."""
+    return refine(docs, **limits).where("__kept").select(*docs.columns)
+
+
+def line_frequency(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, depleted: float = DEPLETED, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, base figures, base_failed, words in boilerplate lines, and the verdict, of every row."""
+    out = refine(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), least_docs, share, depleted, min_words)
+    return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in (*COUNTS[:-1], "base_failed", "kept", "n_words_cut")))
 
 
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,6 +279,43 @@ def test_figures_of_odd_texts(spark):
         assert got[i]["n_symbols"] == sum((t or "").count(c) for c in "#*$%&|<>")
 
 
+def brute_clean(rows):
+    """Kept (doc_id, text) of op7 by plain counting."""
+    norm = lambda line: b" ".join(line.encode().lower().split())
+    docs, often, out = {}, {}, []
+    for _, text, host in rows:
+        docs[host] = docs.get(host, 0) + 1
+        for x in {norm(line) for line in (text or "").split("\n")} - {b""}:
+            often[host, x] = often.get((host, x), 0) + 1
+    for i, text, host in rows:
+        bad = lambda line: often.get((host, norm(line)), 0) >= 5 and often[host, norm(line)] > 0.02 * docs[host]  # noqa: B023, E731
+        lines = (text or "").split("\n")
+        own = (text or "").encode().split()
+        windows = [tuple(own[k : k + 3]) for k in range(len(own) - 2)]
+        repeated = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)}
+        cut = sum(len(line.encode().split()) for line in lines if bad(line))
+        if len(own) >= 50 and 100 * len(repeated) <= 50 * len(own) and cut <= 0.5 * len(own):
+            out.append((i, "\n".join(line for line in lines if not bad(line))))
+    return out
+
+
+def test_clean_takes_boilerplate_out(spark):
+    rows = [(k, f"Menu  HOME\n\n{prose(k, 30)} é\r\nmenu home\t\n{prose(900 + k, 25)}\nshare | print", "a" if k % 3 else None) for k in range(60)]
+    rows += [(100 + k, prose(7, 80) + "\n" + prose(500 + k, 10), "a") for k in range(6)]
+    rows += [(200 + k, prose(8, 20) + "\n" + prose(700 + k, 60), f"h{k % 3}") for k in range(14)]
+    rows += [rows[0], rows[1], (None, rows[2][1], "a"), (None, None, "a"), (300, prose(7, 80), "b"), (301, "", None), (302, "menu home\n" * 80, "a")]
+    rows += [(400 + k, f"x{k} " * 60 + "\nmenu home", "a") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("host", "key", "gone", "lines", "row", "kept", "n_words")})
+    got = op7_line_frequency.clean(df)
+    assert got.columns == df.columns
+    want = brute_clean(rows)
+    order = lambda x: (x[0] is None, x)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=order) == sorted(want, key=order)
+    assert 60 < len(want) < len(rows) and not any("menu home" in t.lower() for i, t in want if i is not None and 0 < i < 60)
+    short = op7_line_frequency.clean(df, min_words=0).where("doc_id is null and text is null").count()
+    assert short == 1 and op7_line_frequency.clean(df.limit(0)).count() == 0
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------------
 
 
