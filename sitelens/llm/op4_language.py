@@ -1,7 +1,8 @@
 """Operator 4: language of texts by a linear-chain conditional random field over their words (see crf.py).
 
-The field labels each word, so that text which switches between languages is split; a text's language is the label with the
-most probability over its words, and its score is that label's mean probability.
+The field labels each word, so that text which switches between languages is split: runs() gives the runs of words of one
+label, with the number of the first word (as words() counts them), the number of words and the label's mean probability there.
+A text's language is the label with the most probability over its runs, and its score is that label's mean probability.
 
 It learns from rows with text and language whose crc32(doc_id as text) mod 4 isn't 2: from each language's rows a sample by
 hash of about SAMPLE documents of at most SAMPLE_CHARS characters (these two bound what the driver holds). Every word of a
@@ -73,8 +74,8 @@ class Labeller:
         self.table = np.zeros((1024, self.transition.shape[0]), dtype=np.float32)
         self.used = 0
 
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the label probabilities over the words of each text, and its number of words."""
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities of all words of the texts, and the text of each word."""
         if self.used > MOST:
             self.clear()
         joined = BREAK.join(t.replace(BREAK, " ") for t in texts) + BREAK
@@ -95,17 +96,25 @@ class Labeller:
         doc = np.cumsum(ids == -1)
         doc = doc[ids >= 0]
         ids = ids[ids >= 0]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        return marginals(self.table[ids].astype(np.float64), first, self.transition), doc
+
+    def runs(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Of each run of words of one label, in order: its text, label, first word, number of words, and the sums of all label
+        probabilities over its words."""
+        found, doc = self.words(texts)
+        label = found.argmax(axis=1)
+        begin = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
+        sums = np.add.reduceat(found, begin, axis=0) if len(begin) else np.zeros((0, found.shape[1]))
         count = np.bincount(doc, minlength=len(texts))
-        total = np.zeros((len(texts), self.transition.shape[0]))
-        some = np.flatnonzero(count)
-        if len(some):
-            first = np.searchsorted(doc, some)
-            total[some] = np.add.reduceat(marginals(self.table[ids].astype(np.float64), first, self.transition), first, axis=0)
-        return total, count
+        return doc[begin], label[begin], begin - (np.cumsum(count) - count)[doc[begin]], np.diff(np.append(begin, len(doc))), sums
 
 
-def languages(docs: DataFrame, langs: list[str], weights: np.ndarray, transition: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
+RUN = pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64()), ("probability", pa.float64())])
+
+
+def runs(docs: DataFrame, langs: list[str], weights: np.ndarray, transition: np.ndarray) -> DataFrame:
+    """doc_id, lang_pred, score and runs of every row; a text without a letter has no run."""
     shipped = docs.sparkSession.sparkContext.broadcast((langs, weights, transition))
     kept: dict = {}
 
@@ -114,22 +123,32 @@ def languages(docs: DataFrame, langs: list[str], weights: np.ndarray, transition
         if "labeller" not in kept and names:
             kept["labeller"] = Labeller(w, t)
         for batch in batches:
-            pred: list[str] = []
-            score: list[float] = []
             for at in range(0, batch.num_rows, 400):
-                texts = [x or "" for x in batch.column(1).slice(at, 400).to_pylist()]
-                if not names:
-                    pred += ["und"] * len(texts)
-                    score += [0.0] * len(texts)
-                    continue
-                total, count = kept["labeller"].texts(texts)
-                best = total.argmax(axis=1)
-                pred += [names[b] if n else "und" for b, n in zip(best.tolist(), count.tolist(), strict=True)]
-                score += np.clip(total[np.arange(len(texts)), best] / np.maximum(count, 1), 0.0, 1.0).tolist()
-            if pred:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double")
+                part = batch.slice(at, 400)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                pred, score, found = ["und"] * len(texts), np.zeros(len(texts)), pa.array([[]] * len(texts), pa.list_(RUN))
+                if names:
+                    doc, label, first, size, sums = kept["labeller"].runs(texts)
+                    here, begin = np.unique(doc, return_index=True)
+                    if len(here):
+                        total = np.add.reduceat(sums, begin, axis=0)
+                        best = total.argmax(axis=1)
+                        count = np.add.reduceat(size, begin)
+                        score[here] = np.clip(total[np.arange(len(here)), best] / count, 0.0, 1.0)
+                        for d, b in zip(here.tolist(), best.tolist(), strict=True):
+                            pred[d] = names[b]
+                        mean = np.clip(sums[np.arange(len(label)), label] / size, 0.0, 1.0)
+                        fields = [pa.array(names, pa.string()).take(pa.array(label)), pa.array(first), pa.array(size), pa.array(mean)]
+                        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+                        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(RUN)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), found], names=["doc_id", "lang_pred", "score", "runs"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, runs array<struct<lang:string,first:long,words:long,probability:double>>")
+
+
+def languages(docs: DataFrame, langs: list[str], weights: np.ndarray, transition: np.ndarray) -> DataFrame:
+    """doc_id, lang_pred, score of every row."""
+    return runs(docs, langs, weights, transition).select("doc_id", "lang_pred", "score")
 
 
 def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,31 @@ def test_odd_texts_have_a_language(spark):
     assert {r["lang_pred"] for r in one} == {"und", "en"}
 
 
+def test_runs_split_text_that_switches(spark):
+    english, french = "the cat sat on that mat with her hat ", "le chat est sur une table avec mon chapeau "
+    learnt = op4_language.learn(spark.createDataFrame([(i, (french if i % 2 else english) * 5, "fr" if i % 2 else "en") for i in range(80)], "doc_id long, text string, lang string"))
+    texts = [english * 4 + french * 3 + english * 2, french * 3 + "12 -- " + english * 5, *ODD]
+    got = {r["doc_id"]: r for r in op4_language.runs(frame(spark, texts), *learnt).collect()}
+    assert [(x["lang"], x["first"], x["words"]) for x in got[0]["runs"]] == [("en", 0, 36), ("fr", 36, 27), ("en", 63, 18)]
+    assert [(x["lang"], x["first"], x["words"]) for x in got[1]["runs"]] == [("fr", 0, 27), ("en", 27, 45)]
+    assert got[0]["lang_pred"] == got[1]["lang_pred"] == "en"
+    langs, weights, transition = learnt
+    for i, t in enumerate(texts):
+        own = op4_language.words(t or "")
+        if own:
+            p = crf.forward_backward(crf.emissions(weights, own)[None].astype(float), transition)[0][0]
+            want, at = [], 0
+            for k, g in itertools.groupby(p.argmax(axis=1).tolist()):
+                n = len(list(g))
+                want.append((langs[k], at, n, p[at : at + n, k].mean()))
+                at += n
+            assert [tuple(x)[:3] for x in got[i]["runs"]] == [x[:3] for x in want]
+            assert np.allclose([x["probability"] for x in got[i]["runs"]], [x[3] for x in want], atol=1e-5)
+            assert got[i]["lang_pred"] == langs[p.sum(axis=0).argmax()] and np.isclose(got[i]["score"], p.mean(axis=0).max(), atol=1e-5)
+        else:
+            assert (got[i]["runs"], got[i]["lang_pred"], got[i]["score"]) == ([], "und", 0.0)
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------------
 
 
