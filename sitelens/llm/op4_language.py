@@ -5,8 +5,8 @@ label, with the number of the first word (as words() counts them), the number of
 A text's language is the label with the most probability over its runs, and its score is that label's mean probability.
 
 It learns from rows with text and language whose crc32(doc_id as text) mod 4 isn't 2: from each language's rows a sample by
-hash of about SAMPLE documents of at most SAMPLE_CHARS characters (these two bound what the driver holds). Every word of a
-sampled document is taken as a word of its language. lang, source and doc_id aren't read when predicting. The model has a weight
+hash of about SAMPLE documents, of each its first SAMPLE_CHARS characters (these two bound what the driver holds). Every word
+of a sampled piece is taken as a word of its language. lang, source and doc_id aren't read when predicting. The model has a weight
 for each feature and language, so it learns the LANGUAGES most frequent ones at most (0.5 MB each).
 
 Null texts and texts without a letter are `und`, score 0. With no row to learn from, every text is. A null doc_id isn't held
@@ -50,7 +50,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray,
         return [], np.zeros((0, 0)), np.zeros((0, 0))
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    rows = open_rows.where((draw < shares[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "lang", "text").limit(2 * sample * len(counts)).collect()
+    rows = open_rows.where(draw < shares[F.col("lang")]).select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * sample * len(counts)).collect()
     streams: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
         if own := words(r["text"]):

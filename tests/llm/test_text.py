@@ -202,6 +202,14 @@ def test_runs_split_text_that_switches(spark):
             assert (got[i]["runs"], got[i]["lang_pred"], got[i]["score"]) == ([], "und", 0.0)
 
 
+def test_language_of_long_documents_is_learnt(spark):
+    rows = [(i, "le chat est sur une table " * 2000 if i % 2 else "the cat sat on that mat " * 5, "fr" if i % 2 else "en") for i in range(24)]
+    assert min(len(t) for i, t, x in rows if x == "fr") > op4_language.SAMPLE_CHARS
+    learnt = op4_language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learnt[0] == ["en", "fr"]
+    assert [r["lang_pred"] for r in op4_language.languages(frame(spark, ["le chat est sur la table"]), *learnt).collect()] == ["fr"]
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------------
 
 
