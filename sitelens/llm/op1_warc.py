@@ -35,9 +35,12 @@ VERSION = "WARC/1.1"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 FILE_BYTES = 64_000_000
 
-#: A comment, an element whose content isn't text, a declaration, or a tag. Tags of over 64 KiB are text.
+_ATTRIBUTES = r"(?:\"[^\"]*+\"|'[^']*+'|[^>\"']){0,65536}+>"
+#: A head ends at its end tag, or where that is left out at <body> or the first other tag that can't stand in a head.
+_HEAD = rf"<head(?=[\s/>]){_ATTRIBUTES}(?:[^<]++|<!--.*?(?:--!?>|\Z)|<(?P<inner>script|style|template|noscript|noframes|title)\b{_ATTRIBUTES}.*?(?:</(?P=inner)\s*>|\Z)|<(?:meta|link|base|basefont|bgsound|head)(?=[\s/>]){_ATTRIBUTES}|</(?!(?:head|body|html|br)\b)[^>]*+>|<[!?][^>]*+>|<(?![a-z/!?]))*+(?:</head\s*>)?"
+#: A comment, a head, an element whose content isn't text, a declaration, or a tag. Tags of over 64 KiB are text.
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(script|style|template|noscript|iframe|svg|head)\b(?:\"[^\"]*+\"|'[^']*+'|[^>\"']){0,65536}+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-z][^\s/>]*+)(?:\"[^\"]*+\"|'[^']*+'|[^>\"']){0,65536}+>",
+    rf"<!--.*?(?:--!?>|\Z)|{_HEAD}|<(?P<skipped>script|style|template|noscript|iframe|svg)\b{_ATTRIBUTES}.*?(?:</(?P=skipped)\s*>|\Z)|<[!?][^>]*+>|</?(?P<name>[a-z][^\s/>]*+){_ATTRIBUTES}",
     re.I | re.S,
 )
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
@@ -54,7 +57,7 @@ def plain_text(page: str) -> str:
     """Visible text: block elements end lines, white space runs are one blank, empty lines go."""
 
     def gap(m: re.Match) -> str:
-        name = m[3]
+        name = m["name"]
         return "\n" if name and name.lower() in BLOCKS else "" if name else " "
 
     lines = (" ".join(line.split()) for line in html.unescape(TOKEN.sub(gap, page)).split("\n"))

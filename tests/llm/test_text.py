@@ -93,6 +93,14 @@ def test_odd_responses():
     assert op1_warc.plain_text("a" + "<a \"" * 3000).startswith("a")
 
 
+def test_head_without_its_end_tag():
+    inside = "<meta charset=utf-8><title>a <b> t</title><script>'<div>no</div>'</script><!-- <p>no --><link rel=x><style>p{}</style>\n"
+    for rest in ("<body><p>one</p>two", "<div>one</div>two", "<h1 class='x'>one</h1>two", "</head><p>one</p>two", "</head><body><p>one</p>two", "<header>one</header>two"):
+        assert op1_warc.plain_text(f"<!doctype html><html><head lang=en>{inside}{rest}") == "one\ntwo", rest
+    assert op1_warc.plain_text("<head><title>t</title><svg>no</svg>yes") == "yes"
+    assert op1_warc.plain_text("<p>one<script>no<p>no") == "one" and op1_warc.plain_text("<head><style>no") == ""
+
+
 def test_null_and_repeated_pages(spark):
     pages = spark.createDataFrame([(None, None, None), (1, "http://a.example/", None), (2, "u", "<p>x"), (2, "u", "<p>x")], "page_id long, url string, html string")
     made = op1_warc.derive(op1_warc.responses(pages)).collect()
