@@ -6,12 +6,13 @@ import contextlib
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = " \t\n\r\x0b\x0c"
@@ -26,10 +27,30 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns, none of which df has (Spark doesn't tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def named(*columns: str) -> list[Column]:
+    """Columns by name, whatever the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one with a local master (tests)
+    and an error on a cluster, whose executors wouldn't see each other's files."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,10 +60,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and nothing is computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _steps().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _steps() -> list[str]:
+    if not hasattr(_THREAD, "steps"):
+        _THREAD.steps = []
+    return _THREAD.steps
+
+
+def written() -> int:
+    """How many steps materialise() has written in this thread and not removed; remove_steps() takes it as a mark."""
+    return len(_steps())
+
+
+def remove_steps(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the steps written after a mark but for the last so many. Frames that read them can't be used any more."""
+    steps = _steps()
+    gone = steps[since : len(steps) - keep]
+    del steps[since : len(steps) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: str = "") -> DataFrame:
     """mapInArrow in workers that hold little between tasks: what other operators have cached goes first (all but the caches
     whose names begin with keep), and memory that is free goes back to the system at the end."""
@@ -114,4 +157,5 @@ def give_back() -> None:
 
 
 _KEPT: dict = {}
+_THREAD = threading.local()
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -8,7 +8,7 @@ J_P = sum over shingles i of 1 / sum over shingles j of max(x_j / x_i, y_j / y_i
 
 Classes are the connected components of the pairs of texts that share one of BANDS bands of ROWS registers (a pair at 0.8 fails
 to with probability (1 - 0.8^ROWS)^BANDS = 7e-6) and whose exact J_P is THRESHOLD or more:
-1. Texts with the same words are one node, the smallest doc_id; copies are never paired.
+1. Texts with the same words are one node, numbered as written; copies are never paired.
 2. In each band's bucket, the node that shares the most buckets is the leader; each node is verified against the leader it
    meets most often. In a group of copies of one text this finds the text, and one pair a node joins the group.
 3. Buckets whose nodes are in one class are done. Of the others, those of two nodes are one pair, verified if it wasn't yet.
@@ -16,8 +16,10 @@ to with probability (1 - 0.8^ROWS)^BANDS = 7e-6) and whose exact J_P is THRESHOL
    different classes through an inverted index of shingles, each pair in its first common band, and gives one link for each
    node and class. So no link is lost to the choice of leaders, and a bucket of any size is worked on by many tasks.
 
+Texts have the same words if a 128-bit BLAKE2 digest of all their words in order is the same; a word is hashed with all its bytes.
 Null texts and texts without words are classes of their own. A null doc_id has a null class and links nothing. Repeated rows
-give repeated rows; different texts under one doc_id are taken as one node. An empty table gives an empty result.
+give repeated rows. Different texts under one doc_id are different nodes, told apart by a hash of the text (mark): a class is
+named by the smallest (doc_id, mark) in it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import id_text, map_arrow, map_batches, materialise, mix64, read_table
+from sitelens.llm.common import fresh, id_text, map_arrow, map_batches, materialise, mix64, named, read_table
 from sitelens.llm.graph import components
 from sitelens.llm.words import hashed_words
 
@@ -48,23 +50,17 @@ TEXTS = 1000
 EPSILON = 1e-9
 
 
-def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (text number, shingle hash, weight), sorted by the first two, and a 128-bit key of each text's words as 2 x uint64.
-    At most TEXTS texts."""
+def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
+    """Rows (text number, shingle hash, weight), sorted by the first two, and a 128-bit key of each text's words (null without
+    words). At most TEXTS texts."""
     if len(texts) > TEXTS:
         raise ValueError("too many texts at once")
-    flat, n = hashed_words(texts)
-    keys = np.zeros((len(texts), 2), dtype=np.uint64)
+    flat, n, keys = hashed_words(texts)
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0), keys
-    last = np.cumsum(n)
-    first = last - n
+    first = np.cumsum(n) - n
     doc = np.repeat(np.arange(len(texts)), n)
     place = np.arange(len(flat)) - first[doc]
-    plain = np.concatenate([[np.uint64(0)], np.cumsum(flat, dtype=np.uint64)])
-    placed = np.concatenate([[np.uint64(0)], np.cumsum(flat * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
-    keys[:, 0] = mix64(plain[last] - plain[first] + n.astype(np.uint64))
-    keys[:, 1] = mix64((placed[last] - placed[first]) ^ SALT)
     h = np.zeros(len(flat), dtype=np.uint64)
     factor = GOLDEN
     for k in range(size):
@@ -72,7 +68,7 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray,
         factor = np.uint64(int(factor) * int(GOLDEN) % 2**64)
     full = place + size <= n[doc]
     short = np.flatnonzero((n > 0) & (n < size))
-    h[first[short]] = keys[short, 0] ^ keys[short, 1]
+    h[first[short]] = [int.from_bytes(keys[i][:8]) for i in short.tolist()]
     full[first[short]] = True
     key = np.sort(doc[full].astype(np.uint64) << BITS | mix64(h[full]) >> (np.uint64(64) - BITS))
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -145,35 +141,37 @@ def weighted_sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def mark() -> Column:
+    """What tells different texts under one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string")).alias("mark")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the words (null without words) and band hashes."""
+    """doc_id, mark (hash of the text), key of the words (null without words) and band hashes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys_out, bands_out = [], []
-        for at, size in slices(batch.column(1)):
-            doc, h, w, keys = shingles(batch.column(1).slice(at, size).to_pylist())
+        for at, size in slices(batch.column(2)):
+            doc, h, w, keys = shingles(batch.column(2).slice(at, size).to_pylist())
             held = prob_min_hash(doc, h, w, size)
             band = np.zeros((size, BANDS), dtype=np.uint64)
             for k in range(ROWS):
                 band = mix64((band ^ held[:, k::ROWS]) + GOLDEN)
             band = mix64(band ^ np.arange(BANDS, dtype=np.uint64) * SALT).view(np.int64)
-            some = np.zeros(size, bool)
-            some[doc] = True
-            for i, ok in enumerate(some.tolist()):
-                keys_out.append(keys[i].tobytes() if ok else None)
-                bands_out.append(band[i] if ok else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys_out, pa.binary()), pa.array(bands_out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+            keys_out += keys
+            bands_out += [row if key is not None else None for row, key in zip(band, keys, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys_out, pa.binary()), pa.array(bands_out, pa.list_(pa.int64()))], names=["doc_id", "mark", "key", "bands"])
 
-    return map_batches(id_text(docs), run, "doc_id long, key binary, bands array<long>")
+    return map_batches(id_text(docs).select("doc_id", mark(), "text"), run, "doc_id long, mark long, key binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose texts have a J_P of threshold or more."""
-    own = texts.select("doc_id", "text").hint("merge")
+    """Those of the pairs (a, b) of nodes whose texts have a J_P of threshold or more."""
+    own = texts.select("node", "text").hint("merge")
     # a text that many pairs name is copied to SALTS places at most, each for a part of its pairs
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    left = salted.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    right = salted.select("b", "salt").distinct().join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    left = salted.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    right = salted.select("b", "salt").distinct().join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(right.hint("merge"), ["b", "salt"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -192,24 +190,24 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 
 
 def tiled(postings: DataFrame, tile: int = TILE) -> DataFrame:
-    """Deals the nodes of each bucket (band, doc_id, label) into tiles and names the pairs of tiles each takes part in: x a tile
+    """Deals the nodes of each bucket (band, node, label) into tiles and names the pairs of tiles each takes part in: x a tile
     of nodes outside the bucket's largest class, y another such tile, or one of the largest class, numbered below 0. Nodes of
     the largest class aren't compared with each other."""
     sizes = postings.groupBy("band", "label").agg(F.count("*").alias("n"))
     top = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n"))
     tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / tile)).cast("int")
-    dealt = postings.join(top, "band").select("band", "doc_id", "label", (F.col("label") == F.col("top")).alias("in_top"), tiles(F.col("n_top")).alias("a"), tiles(F.col("n") - F.col("n_top")).alias("b"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("in_top"), F.col("a")).otherwise(F.col("b"))).cast("int"))
+    dealt = postings.join(top, "band").select("band", "node", "label", (F.col("label") == F.col("top")).alias("in_top"), tiles(F.col("n_top")).alias("a"), tiles(F.col("n") - F.col("n_top")).alias("b"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("in_top"), F.col("a")).otherwise(F.col("b"))).cast("int"))
     with_top = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda r: F.struct(r.alias("x"), (-1 - F.col("own")).alias("y")))
     rest_top = F.transform(F.sequence(F.lit(1), F.col("a")), lambda t: F.struct(F.col("own").alias("x"), (-t).alias("y")))
     rest_rest = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda r: F.struct(F.least(r, "own").alias("x"), F.greatest(r, "own").alias("y")))
     spread = dealt.withColumn("tile", F.explode(F.when(F.col("in_top"), with_top).otherwise(F.concat(rest_top, rest_rest))))
-    return spread.select("band", "tile.x", "tile.y", "doc_id", "label", "in_top", "own")
+    return spread.select("band", "tile.x", "tile.y", "node", "label", "in_top", "own")
 
 
 def compare(band: int, x: int, y: int, rows: pa.Table, threshold: float) -> list[tuple[int, int]]:
     """Links between the nodes of two tiles: for each node of the first, one with each class of the second it has a link to."""
-    ids, label, own = (rows.column(k).to_numpy() for k in ("doc_id", "label", "own"))
+    ids, label, own = (rows.column(k).to_numpy() for k in ("node", "label", "own"))
     in_top = rows.column("in_top").to_numpy()
     left = np.flatnonzero(~in_top & (own == x))
     right = np.flatnonzero(in_top if y < 0 else ~in_top & (own == y))
@@ -249,8 +247,8 @@ def compare(band: int, x: int, y: int, rows: pa.Table, threshold: float) -> list
 
 
 def cross_links(tiles: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) within pairs of tiles; nodes: doc_id, bands, text. A task holds one pair of tiles at a time."""
-    rows = tiles.join(nodes.hint("merge"), "doc_id").select("band", "x", "y", "doc_id", "label", "in_top", "own", "bands", "text")
+    """Links (a, b) within pairs of tiles; nodes: node, bands, text. A task holds one pair of tiles at a time."""
+    rows = tiles.join(nodes.hint("merge"), "node").select("band", "x", "y", "node", "label", "in_top", "own", "bands", "text")
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y")
 
@@ -285,49 +283,70 @@ def links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_texts (different word sequences in it) for every row."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """doc_id, mark, class_id and class_mark (smallest doc_id of the class, and of its texts under that the one of least mark),
+    class_texts (different word sequences in it) for every row."""
     docs = id_text(docs)
     sigs = materialise(signatures(docs), "signatures")
-    same = materialise(sigs.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node")), "same-words")
-    nodes = sigs.where("key IS NOT NULL").join(same.select(F.col("node").alias("doc_id"), F.col("key").alias("own")).hint("merge"), "doc_id").where("key = own").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    nodes = materialise(nodes, "nodes")
-    postings = nodes.select("doc_id", F.explode("bands").alias("band"))
+    # equal words have equal bands
+    same = sigs.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "mark", "bands")).alias("first"))
+    same = materialise(same.select("key", "first.*", F.monotonically_increasing_id().alias("node")), "same-words")
+    postings = same.select("node", F.explode("bands").alias("band"))
     buckets = postings.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(postings.join(buckets.hint("merge"), "band"), "buckets")
 
     # the node that meets the most others is the leader of its buckets
-    rank = materialise(shared.groupBy("doc_id").agg(F.sum("n").alias("met")), "candidates")
-    ranked = shared.join(rank.hint("merge"), "doc_id").select("band", "doc_id", "met")
-    leaders = ranked.groupBy("band").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("leader"), F.col("top.met").alias("leader_met"))
-    met = shared.join(leaders.hint("merge"), "band").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("times"), F.max("leader_met").alias("leader_met"))
-    best = met.groupBy("doc_id").agg(F.max(F.struct("times", "leader_met", (-F.col("leader")).alias("minus"))).alias("top")).select(F.col("doc_id").alias("a"), (-F.col("top.minus")).alias("b"))
+    rank = materialise(shared.groupBy("node").agg(F.sum("n").alias("met")), "candidates")
+    ranked = shared.join(rank.hint("merge"), "node").select("band", "node", "met")
+    leaders = ranked.groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("leader"), F.col("top.met").alias("leader_met"))
+    met = shared.join(leaders.hint("merge"), "band").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("times"), F.max("leader_met").alias("leader_met"))
+    best = met.groupBy("node").agg(F.max(F.struct("times", "leader_met", (-F.col("leader")).alias("minus"))).alias("top")).select(F.col("node").alias("a"), (-F.col("top.minus")).alias("b"))
     best = materialise(best, "led")
     # texts of the nodes that meet any other; the only shuffle of all texts
-    own = nodes.join(rank.select("doc_id").hint("merge"), "doc_id")
-    texts = materialise(docs.join(own.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "bands", "text"), "texts")
+    own = same.join(rank.select("node").hint("merge"), "node").select("doc_id", "mark", "node", "bands")
+    texts = docs.select("doc_id", mark(), "text").join(own.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    texts = materialise(texts.select("node", "bands", "text"), "texts")
     edges = materialise(verified(best, texts, threshold), "links")
     labels = components(edges)
 
     # what is left between classes
-    classed = shared.join(labels.select(F.col("node").alias("doc_id"), "label").hint("merge"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    classed = shared.join(labels.select("node", "label").hint("merge"), "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
     classed = materialise(classed, "classed")
-    mixed = classed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("n").alias("n")).where("low <> high")
+    mixed = classed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"), F.max("n").alias("n")).where("low <> high")
     mixed = materialise(mixed, "mixed-buckets")
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     twos = materialise(mixed.where("n = 2").select("a", "b").distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    rest = classed.join(mixed.where("n > 2").select("band").hint("merge"), "band", "left_semi").select("band", "doc_id", "label")
+    rest = classed.join(mixed.where("n > 2").select("band").hint("merge"), "band", "left_semi").select("band", "node", "label")
     more = materialise(verified(twos, texts, threshold).union(cross_links(tiled(rest, tile), texts, threshold)), "links")
     if more.limit(1).count():
         labels = components(edges.union(more))
 
-    classes = same.join(labels.select("node", "label").hint("merge"), "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    classes = materialise(classes, "classes")
-    sizes = classes.groupBy("label").agg(F.count("*").alias("texts"))
-    named = materialise(classes.join(sizes.hint("merge"), "label").select("key", "label", "texts"), "named-classes")
-    out = sigs.select("doc_id", "key").join(named, "key", "left")
+    found = same.select("key", "doc_id", "mark", "node").join(labels.select("node", "label").hint("merge"), "node", "left")
+    found = materialise(found.select("key", "doc_id", "mark", F.coalesce("label", "node").alias("label")), "classes")
+    sizes = found.groupBy("label").agg(F.count("*").alias("class_texts"), F.min(F.struct("doc_id", "mark")).alias("first"))
+    of_key = materialise(found.join(sizes.hint("merge"), "label").select("key", "first", "class_texts"), "named-classes")
+    out = sigs.select("doc_id", "mark", "key").join(of_key, "key", "left")
     own_class = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(own_class, F.coalesce("label", "doc_id")).alias("class_id"), F.when(own_class, F.coalesce("texts", F.lit(1))).cast("long").alias("class_texts"))
+    alone = F.struct("doc_id", "mark")
+    first = F.when(own_class, F.coalesce("first", alone))
+    return out.select("doc_id", "mark", first["doc_id"].alias("class_id"), first["mark"].alias("class_mark"), F.when(own_class, F.coalesce("class_texts", F.lit(1))).cast("long").alias("class_texts"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_texts (different word sequences in it) for every row."""
+    return classes(docs, threshold, tile).select("doc_id", "class_id", "class_texts")
+
+
+def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is the first of its class; repeated rows once, and all rows that
+    have no doc_id."""
+    own_id, own_mark, row = fresh(docs, "own_id", "own_mark", "row")
+    found = classes(docs, threshold).where("doc_id <> class_id OR mark <> class_mark").select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)).distinct()
+    copies = materialise(found, "copies")
+    own = F.col("doc_id").cast("long")
+    marks = {own_id: own, own_mark: mark(), row: F.when(own.isNull(), F.monotonically_increasing_id())}
+    kept = docs.withColumns(marks).join(copies.hint("merge"), [own_id, own_mark], "left_anti").dropDuplicates([own_id, own_mark, row])
+    return kept.select(*named(*docs.columns))
 
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,15 +270,20 @@ def test_nothing_to_search(spark):
 # ---- 7 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_word_hashes_follow_the_words():
-    texts = [t for t in ODD if t is not LONG] + ["Ab aB AB", "a-b a_b a b"]
-    h, n = hashed_words(texts)
+def test_word_hashes_follow_the_words(spark, sf_dir):
+    texts = [t for t in ODD if t is not LONG] + ["Ab aB AB", "a-b a_b a b", "production productive constantinople constantiXYZle", "x" * 200 + "y", "x" * 200 + "z"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    h, n, digests = hashed_words(texts)
     want = [w for t in texts for w in words(t)]
     assert n.tolist() == [len(words(t)) for t in texts]
-    seen = {}
+    seen, named = {}, {}
     for w, x in zip(want, h.tolist(), strict=True):
         assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
+    for t, d in zip(texts, digests, strict=True):
+        assert (d is None) == (not words(t)) and named.setdefault(tuple(words(t)), d) == d
+    assert len(set(named.values())) == len(named)
+    assert [len(x) for x in hashed_words([])] == [0, 0, 0]
 
 
 @settings(max_examples=100, deadline=None)
@@ -391,7 +396,10 @@ def test_odd_texts_have_a_score(spark):
     df = frame(spark, [*ODD, ODD[4]], [*range(len(ODD)), 4])
     labels = spark.createDataFrame([(k, 1, 0) for k in range(len(ODD))], "doc_id long, quality int, toxic int")
     for model in (op8_quality_pu.learn(df, labels), op8_quality_pu.learn(df, labels.limit(0)), op8_quality_pu.learn(df.limit(0), labels)):
-        got = op8_quality_pu.scores(df, model).collect()
-        assert len(got) == len(ODD) + 1 and all(0 <= r["__score"] <= 1 for r in got)
-    assert op8_quality_pu.scores(df, None).columns == [*[c.split()[0] for c in SCHEMA.split(", ")], "__score"]
-    assert op8_quality_pu.scores(df.limit(0), None).count() == 0
+        got = op8_quality_pu.scores(df, model, "own").collect()
+        assert len(got) == len(ODD) + 1 and all(0 <= r["own"] <= 1 for r in got)
+    assert op8_quality_pu.scores(df, None, "own").columns == [*[c.split()[0] for c in SCHEMA.split(", ")], "own"]
+    assert op8_quality_pu.scores(df.limit(0), None, "own").count() == 0
+    assert op8_quality_pu.clean(df, None).columns == df.columns and op8_quality_pu.clean(df, None).count() == len(ODD) + 1
+    with pytest.raises(ValueError):
+        op8_quality_pu.scores(df, None, "Score")
