@@ -5,7 +5,7 @@ start) is removed; the strings are judged on the input. All strings are found, b
 
 1. Anchors. Among the GRAM-byte grams of a window of LENGTH bytes, the one of least hash (the leftmost of equals) is its
    anchor: equal windows have equal anchors at equal places. Neighbouring windows mostly share theirs and form a run, about
-   one in 43 bytes. A run is sent on as 18 bytes or so: hash of its anchor, hash of all its bytes, place and extent.
+   one in 43 bytes. A run is sent on as 24 bytes or so: hash of its anchor, digest of all its bytes, place and extent.
    Equal runs of one flush are folded into the earliest of them first, so that a hot passage takes one record a flush.
 2. Runs of one anchor meet. Of those with the same bytes, all but the earliest are covered. Where an anchor is left with
    runs of different bytes (at the ends of repeated passages, around edits), the earliest of each kind goes on.
@@ -13,12 +13,14 @@ start) is removed; the strings are judged on the input. All strings are found, b
    deep_shallow(); from the common prefixes r to the right and l to the left, two runs of one anchor share exactly the windows
    that start o bytes before it for LENGTH - r <= o <= l. A later run is covered by those it shares with an earlier one.
    An anchor with more than HOT kinds of run (a frequent short line between different neighbours) isn't brought together:
-   its windows are hashed one by one, dealt out by their hash and folded as in 1 and 2.
+   digests of its windows, one by one, are dealt out and folded as in 1 and 2; the result is the same.
 4. What is covered is gathered per document and taken out.
 
 Documents are told apart by doc_id and a hash of the text, so a row that is repeated counts as one document given several
 times, and different texts under one doc_id are ordered by that hash. A null doc_id comes after all others. Null is empty.
-Texts of under LENGTH bytes lose nothing. Hashes have 96 bits; long texts are worked on in pieces of PIECE bytes.
+Texts of under LENGTH bytes lose nothing; an empty table gives an empty result. Runs are equal if 96 bits of BLAKE2 of their
+bytes are; what step 3 finds is compared byte by byte. Long texts are worked on in pieces of PIECE bytes. Other columns, of any
+name, pass through.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import map_arrow, materialise, mix64, read_table
+from sitelens.llm.common import fresh, map_arrow, materialise, mix64, named, read_table
 from sitelens.llm.suffix_sort import SHALLOW, deep_shallow, words_at
 
 LENGTH = 100
@@ -76,61 +78,63 @@ def least_in_window(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Hashed:
-    """Hashes of texts laid end to end, and the windows that lie within one text."""
+    """Gram hashes of texts laid end to end, and the windows that lie within one text."""
 
     def __init__(self, texts: list[bytes], length: int):
         self.length = length
-        buf = np.frombuffer(b"".join(texts) + bytes(GRAM + 8), dtype=np.uint8)
+        self.raw = b"".join(texts)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         self.first = np.cumsum(size) - size
-        self.grams = gram_hashes(buf)
-        mark = np.zeros(len(self.grams) + 1, dtype=np.int8)
+        mark = np.zeros(len(self.raw) + 1, dtype=np.int8)
         some = size >= length
         mark[self.first[some]] += 1
         np.add.at(mark, self.first[some] + size[some] - length + 1, -1)
         self.starts = np.flatnonzero(np.cumsum(mark, dtype=np.int8)[:-1])
-        self.once = np.concatenate([[np.uint64(0)], np.cumsum(self.grams, dtype=np.uint64)])
-        odd = np.arange(len(self.grams), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.weighed = np.concatenate([[np.uint64(0)], np.cumsum(self.grams * odd, dtype=np.uint64)])
 
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from the window at a to the end of the window at b."""
-        end = b + self.length - GRAM + 1
-        plain = self.once[end] - self.once[a]
-        placed = self.weighed[end] - self.weighed[a] - np.uint64(2) * a.astype(np.uint64) * plain
-        return mix64(plain ^ mix64(placed + (end - a).astype(np.uint64)))
+    def grams(self) -> np.ndarray:
+        return gram_hashes(np.frombuffer(self.raw + bytes(GRAM + 8), dtype=np.uint8))
+
+    def digests(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of BLAKE2 of the bytes from the window at a to the end of the window at b, as 64 and 32."""
+        raw, digest = self.raw, hashlib.blake2b
+        found = b"".join([digest(raw[x:y], digest_size=12).digest() for x, y in zip(a.tolist(), (b + self.length).tolist(), strict=True)])
+        cells = np.frombuffer(found, "<u4").reshape(-1, 3).astype(np.uint64)
+        return cells[:, 0] | cells[:, 1] << np.uint64(32), cells[:, 2]
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, side="right") - 1
 
 
 def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
-    """text number, h (anchor), c (bytes), a (first window), n (windows), p (anchor less a); places are within the text."""
+    """text number, h (anchor), c and d (digest), a (first window), n (windows), p (anchor less a); places are within the text."""
     x = Hashed(texts, length)
     s = x.starts
     if not len(s):
-        empty = np.zeros(0, np.int64)
-        return {"doc": empty, "h": empty.astype(np.uint64), "c": empty.astype(np.uint64), "a": empty, "n": empty, "p": empty}
-    anchor = least_in_window(x.grams, length - GRAM + 1)[s]
+        empty, none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return {"doc": empty, "h": none, "c": none, "d": none, "a": empty, "n": empty, "p": empty}
+    grams = x.grams()
+    anchor = least_in_window(grams, length - GRAM + 1)[s]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (s[1:] != s[:-1] + 1)])
     k = np.flatnonzero(new)
     a, b, p = s[k], s[np.append(k[1:], len(s)) - 1], anchor[k]
     doc = x.owner(a)  # no run crosses texts: the last length - 1 bytes of a text start no window
-    return {"doc": doc, "h": x.grams[p] >> np.uint64(16), "c": x.of(a, b) >> np.uint64(16), "a": a - x.first[doc], "n": b - a + 1, "p": p - a}
+    c, d = x.digests(a, b)
+    return {"doc": doc, "h": grams[p] >> np.uint64(16), "c": c, "d": d, "a": a - x.first[doc], "n": b - a + 1, "p": p - a}
 
 
 def windows(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
-    """Every window on its own, as a run of one: 96 bits of its hash in h and c."""
+    """Every window on its own, as a run of one, dealt out by its digest."""
     x = Hashed(texts, length)
     s = x.starts
     doc = x.owner(s)
-    whole = x.of(s, s)
-    other = mix64((x.once[s + length - GRAM + 1] - x.once[s]) * C2 + whole)
+    c, d = x.digests(s, s)
     zero = np.zeros(len(s), np.int64)
-    return {"doc": doc, "h": whole >> np.uint64(16), "c": other >> np.uint64(16), "a": s - x.first[doc], "n": zero + 1, "p": zero}
+    return {"doc": doc, "h": c >> np.uint64(16), "c": c, "d": d, "a": s - x.first[doc], "n": zero + 1, "p": zero}
 
 
-FIELDS = (("h", 6), ("c", 6), ("doc", 4), ("a", 4), ("n", 1), ("p", 1))
+#: Fields of a record and their bytes; n and p are at most the length of a window.
+FIELDS = (("h", 6), ("c", 8), ("d", 4), ("doc", 4), ("a", 4), ("n", 2), ("p", 2))
+LONGEST = 60_000
 
 
 def pack(ids: np.ndarray, marks: np.ndarray, r: dict[str, np.ndarray]) -> bytes:
@@ -146,7 +150,7 @@ def pack(ids: np.ndarray, marks: np.ndarray, r: dict[str, np.ndarray]) -> bytes:
 
 def unpack(blobs: list[bytes], part: int = 0, parts: int = 1) -> dict[str, np.ndarray]:
     """Records of many blobs whose anchors fall in one of the parts; id and mark name the document of each."""
-    out: dict[str, list[np.ndarray]] = {name: [] for name in ("id", "mark", "h", "c", "a", "n", "p")}
+    out: dict[str, list[np.ndarray]] = {name: [] for name in ("id", "mark", "h", "c", "d", "a", "n", "p")}
     squeeze = zstandard.ZstdDecompressor()
     for blob in blobs:
         raw = squeeze.decompress(blob)
@@ -166,15 +170,15 @@ def unpack(blobs: list[bytes], part: int = 0, parts: int = 1) -> dict[str, np.nd
                 out["id"].append(ids[value.astype(np.int64)])
                 out["mark"].append(marks[value.astype(np.int64)])
             else:
-                out[name].append(value if name in "hc" else value.astype(np.int64))
+                out[name].append(value if name in ("h", "c", "d") else value.astype(np.int64))
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
 def fold(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Records in order of anchor, bytes and place; for each whether it is the earliest of its kind, and the number of it."""
-    order = np.lexsort((r["a"], r["mark"], r["id"], r["c"], r["h"]))
-    h, c = r["h"][order], r["c"][order]
-    first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(order) else np.zeros(0, bool)
+    order = np.lexsort((r["a"], r["mark"], r["id"], r["d"], r["c"], r["h"]))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = np.any([r[k][order[1:]] != r[k][order[:-1]] for k in ("h", "c", "d")], axis=0)
     lead = np.flatnonzero(first)
     kind = np.cumsum(first) - 1
     head = order[lead[kind]] if len(order) else order
@@ -328,11 +332,11 @@ def resolve(r: dict[str, np.ndarray], length: int, hot: int) -> Iterator[pa.Reco
             yield requests(kind, r["h"][k], r["id"][k], r["mark"][k], r["a"][k], r["a"][k] + r["n"][k] - 1 + length, r["p"][k])
 
 
-def fetch(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Step 3, over __id, __mark, text and the runs asked for: contexts by anchor, windows by their hash."""
+def fetch(batches: Iterator[pa.RecordBatch], names: tuple[str, str, str], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Step 3, over id, mark (by those names), text and the runs asked for: contexts by anchor, windows by their digest."""
     for batch in batches:
-        ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("__id", "__mark"))
-        texts, asked = batch.column("text"), batch.column("asked")
+        ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in names[:2])
+        texts, asked = batch.column("text"), batch.column(names[2])
         flat = asked.flatten()
         fields = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("kind", "h", "a", "e", "p")}
         sizes = pc.list_value_length(asked).to_numpy(zero_copy_only=False)
@@ -419,14 +423,17 @@ def shared(h: np.ndarray, ids: np.ndarray, marks: np.ndarray, a: np.ndarray, p:
     left, common_left = deep_shallow(np.concatenate([raw[::-1], pad]), len(raw) - (start + p), p, group)
     cut = np.flatnonzero(np.concatenate([[True], np.diff(group[right]) != 0, [True]]))
     place = a + p
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # the later run, shared bytes before and after its anchor
+    # the later run, and the bytes before and after its anchor that earlier ones share. All that one run shares lies around its
+    # anchor, so the farthest to both sides is all of it.
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     pairs = np.diff(cut) == 2
     lo = cut[:-1][pairs]
     if len(lo):  # the many groups of two, at once
         x, y = right[lo], right[lo + 1]
         later = np.where(before(ids, marks, place, x, y), y, x)
-        apart = before(ids, marks, place, x, y) | before(ids, marks, place, y, x)
-        out.append((later[apart], common_left[lo + 1][apart], common_right[lo + 1][apart]))
+        l, r = common_left[lo + 1], common_right[lo + 1]
+        own = (before(ids, marks, place, x, y) | before(ids, marks, place, y, x)) & (l + r >= length)
+        out.append((later[own], l[own], r[own]))
     for lo, hi in zip(cut[:-1][~pairs].tolist(), cut[1:][~pairs].tolist(), strict=True):
         if hi - lo < 2:
             continue
@@ -435,13 +442,12 @@ def shared(h: np.ndarray, ids: np.ndarray, marks: np.ndarray, a: np.ndarray, p:
         number = {i: k for k, i in enumerate(by.tolist())}
         r = matrix([number[i] for i in right[lo:hi].tolist()], common_right[lo:hi])
         f = matrix([number[i] for i in left[lo:hi].tolist()], common_left[lo:hi])
-        j, i = np.nonzero(np.triu(r + f >= length, 1))
-        apart = before(ids, marks, place, by[j], by[i])
-        j, i = j[apart], i[apart]
-        out.append((by[i], f[j, i], r[j, i]))
+        # the same place given twice is no earlier one
+        turn = np.concatenate([[0], np.cumsum((ids[by][1:] != ids[by][:-1]) | (marks[by][1:] != marks[by][:-1]) | (place[by][1:] != place[by][:-1]))])
+        share = (r + f >= length) & (turn[:, None] < turn)
+        own = share.any(axis=0)
+        out.append((by[own], np.where(share, f, 0).max(axis=0)[own], np.where(share, r, 0).max(axis=0)[own]))
     who, l, r = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    keep = l + r >= length
-    who, l, r = who[keep], l[keep], r[keep]
     return ids[who], marks[who], place[who] - l, place[who] + r
 
 
@@ -477,24 +483,47 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple
     return b"".join(kept), [(a, e) for a, e in merged]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """All columns of docs and spans ARRAY<STRUCT<a, e>>: covered byte ranges, unordered and overlapping; null for none.
-    docs needs doc_id and text; other columns pass through."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, into: str = "spans") -> DataFrame:
+    """All columns of docs and, in a new one of a name that docs doesn't have (common.fresh gives one), ARRAY<STRUCT<a, e>>: covered
+    byte ranges, unordered and overlapping; null for none. docs needs doc_id and text; other columns pass through."""
+    if not GRAM < length <= LONGEST:
+        raise ValueError(f"length must be over {GRAM} and at most {LONGEST}")
+    if fresh(docs, into) != [into]:
+        raise ValueError(f"docs has a column {into}")
     spark = docs.sparkSession
-    named = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__mark": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    own, mark, asked = names = fresh(docs, "own_id", "own_mark", "asked")
+    marked = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), mark: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, -(-total // BUCKET_BYTES)))
     deal = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("id"), F.lit(buckets))).cast("int")
-    sent = map_arrow(named.where(F.octet_length("text") >= length).select("__id", "__mark", "text"), lambda x: spread(x, buckets, length), RECORDS)
+    sent = map_arrow(marked.where(F.octet_length("text") >= length).select(own, mark, "text"), lambda x: spread(x, buckets, length), RECORDS)
     met = materialise(map_arrow(sent.repartitionById(buckets, deal), lambda x: meet(x, length, hot), REQUESTS), "runs")
-    key = [F.col("id").alias("__id"), F.col("mark").alias("__mark")]
-    asked = met.where(F.col("kind") != COVER).select(*key, "kind", "h", "a", "e", "p").groupBy("__id", "__mark").agg(F.collect_list(F.struct("kind", "h", "a", "e", "p")).alias("asked"))
-    # both joins read the same columns of named, so that its texts are shuffled once
-    fetched = map_arrow(named.join(asked, ["__id", "__mark"]), lambda x: fetch(x, buckets, length), RECORDS)
+    key = [F.col("id").alias(own), F.col("mark").alias(mark)]
+    wanted = met.where(F.col("kind") != COVER).select(*key, "kind", "h", "a", "e", "p").groupBy(own, mark).agg(F.collect_list(F.struct("kind", "h", "a", "e", "p")).alias(asked))
+    # both joins read the same columns of marked, so that its texts are shuffled once
+    fetched = map_arrow(marked.join(wanted, [own, mark]), lambda x: fetch(x, names, buckets, length), RECORDS)
     more = map_arrow(fetched.repartitionById(buckets, deal), lambda x: compare(x, length), RECORDS)
     covers = met.where(F.col("kind") == COVER).select(*key, "a", "e").union(more.select(*key, "a", "e"))
-    covers = covers.groupBy("__id", "__mark").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
-    return named.join(covers, ["__id", "__mark"], "left").drop("__id", "__mark")
+    covers = covers.groupBy(own, mark).agg(F.collect_list(F.struct("a", "e")).alias(into))
+    return marked.join(covers, [own, mark], "left").select(*named(*docs.columns, into))
+
+
+def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the repeated passages taken out of the texts; a character that loses only some of its bytes goes whole."""
+    (into,) = fresh(docs, "spans")
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column(at), batch.column(len(names)).to_pylist(), strict=True):
+                text = text.as_py()
+                texts.append(remove(text.encode(), [(s["a"], s["e"]) for s in found])[0].decode("utf-8", "ignore") if found else text)
+            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(repeated_spans(docs, length, into=into), run, docs.schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
