@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from sitelens.llm.common import map_arrow, read_table
+from sitelens.llm.common import fresh, map_arrow, named, read_table
 from sitelens.llm.op7_line_frequency import repeat_words
 
 POSITIVES = 6_000
@@ -144,8 +144,10 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return train(x_good, x_all, (good + 1) / (marked + 2))
 
 
-def scores(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
-    """All columns of docs and __score."""
+def scores(docs: DataFrame, model: dict[str, np.ndarray] | None, into: str = "score") -> DataFrame:
+    """All columns of docs and the score, in a new column of a name that docs doesn't have (common.fresh gives one)."""
+    if fresh(docs, into) != [into]:
+        raise ValueError(f"docs has a column {into}")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -153,15 +155,20 @@ def scores(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
             at = batch.schema.get_field_index("text")
             out = [score(shipped.value, shapes(batch.column(at).slice(k, 500).to_pylist())) for k in range(0, batch.num_rows, 500)]
             if out:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, into])
 
-    return map_arrow(docs, run, StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return map_arrow(docs, run, StructType([*docs.schema.fields]).add(into, DoubleType()))
 
 
 
+def clean(docs: DataFrame, model: dict[str, np.ndarray] | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score least or more."""
+    (into,) = fresh(docs, "score")
+    return scores(docs, model, into).where(F.col(into) >= least).select(*named(*docs.columns))
+
 
 def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, read_table(spark, sf_dir, "labels"))
     held = F.coalesce(remainder(3) == 1, F.lit(False))
-    return scores(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scores(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
