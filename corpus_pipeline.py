@@ -1,51 +1,35 @@
 """Training-data pipeline over documents: five stages, each on all that the stage before it kept.
 
-Every stage but the last returns the columns of documents. Null texts, empty texts, null doc_ids, repeated rows and other
-columns are taken as the operators' docstrings say; other columns pass through the first four stages.
+Every stage but the last returns the columns of documents. Null texts, empty texts, null doc_ids, repeated rows and different
+texts under one doc_id are taken as the operators' docstrings say; other columns of any name pass through the first four stages.
+What a stage writes on its way is deleted when its result is written.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import op2_bpe, op5_decontaminate, op8_quality_pu, op9_suffix_dedup, op10_probminhash
-from sitelens.llm.common import map_arrow, materialise, read_table
+from sitelens.llm.common import materialise, named, read_table, remove_steps, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the classifier rejects go."""
     model = op8_quality_pu.learn(docs, read_table(spark, sf_dir, "labels"))
-    return op8_quality_pu.scores(docs, model).where("__score >= 0.5").drop("__score")
+    return op8_quality_pu.clean(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each class the smallest doc_id stays, and of repeated rows one. Rows without doc_id all stay."""
-    classes = op10_probminhash.near_duplicates(docs)
-    copies = materialise(classes.where("class_id <> doc_id").select("doc_id").distinct(), "copies")
-    marks = {"__mark": F.xxhash64("text"), "__row": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())}
-    return docs.withColumns(marks).join(copies.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "__mark", "__row"]).select(*docs.columns)
+    """Operator 10: of each class the first text stays (smallest doc_id), and of repeated rows one. Rows without doc_id all stay."""
+    return op10_probminhash.first_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: repeated passages are taken out of the texts; characters that lose only some of their bytes go whole."""
-    spans = op9_suffix_dedup.repeated_spans(docs)
-    names = docs.columns
-    at = names.index("text")
-
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(at), batch.column(len(names)).to_pylist(), strict=True):
-                text = text.as_py()
-                texts.append(op9_suffix_dedup.remove(text.encode(), [(s["a"], s["e"]) for s in found])[0].decode("utf-8", "ignore") if found else text)
-            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kept = map_arrow(spans.select(*names, "spans"), run, docs.schema)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else kept
+    kept = op9_suffix_dedup.clean(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*named(*docs.columns)) if "n_chars" in docs.columns else kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    mark = written()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        remove_steps(spark, mark, keep=1)
     return docs
