@@ -90,14 +90,18 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """mapInArrow in workers that hold little between tasks: what other operators have cached goes first (all but the caches
     whose names begin with keep), and memory that is free goes back to the system at the end."""
 
+    names = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(keep)
         try:
-            yield from fn(batches)
+            yield from fn(batch.rename_columns(names) for batch in batches)
         finally:
             give_back()
 
-    return df.mapInArrow(run, schema)
+    # mapInArrow looks its columns up by name, which one with a dot doesn't survive
+    odd = any("." in c or "`" in c for c in names)
+    return (df.toDF(*(f"c{k}" for k in range(len(names)))) if odd else df).mapInArrow(run, schema)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, keep: str = "") -> DataFrame:

@@ -355,7 +355,7 @@ def test_stages_take_odd_rows(spark, sf_dir):
     t = prose(1, 80)
     texts, ids = [*ODD, t, t, t + " tail", t], [*range(len(ODD)), 50, 50, 51, None]
     docs = frame(spark, texts, ids)
-    clashing = ["__score", "spans", "__id", "__mark", "__row", "Own_id", "own_mark", "asked", "class_id", "good", "other", "shape", "odd.name"]
+    clashing = ["__score", "spans", "__id", "__mark", "__row", "Own_id", "own_mark", "asked", "class_id", "good", "other", "shape", "odd.name", "odd`tick"]
     for k, name in enumerate(clashing):
         docs = docs.withColumn(name, F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id"), F.lit(-1))))
     for name, stage in corpus_pipeline.STAGES[:4]:
