@@ -32,10 +32,10 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
-def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+def hashed_words(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
     """A 64-bit hash of each of the words of all texts, in order, the number of words of each text, and a 128-bit digest of its
     words in order (null without words). A word's hash is the sum of a pseudo-random value for each byte at its place, mixed."""
-    raw = [(t or "").encode() for t in texts]
+    raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
     buf = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     size = np.array([len(r) + 1 for r in raw], dtype=np.int64)
     inside = _IN_WORD[buf]

@@ -331,7 +331,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = op8_quality_pu.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    rows = [r for r, s in zip(rows, op8_quality_pu.score(model, op8_quality_pu.shapes([t for _, t in rows])), strict=True) if s >= 0.5]
+    rows = [r for r, s in zip(rows, op8_quality_pu.predict(model, [t for _, t in rows]), strict=True) if s >= 0.5]
     classes = brute_classes(rows)
     rows = [r for r in rows if classes[r[0]] == r[0]]
     seen, left = set(), []

@@ -392,6 +392,81 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert all((a[k] == b[k]).all() for k in a)
 
 
+def test_steps_follow_the_risk():
+    r = np.random.default_rng(3)
+    for prior, shift in ((0.4, 0.0), (0.9, -3.0), (None, 0.0)):
+        zg, zu = r.normal(size=7), r.normal(size=9) + shift
+
+        def loss(zg, zu):
+            if prior is None:
+                return np.logaddexp(0, -zg).mean() + np.logaddexp(0, zu).mean()
+            good, bad = op8_quality_pu.risk(zg, zu, prior)
+            return good + bad if bad >= 0 else -bad
+
+        assert prior is None or (op8_quality_pu.risk(zg, zu, prior)[1] < 0) == (shift < 0)
+        got = np.concatenate(op8_quality_pu.slopes(zg, zu, prior))
+        for k in range(16):
+            e = np.zeros(16)
+            e[k] = 1e-6
+            assert np.isclose((loss(zg + e[:7], zu + e[7:]) - loss(zg - e[:7], zu - e[7:])) / 2e-6, got[k], atol=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_from_good_and_unlabelled(share):
+    """The share of good ones among the unlabelled, however many good ones are marked."""
+    r = np.random.default_rng(5)
+    x = lambda n, mean: r.normal(mean, 1, (n, 2))
+    n = 3000
+    other = [np.concatenate([x(int(n * share), 2.0), x(n - int(n * share), -2.0)]) for _ in range(2)]
+    for marked in (300, 3000):
+        assert abs(op8_quality_pu.class_prior([x(marked, 2.0) for _ in range(2)], other) - share) < 0.1
+
+
+def test_uneven_labels_change_little(spark):
+    """Bad rows without a label, or with one in ten of the good ones marked, leave the predictions as they are."""
+    texts = [prose(k, 60) if k % 3 else "$$ %% x " * 40 for k in range(900)]
+    docs = frame(spark, texts)
+    marks = [(k, int(k % 3 > 0)) for k in range(900)]
+    for labels in (marks, [m for m in marks if m[1]], [m for k, m in enumerate(marks) if k % 10 < 2]):
+        model = op8_quality_pu.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert abs(float(model["prior"]) - 2 / 3) < 0.12
+        got = op8_quality_pu.predict(model, texts) >= 0.5
+        assert (got == np.array([k % 3 > 0 for k in range(900)])).mean() > 0.99
+
+
+def slow_said(text, table):
+    raw = (text or "").encode().lower()
+    own = words(text)
+    h = [int(hashed_words([w])[0][0]) for w in own]
+    top = lambda v: int(v) >> 49
+    pairs = [top(op8_quality_pu.mix64(np.array([(x * 0x9E3779B97F4A7C15 + y) % 2**64], np.uint64))[0]) for x, y in zip(h, h[1:], strict=False)]
+    bits = [(int.from_bytes(raw[k : k + 4], "little") * 0x9E3779B1) % 2**32 >> 17 for k in range(len(raw) - 3)]
+    return [float(np.mean([table[kind][b] for b in own])) if own else 0.0 for kind, own in enumerate(([top(v) for v in h], pairs, bits))]
+
+
+def test_query_scores_every_text_by_its_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = op8_quality_pu.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r["doc_id"]: r for r in op8_quality_pu.op8_quality_pu(spark, sf_dir).collect()}
+    for r in docs.collect():
+        x = np.array([*op8_quality_pu.shapes([r["text"]])[0], *slow_said(r["text"], model["table"])])
+        x = np.clip((x - model["mean"]) / model["spread"], -6, 6)
+        z = sum(np.tanh(x @ model["a"][:, k] + model["b"][k]) * model["c"][k] for k in range(op8_quality_pu.HIDDEN)) + x @ model["e"] + model["d"][0]
+        own = got.pop(r["doc_id"])
+        assert np.isclose(own["score"], 1 / (1 + np.exp(-z)), atol=1e-6) and own["predicted"] == int(own["score"] >= 0.5)
+        assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    assert not got
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    table = np.random.default_rng(1).normal(size=(3, op8_quality_pu.BUCKETS)).astype(np.float32)
+    whole = op8_quality_pu.said([LONG[:5000], "x" * 300], table)
+    monkeypatch.setattr(op8_quality_pu, "PIECE", 100)
+    parts = op8_quality_pu.said([LONG[:5000], "x" * 300], table)
+    assert np.isclose(whole[0, 0], parts[0, 0]) and np.allclose(whole[0], parts[0], atol=0.2) and np.isfinite(parts).all()
+    assert op8_quality_pu.said([None, "", "?"], table).tolist() == [[0.0] * 3] * 3
+
+
 def test_odd_texts_have_a_score(spark):
     df = frame(spark, [*ODD, ODD[4]], [*range(len(ODD)), 4])
     labels = spark.createDataFrame([(k, 1, 0) for k in range(len(ODD))], "doc_id long, quality int, toxic int")
