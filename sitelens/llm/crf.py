@@ -1,7 +1,7 @@
 """A linear-chain conditional random field over the words of texts, trained and applied in numpy.
 
 A word's features are itself (lexicon), its affixes of up to four characters and the two- and three-character grams of the
-word between its ends; they are hashed to BUCKETS weights for each label. Transitions are one weight for each pair of labels.
+word between its ends; they are hashed to BUCKETS weights for each label, or fewer where there are many labels. Transitions are one weight for each pair of labels.
 The score of a labelling is the sum of both; forward-backward gives the probability of each label at each word.
 """
 
@@ -14,10 +14,12 @@ import numpy as np
 BUCKETS = 1 << 17
 #: Words of a lane: texts are cut into lanes, worked on side by side and joined by their transfer matrices.
 LANE = 32
+#: Labels up to which transfer matrices pay; with more, texts are worked on side by side, word after word.
+LANE_LABELS = 64
 
 
-def features(word: str) -> list[int]:
-    """Numbers of the hashed features of a lower-case word."""
+def features(word: str, buckets: int = BUCKETS) -> list[int]:
+    """Numbers of the hashed features of a lower-case word; buckets is a power of two."""
     own = f"^{word}$"
     names = ["w" + word]
     names += ["p" + word[:k] for k in range(1, min(4, len(word)) + 1)]
@@ -25,14 +27,14 @@ def features(word: str) -> list[int]:
     names += [own[i : i + 2] for i in range(len(own) - 1)]
     names += [own[i : i + 3] for i in range(len(own) - 2)]
     crc = zlib.crc32
-    return [crc(n.encode()) & (BUCKETS - 1) for n in names]
+    return [crc(n.encode()) & (buckets - 1) for n in names]
 
 
 def emissions(weights: np.ndarray, words: list[str]) -> np.ndarray:
     """Sum of the feature weights of each word, a row a word."""
     if not words:
         return np.zeros((0, weights.shape[1]))
-    lists = [features(w) for w in words]
+    lists = [features(w, len(weights)) for w in words]
     flat = np.concatenate([np.array(x) for x in lists])
     first = np.cumsum([0] + [len(x) for x in lists[:-1]])
     return np.add.reduceat(weights[flat], first, axis=0)
@@ -64,7 +66,7 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray) -> tuple[np.n
     return gamma, pairs, np.log(scale).sum(axis=1) + top.sum(axis=1)
 
 
-def train(streams: list[list[str]], steps: int = 240, batch: int = 192, half: int = 16, rate: float = 0.25, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(streams: list[list[str]], buckets: int = BUCKETS, steps: int = 240, batch: int = 192, half: int = 16, rate: float = 0.25, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions from one stream of words for each label. Every sequence is two pieces of `half` words; in half of
     the sequences they come from different labels, as in text that switches between languages. Adagrad on the negative log
     likelihood of batches; all draws are seeded."""
@@ -76,11 +78,11 @@ def train(streams: list[list[str]], steps: int = 240, batch: int = 192, half: in
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in own]
         ids = (ids * (-(-half // max(1, len(ids)))))[: max(half, len(ids) // half * half)]
         pieces.append(np.array(ids, dtype=np.int64).reshape(-1, half))
-    lists = [features(w) for w in vocabulary]
+    lists = [features(w, buckets) for w in vocabulary]
     size = np.array([len(x) for x in lists])
     flat = np.concatenate([np.array(x) for x in lists])
     first = np.cumsum(size) - size
-    weights, seen = np.zeros((BUCKETS, n)), np.full((BUCKETS, n), 1e-6)
+    weights, seen = np.zeros((buckets, n)), np.full((buckets, n), 1e-6)
     transition, seen_t = np.zeros((n, n)), np.full((n, n), 1e-6)
     for _ in range(steps):
         left = random.integers(0, n, batch)
@@ -119,6 +121,8 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -
     n, labels = emission.shape
     if not n:
         return np.zeros((0, labels))
+    if labels > LANE_LABELS:
+        return side_by_side(emission, first, transition)
     size = np.diff(np.append(first, n))
     lanes = -(-size // LANE)
     lane0 = np.cumsum(lanes) - lanes
@@ -173,3 +177,29 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -
         back = np.where(here[k][:, None], new, back)
     found = out[step, lane]
     return found / found.sum(axis=1, keepdims=True)
+
+
+def side_by_side(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """The same as marginals() in memory of N x L: all texts step by step, the longest first."""
+    n, labels = emission.shape
+    size = np.diff(np.append(first, n))
+    by = np.argsort(-size, kind="stable")
+    begin, size = first[by], size[by]
+    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    a = np.exp(transition - transition.max())
+    live = np.searchsorted(-size, -np.arange(size[0]), "left")  # texts of more than so many words
+    out = np.empty_like(e)
+    state = np.ones((len(size), labels))
+    for t, m in enumerate(live.tolist()):
+        at = begin[:m] + t
+        state = (state[:m] @ a if t else state) * e[at]
+        state /= state.max(axis=1, keepdims=True)
+        out[at] = state
+    back = np.ones((len(size), labels))
+    for t in range(len(live) - 1, -1, -1):
+        m = live[t]
+        at = begin[:m] + t
+        out[at] *= back[:m]
+        new = (back[:m] * e[at]) @ a.T
+        back[:m] = new / new.max(axis=1, keepdims=True)
+    return out / out.sum(axis=1, keepdims=True)

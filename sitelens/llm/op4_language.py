@@ -4,13 +4,16 @@ The field labels each word, so that text which switches between languages is spl
 label, with the number of the first word (as words() counts them), the number of words and the label's mean probability there.
 A text's language is the label with the most probability over its runs, and its score is that label's mean probability.
 
-It learns from rows with text and language whose crc32(doc_id as text) mod 4 isn't 2: from each language's rows a sample by
-hash of about SAMPLE documents, of each its first SAMPLE_CHARS characters (these two bound what the driver holds). Every word
-of a sampled piece is taken as a word of its language. lang, source and doc_id aren't read when predicting. The model has a weight
-for each feature and language, so it learns the LANGUAGES most frequent ones at most (0.5 MB each).
-
-Null texts and texts without a letter are `und`, score 0. With no row to learn from, every text is. A null doc_id isn't held
-out and isn't learnt from. Repeated rows each give a row.
+It learns every language of the rows with text and language whose crc32(doc_id as text) mod 4 isn't 2 and that has a word: from
+each language's rows a sample by hash of about SAMPLE documents, of each its first SAMPLE_CHARS characters, the same in every
+run; where there are so many languages that this would be over TOTAL_CHARS in all, fewer and shorter ones. Every word of a sampled
+piece is taken as a word of its language. lang, source and doc_id aren't read when predicting. The model has a weight for each
+hashed feature and language, at most WEIGHTS: with over 128 languages, features share weights. So what the driver and a worker
+hold is bounded, but for the transitions (a weight for each pair of languages).
+
+Null texts and texts without a letter are `und`, score 0. With no row to learn from, every text is. Of languages of equal
+probability the first by name is taken. A null doc_id isn't held out and isn't learnt from. Repeated rows each give a row; an
+empty table gives an empty result; other columns, of any name, aren't read.
 """
 
 from __future__ import annotations
@@ -19,19 +22,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm.common import map_arrow, read_table
-from sitelens.llm.crf import BUCKETS, emissions, marginals, train
+from sitelens.llm.crf import BUCKETS, LANE_LABELS, emissions, marginals, train
 
 SAMPLE = 400
 SAMPLE_CHARS = 20_000
-LANGUAGES = 500
+TOTAL_CHARS = 64_000_000
+WEIGHTS = 1 << 24
 BREAK = "\x01"
 WORD = re.compile(r"[^\W\d_]+|\x01")
-#: Words whose emissions a worker keeps.
-MOST = 300_000
+#: Words and labels whose emissions a worker keeps.
+MOST = 16_000_000
 
 
 def words(text: str) -> list[str]:
@@ -42,23 +46,31 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, sample: int = SAMPLE, total_chars: int = TOTAL_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order, feature weights and transitions."""
     open_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where((remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in open_rows.groupBy("lang").count().collect()}
     if not counts:
         return [], np.zeros((0, 0)), np.zeros((0, 0))
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
+    sample = max(10, min(sample, total_chars // (200 * len(counts))))
+    chars = max(20, min(SAMPLE_CHARS, total_chars // (sample * len(counts))))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in counts.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    rows = open_rows.where(draw < shares[F.col("lang")]).select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * sample * len(counts)).collect()
+    drawn = open_rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).withColumn("mark", F.xxhash64("text"))
+    # at most twice the sample of each language, the same rows in every run, chosen without their texts
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "mark"))
+    chosen = drawn.select("lang", "doc_id", "mark").distinct().withColumn("place", place).where(F.col("place") <= 2 * sample)
+    picked = drawn.join(F.broadcast(chosen.select("lang", "doc_id", "mark")), ["lang", "doc_id", "mark"])
+    rows = picked.select("lang", "doc_id", "mark", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "doc_id", "mark"]).collect()
     streams: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["mark"])):
         if own := words(r["text"]):
             streams.setdefault(r["lang"], []).extend(own)
     langs = sorted(streams)
     if len(langs) < 2:
         return langs, np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(langs)))
-    weights, transition = train([streams[x] for x in langs])
+    buckets = min(BUCKETS, 1 << (WEIGHTS // len(langs)).bit_length() - 1)
+    weights, transition = train([streams[x] for x in langs], buckets, steps=max(240, len(langs) // 2))
     return langs, weights.astype(np.float32), transition
 
 
@@ -76,7 +88,7 @@ class Labeller:
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Label probabilities of all words of the texts, and the text of each word."""
-        if self.used > MOST:
+        if self.table.size > MOST:
             self.clear()
         joined = BREAK.join(t.replace(BREAK, " ") for t in texts) + BREAK
         found = WORD.findall(joined.lower())
@@ -122,9 +134,10 @@ def runs(docs: DataFrame, langs: list[str], weights: np.ndarray, transition: np.
         names, w, t = shipped.value
         if "labeller" not in kept and names:
             kept["labeller"] = Labeller(w, t)
+        rows = min(400, max(1, 400 * LANE_LABELS // max(1, len(names))))
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 pred, score, found = ["und"] * len(texts), np.zeros(len(texts)), pa.array([[]] * len(texts), pa.list_(RUN))
                 if names:

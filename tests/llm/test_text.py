@@ -143,6 +143,7 @@ def test_lanes_equal_one_run(scale):
     got = crf.marginals(e, first, a)
     for f, n in zip(first, sizes, strict=True):
         assert np.allclose(got[f : f + n], crf.forward_backward(e[None, f : f + n], a)[0][0], atol=1e-8)
+    assert np.allclose(crf.side_by_side(e, first, a), got, atol=1e-8)
 
 
 def test_gradient_follows_the_likelihood():
@@ -218,6 +219,34 @@ def test_language_of_long_documents_is_learnt(spark):
     assert [r["lang_pred"] for r in op4_language.languages(frame(spark, ["le chat est sur la table"]), *learnt).collect()] == ["fr"]
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than have whole weights, most of them rare."""
+    names = [f"l{k:03d}" for k in range(140)]
+    word = lambda k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("ane", "ore", "uli", "esk")]
+    rows = [(i, " ".join(word(k) * 4), names[k]) for k in range(140) for i in range(k * 4, k * 4 + 4)]
+    learnt = op4_language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20, total_chars=100_000)
+    assert learnt[0] == sorted({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}) and learnt[1].shape == (1 << 16, len(learnt[0]))
+    got = [r["lang_pred"] for r in op4_language.languages(frame(spark, [" ".join(word(k)[::-1]) for k in range(140)]), *learnt).collect()]
+    assert sum(g == n for g, n in zip(got, names, strict=True)) > 0.9 * 140
+    assert op4_language.languages(frame(spark, []), *learnt).count() == 0
+
+
+def test_query_labels_every_text_by_its_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    langs, weights, transition = op4_language.learn(docs)
+    got = {r["doc_id"]: r for r in op4_language.op4_language_crf(spark, sf_dir).collect()}
+    for r in docs.collect():
+        own, words_ = got.pop(r["doc_id"]), op4_language.words(r["text"] or "")
+        assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if words_:
+            e = np.array([weights[crf.features(w)].astype(float).sum(axis=0) for w in words_])
+            p = crf.forward_backward(e[None], transition)[0][0].mean(axis=0)
+            assert own["lang_pred"] == langs[p.argmax()] and np.isclose(own["score"], p.max(), atol=1e-4)
+        else:
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+    assert not got
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------------
 
 
