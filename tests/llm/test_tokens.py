@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -84,27 +85,64 @@ def test_many_words_at_once_survive_full_tables(model, word_library):
 
 
 @settings(max_examples=400, deadline=None)
-@given(any_text, st.integers(1, 20))
+@given(any_text | st.text(" \n\t'srtvelmdaé1!日\x85\u3000", max_size=40), st.integers(1, 20))
 def test_counts_are_the_library_s_for_any_chunk(counter, byte_library, text, chunk):
-    assert counter.count(text, chunk) == len(byte_library.encode(text, add_special_tokens=False).ids)
+    want = len(byte_library.encode(text, add_special_tokens=False).ids)
+    assert counter.count(text, chunk) == want
+    assert counter.counts([None, text, "", text + text]) == [0, want, 0, len(byte_library.encode(text + text, add_special_tokens=False).ids)]
+    offsets = counter.offsets(text, chunk)
+    assert [n for _, n in offsets] == sorted(n for _, n in offsets) or len(offsets) > 1
+    assert not text or text.endswith("|>") or offsets[-1] == (len(text), want)
 
 
 def test_chunk_maps_compose_associatively(counter):
     r = random.Random(3)
+    machine = counter.machine
     for _ in range(200):
-        maps = [counter.chunk_map("".join(r.choices("ab  \n'<", k=r.randint(1, 8)))) for _ in range(3)]
-        left = counter.compose(counter.compose(maps[0], maps[1]), maps[2])
-        right = counter.compose(maps[0], counter.compose(maps[1], maps[2]))
-        assert counter.finish(left) == counter.finish(right)
-        scanned = counter.scan(maps)
-        assert counter.finish(scanned[2]) == counter.finish(left)
-
-
-def test_transducer_starts_anew_at_its_limit(counter, byte_library):
-    t = op3_token_counts.Transducer(counter.model)
-    t.MOST = 100
-    for word in prose(5, 300).split():
-        assert t.count(word) == len(byte_library.encode(word, add_special_tokens=False).ids)
+        text = "".join(r.choices("ab  \n'<sre1", k=24))
+        maps = [op3_token_counts.Chunk(machine, text, a, b) for a, b in ((0, 5), (5, 6), (6, 14), (14, 24))]
+        x, y = op3_token_counts.Composed, maps
+        left, right = x(x(x(y[0], y[1]), y[2]), y[3]), x(y[0], x(y[1], x(y[2], y[3])))
+        entering = [op3_token_counts.BEGIN, *(machine.run(op3_token_counts.BEGIN, "".join(r.choices("ab 'r\n", k=r.randint(1, 6))))[0] for _ in range(5))]
+        for state in entering:
+            want = machine.run(state, text)
+            assert left.of(state) == right.of(state) == op3_token_counts.reduced(maps).of(state) == want
+        for k, m in enumerate(op3_token_counts.scan(maps)):
+            assert (m.leaves, m.total) == machine.run(op3_token_counts.BEGIN, text[: maps[k].b])
+
+
+def test_transducer_starts_anew_at_its_limit(counter, byte_library, monkeypatch):
+    monkeypatch.setattr(op3_token_counts.Transducer, "MOST", 100)
+    own = op3_token_counts.Counter(BYTES)
+    for k in range(40):
+        t = prose(k, 200) + "日本" * 30
+        assert own.counts([t, "a"])[0] == own.count(t, 16) == len(byte_library.encode(t, add_special_tokens=False).ids)
+    assert len(own.machine.states) < 5000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 1 << 40), unique=True, max_size=200), st.integers(1, 7))
+def test_table_of_transitions(keys, n):
+    table, keys = op3_token_counts.Table(3), np.array(keys, dtype=np.int64)
+    for k in range(n):
+        table.put(keys[k::n], np.arange(len(keys), dtype=np.int32)[k::n])
+    assert table.get(keys).tolist() == list(range(len(keys))) and (table.get(keys + (1 << 41)) == -1).all()
+
+
+@pytest.mark.parametrize("alphabet", ["漢字仮名交文", "ABCDabcd0123+/", " ", "\n", "a", "=-"])
+def test_long_texts_without_borders(counter, byte_library, alphabet):
+    """Memory beside the text is small, whatever the text."""
+    r = random.Random(1)
+    text = "".join(r.choices(alphabet, k=300_000)) if len(alphabet) > 1 else alphabet * 300_000
+    tracemalloc.start()
+    got = counter.counts([text])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60_000_000
+    if len(alphabet) > 1:
+        assert got == len(byte_library.encode(text, add_special_tokens=False).ids)
+    else:
+        assert got == counter.count(text, 1 << 20)
 
 
 def test_digests(spark, word_library):
@@ -125,14 +163,28 @@ def test_encode_then_decode(spark, word_library):
     assert out[0] == ""
 
 
-def test_counts(spark, byte_library):
-    got = {r["doc_id"]: tuple(r)[1:] for r in op3_token_counts.token_counts(frame(spark, ODD), BYTES).collect()}
-    for i, t in enumerate(ODD):
+def test_counts(spark, byte_library, sf_dir):
+    rows = [*enumerate(ODD), (3, ODD[3]), (3, "other"), (None, "null id"), (None, None), *((1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = sorted(map(tuple, op3_token_counts.token_counts(df, BYTES).collect()), key=repr)
+    want = []
+    for i, t in rows:
         n = len(byte_library.encode(t or "", add_special_tokens=False).ids)
-        assert got[i] == (len((t or "").encode()), n, n > 1024)
+        want.append((i, len((t or "").encode()), n, n > 1024))
+    assert got == sorted(want, key=repr)
     assert op3_token_counts.token_counts(frame(spark, []), BYTES).count() == 0
 
 
+def test_offsets_cut_a_text_at_its_tokens(spark, byte_library):
+    texts = [*ODD, "x" * 3000 + " y" * 3000]
+    got = {r["doc_id"]: [tuple(x) for x in r["offsets"]] for r in op3_token_counts.token_offsets(frame(spark, texts), BYTES, 1000).collect()}
+    for i, t in enumerate(texts):
+        if not t or "<|" in t:
+            assert t or got[i] == []
+            continue
+        assert got[i][-1] == (len(t), len(byte_library.encode(t, add_special_tokens=False).ids)) and [x for x, _ in got[i][:-1]] == list(range(1000, len(t), 1000))
+
+
 @pytest.mark.parametrize("bits", [True, False])
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 65535), max_size=40), max_size=12), st.integers(1, 30))
