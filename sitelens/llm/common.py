@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,19 @@ def remove_steps(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Schemes of Hadoop paths by those that pyarrow knows; dbfs: is mounted on every machine.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "gcs://": "gs://", "dbfs:/": "file:///dbfs/"}
+
+
+def store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder that the driver and all executors reach, by pyarrow."""
+    uri = next((new + folder.removeprefix(old) for old, new in SCHEMES.items() if folder.startswith(old)), folder)
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"no way to write files to {folder}; pyarrow knows file, hdfs, s3, gs and abfs") from e
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: str = "") -> DataFrame:
     """mapInArrow in workers that hold little between tasks: what other operators have cached goes first (all but the caches
     whose names begin with keep), and memory that is free goes back to the system at the end."""

@@ -32,11 +32,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import id_text, map_arrow, map_batches, materialise, read_table, shared_dir
+from sitelens.llm.common import id_text, map_arrow, map_batches, materialise, read_table, shared_dir, store
 from sitelens.llm.op2_bpe import model
 
 TOKENIZER = "word_bpe_49k.json"
@@ -186,16 +185,18 @@ def write(docs: DataFrame, folder: str, path: str, bits: bool = False, shard_row
 
     dealt = encoded(docs, path, borders).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
 
+    store(folder)
+
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
+        fs, base = store(folder)
+        fs.create_dir(base, recursive=True)
         held: list[tuple[int | None, np.ndarray]] = []
         n, seq, shard = 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, n, seq
             name = f"{shard:07d}-{seq:04d}-{uuid.uuid4().hex}.tids"
-            with store.open_output_stream(f"{base}/{name}") as f:
+            with fs.open_output_stream(f"{base}/{name}") as f:
                 f.write(write_file(held, bits=bits))
             row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_docs": [len(held)], "n_ids": [n]})
             held, n, seq = [], 0, seq + 1
@@ -221,10 +222,10 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder)
+        fs, base = store(folder)
         for batch in batches:
             for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_input_file(f"{base}/{name}") as f:
+                with fs.open_input_file(f"{base}/{name}") as f:
                     rows = [(d, first + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in TokenFile(f).documents()]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -7,15 +7,18 @@ import gzip
 import hashlib
 import html.parser
 import itertools
+import time
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitelens.llm import crf, op1_warc, op4_language, op5_decontaminate, op7_line_frequency, op8_quality_pu, queries
+from sitelens.llm.common import store
 from sitelens.llm.words import hashed_words, words
 from tests import oracle
 from tests.llm.cases import LONG, ODD, SCHEMA, frame, prose
@@ -101,6 +104,85 @@ def test_head_without_its_end_tag():
     assert op1_warc.plain_text("<p>one<script>no<p>no") == "one" and op1_warc.plain_text("<head><style>no") == ""
 
 
+PAGE = "<html><head><title>é</title></head><body><p>one<p>two</body></html>".encode()
+
+
+def chunked(body, size):
+    return b"".join(f"{len(body[k : k + size]):X};x=1\r\n".encode() + body[k : k + size] + b"\r\n" for k in range(0, len(body), size)) + b"0\r\n\r\n"
+
+
+@pytest.mark.parametrize(
+    ("headers", "body"),
+    [
+        ("Content-Encoding: gzip", gzip.compress(PAGE)),
+        ("content-encoding: X-GZIP", gzip.compress(PAGE[:9]) + gzip.compress(PAGE[9:])),
+        ("Content-Encoding: gzip", PAGE),
+        ("Content-Encoding: deflate", zlib.compress(PAGE)),
+        ("Content-Encoding: deflate", zlib.compress(PAGE)[2:-4]),
+        ("Content-Encoding: zstd", zstandard.compress(PAGE)),
+        ("Transfer-Encoding: chunked", chunked(PAGE, 7)),
+        ("Transfer-Encoding: chunked", PAGE),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(gzip.compress(PAGE), 10)),
+        ("Content-Encoding: identity", PAGE),
+    ],
+)
+def test_encodings_are_undone(headers, body):
+    meta, text = op1_warc.derive_one("<urn:uuid:1>", "u", "d", f"HTTP/1.1 200 OK\r\n{headers}\r\n\r\n".encode() + body)
+    assert bytes(text["block"]).decode() == "one\ntwo" and b"title: \xc3\xa9\r\n" in meta["block"]
+    assert meta["source_payload_digest"] == op1_warc.digest(body)
+
+
+def test_bodies_that_stay_packed(monkeypatch):
+    monkeypatch.setattr(op1_warc.unpacked, "__defaults__", (1000,))
+    bomb = gzip.compress(b"x" * 100_000)
+    for headers, body, why in (("Content-Encoding: br", b"\x0b\x02", b"encoding br"), ("Content-Encoding: gzip", bomb, b"unpacks to over 1000 bytes"), ("Content-Encoding: zstd", zstandard.compress(b"x" * 9000), b"unpacks to over 1000 bytes")):
+        (meta,) = op1_warc.derive_one("<urn:uuid:1>", "u", "d", f"HTTP/1.1 200 OK\r\n{headers}\r\n\r\n".encode() + body)
+        assert b"conversion-left-out: " + why in meta["block"] and meta["concurrent_to"] is None
+    assert op1_warc.unpacked(gzip.compress(PAGE)[:-9], [("Content-Encoding", "gzip")])[:10] == PAGE[:10]
+    assert op1_warc.unchunked(b"5\r\nabc") == b"abc" and op1_warc.unchunked(b"3\nabc\n2\nde") == b"abcde" and op1_warc.unchunked(b"") == b""
+
+
+def test_tags_without_bounds():
+    began = time.time()
+    assert op1_warc.plain_text(f"<p title='{'x' * 200_000}' {'y ' * 100_000}>one</p><img src=\"data:{'z' * 3_000_000}\">two") == "one\ntwo"
+    assert op1_warc.plain_text("one" + "<a \"" * 200_001).startswith("one")
+    assert op1_warc.plain_text("one <b title=") == "one"
+    long = "<p>" + "word " * 800_000
+    assert len(op1_warc.plain_text(long)) == 5 * 800_000 - 1
+    assert time.time() - began < 20
+
+
+def test_dates_are_utc_in_any_zone(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (-1_700_000_001, "u", "x"), (100_000_000, "u", "x"), (None, "u", "x")], "page_id long, url string, html string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert [r["warc_date"] for r in op1_warc.responses(pages).collect()] == ["2023-11-14T22:13:21Z", "1969-12-31T23:59:59Z", "2027-01-15T08:00:00Z", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_warc_files_are_read(spark, sf_dir, tmp_path):
+    """Responses written as WARC and read back give the derivatives of the table."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = op1_warc.responses(pages).collect()
+    for k, part in enumerate((rows[:7], rows[7:], [])):
+        data = [b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"]
+        data += [f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: {r['record_id']}\r\nWARC-Target-URI: {r['target_uri']}\r\nWARC-Date: {r['warc_date']}\r\nContent-Length: {len(r['block'])}\r\n\r\n".encode() + bytes(r["block"]) + b"\r\n\r\n" for r in part]
+        (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(map(gzip.compress, data)) if k else b"".join(data))
+    found = op1_warc.derive(op1_warc.read_warc(spark, f"file://{tmp_path}/*.warc.gz")).drop("id").collect()
+    want = op1_warc.derive(op1_warc.responses(pages.withColumns({"block": F.lit(1), "record_id": F.lit(2), "id": F.lit(3)}))).drop("id").collect()
+    assert sorted(found) == sorted(want) and len(want) == 2 * len(rows)
+
+
+def test_folders_that_can_t_be_written(spark):
+    made = op1_warc.derive(op1_warc.responses(spark.createDataFrame([], "page_id long, url string, html string")))
+    with pytest.raises(ValueError):
+        op1_warc.write_warc(made, "ftp://somewhere/x")
+    assert store("dbfs:/tmp/x")[1] == "/dbfs/tmp/x" and store("file:///tmp/x")[1] == "/tmp/x"
+
+
 def test_null_and_repeated_pages(spark):
     pages = spark.createDataFrame([(None, None, None), (1, "http://a.example/", None), (2, "u", "<p>x"), (2, "u", "<p>x")], "page_id long, url string, html string")
     made = op1_warc.derive(op1_warc.responses(pages)).collect()
