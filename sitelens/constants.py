@@ -41,6 +41,64 @@ AGENTS = [
     ("webzio-extended", "Webz.io", "training", "yes", False, True),
 ]
 BUCKETS = ("citation", "user_fetch", "training")
+#: where a vendor documents its crawlers; one that documents none has no link
+VENDOR_DOCS = {
+    "OpenAI": "https://developers.openai.com/api/docs/bots",
+    "Anthropic": "https://support.claude.com/en/articles/8896518",
+    "Perplexity": "https://docs.perplexity.ai/guides/bots",
+    "Microsoft": "https://www.bing.com/webmasters/help/which-crawlers-does-bing-use-8c184ec0",
+    "Apple": "https://support.apple.com/en-us/119829",
+    "Meta": "https://developers.facebook.com/docs/sharing/webmasters/web-crawlers",
+    "Mistral": "https://docs.mistral.ai/robots",
+    "DuckDuckGo": "https://duckduckgo.com/duckduckgo-help-pages/results/duckassistbot/",
+    "Amazon": "https://developer.amazon.com/amazonbot",
+    "You.com": "https://you.com/docs/youbot",
+    "Common Crawl": "https://commoncrawl.org/ccbot",
+    "Diffbot": "https://www.diffbot.com/docs/crawl/faq/robots-txt",
+    "Webz.io": "https://webz.io/",
+}
+#: the same for a vendor with several pages
+CRAWLER_DOCS = {
+    "Googlebot": "https://developers.google.com/search/docs/crawling-indexing/google-common-crawlers",
+    "Google-Extended": "https://developers.google.com/search/docs/crawling-indexing/google-common-crawlers",
+    "Google-GeminiNotebook": "https://developers.google.com/search/docs/crawling-indexing/google-user-triggered-fetchers",
+    "Google-Agent": "https://developers.google.com/search/docs/crawling-indexing/google-user-triggered-fetchers",
+}
+#: what a crawler is for, in our words
+CRAWLER_NOTES = {
+    "OAI-SearchBot": "Finds pages for search in ChatGPT. Not the one that collects for training.",
+    "Claude-SearchBot": "Finds pages for search in Claude.",
+    "PerplexityBot": "Finds pages that Perplexity shows and links.",
+    "Googlebot": "Builds the index of Google Search, which AI overviews draw on.",
+    "Bingbot": "Builds the index of Bing, which Copilot draws on.",
+    "Applebot": "Builds the index behind Siri and Spotlight.",
+    "Meta-WebIndexer": "Finds pages that Meta AI cites and links.",
+    "MistralAI-Index": "Builds the search index of Mistral's assistant.",
+    "DuckAssistBot": "Finds sources for assisted answers of DuckDuckGo.",
+    "Amzn-SearchBot": "Finds pages for search with Alexa.",
+    "YouBot": "Builds the index of You.com.",
+    "ChatGPT-User": "Opens a page that a user of ChatGPT asks about. Rules may not apply to it.",
+    "Claude-User": "Opens a page that a user of Claude asks about.",
+    "Perplexity-User": "Opens a page that a user of Perplexity asks about. It mostly passes over robots.txt.",
+    "MistralAI-User": "Opens a page that a user of Mistral's assistant asks about.",
+    "Meta-ExternalFetcher": "Opens a link that a user of Meta AI gives. It may pass over robots.txt.",
+    "Amzn-User": "Opens a page for a question to Alexa. It may pass over robots.txt.",
+    "Google-GeminiNotebook": "Opens a page that a user adds to a notebook. It passes over robots.txt.",
+    "Google-Agent": "Opens pages for an agent that a user sends. It passes over robots.txt.",
+    "GPTBot": "Collects pages for training. Search in ChatGPT doesn't need it.",
+    "ClaudeBot": "Collects pages for training.",
+    "anthropic-ai": "An old name that sites still have rules for.",
+    "Google-Extended": "A name for rules only: whether Gemini may use what is crawled.",
+    "Applebot-Extended": "A name for rules only: whether Apple may train on what is crawled.",
+    "CCBot": "Fills an open archive that many training sets come from.",
+    "meta-externalagent": "Collects pages for training and indexing.",
+    "MistralAI-Training": "Collects pages for training.",
+    "Bytespider": "Collects pages; its vendor doesn't document it.",
+    "Amazonbot": "Collects pages for products and training.",
+    "Diffbot": "Collects pages as data. Customers can switch rules off.",
+    "omgilibot": "An old name of the crawler after it.",
+    "webzio-extended": "Collects pages for training sets that are sold.",
+}
 
 #: category, check_id, weight, in report order; the weights of a category sum to 100
 RUBRIC = [
@@ -58,6 +116,37 @@ RUBRIC = [
     ("readability", "llms_txt", 5),
     ("readability", "answer_shaped_content", 5),
 ]
+#: title and page to read more of each check
+CHECK_TITLES = {
+    "citation_crawlers_allowed": "Citation crawlers allowed",
+    "user_fetch_crawlers_allowed": "User fetch crawlers allowed",
+    "pages_reachable": "Pages reachable",
+    "sitemap_available": "Sitemap available",
+    "no_noindex": "No noindex",
+    "raw_html_content": "Content in raw HTML",
+    "jsonld_valid": "Valid JSON-LD",
+    "heading_structure": "Heading structure",
+    "title_and_description": "Title and meta description",
+    "author_and_dates": "Author and dates",
+    "canonical": "Canonical",
+    "llms_txt": "llms.txt",
+    "answer_shaped_content": "Answer shaped content",
+}
+CHECK_DOCS = {
+    "citation_crawlers_allowed": "https://developers.openai.com/api/docs/bots",
+    "user_fetch_crawlers_allowed": "https://support.claude.com/en/articles/8896518",
+    "pages_reachable": "https://developers.google.com/search/docs/appearance/structured-data/paywalled-content",
+    "sitemap_available": "https://developers.google.com/search/docs/crawling-indexing/sitemaps/build-sitemap",
+    "no_noindex": "https://developers.google.com/search/docs/crawling-indexing/block-indexing",
+    "raw_html_content": "https://developers.google.com/search/docs/crawling-indexing/javascript/javascript-seo-basics",
+    "jsonld_valid": "https://developers.google.com/search/docs/appearance/structured-data/search-gallery",
+    "heading_structure": "https://developers.google.com/search/docs/fundamentals/seo-starter-guide",
+    "title_and_description": "https://developers.google.com/search/docs/appearance/snippet",
+    "author_and_dates": "https://developers.google.com/search/docs/appearance/structured-data/article",
+    "canonical": "https://developers.google.com/search/docs/crawling-indexing/consolidate-duplicate-urls",
+    "llms_txt": "https://llmstxt.org/",
+    "answer_shaped_content": "https://llmstxt.org/",
+}
 GRADES = [(90, "A"), (75, "B"), (60, "C"), (40, "D")]
 LOWEST_GRADE = "F"
 CAP_NO_CITATION, CAP_BLANKET = 20, 10
@@ -81,15 +170,15 @@ NON_PAGE_SUFFIXES = [".pdf", ".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", "
 SIGNAL_KEYS = ["search", "ai-train", "ai-input", "use", "ai-personalization", "ai-retrieval"]
 GENERATORS = ["wordpress", "shopify", "wix", "squarespace", "webflow", "prestashop", "magento", "drupal", "joomla", "hubspot", "ghost", "gatsby", "hugo", "jekyll"]
 PLATFORM_SIGNS = [
-    ("WordPress", "/wp-content/|/wp-includes/|/wp-json/"),
-    ("Shopify", r"cdn\.shopify\.com|Shopify\.theme|shopifycdn\."),
-    ("Wix", r"static\.wixstatic\.com|wixsite\.com"),
-    ("Squarespace", r"static1\.squarespace\.com|squarespace-cdn"),
-    ("Webflow", r"assets\.website-files\.com|uploads-ssl\.webflow"),
-    ("PrestaShop", r"var\s+prestashop\s*=|/modules/ps_"),
-    ("Magento", r"/static/version\d|Magento_[A-Z]"),
-    ("Drupal", r"/sites/default/files/|Drupal\.settings"),
-    ("Next.js", "__NEXT_DATA__|/_next/static/"),
+    ("WordPress", ["/wp-content/", "/wp-includes/", "/wp-json/"]),
+    ("Shopify", [r"cdn\.shopify\.com", r"Shopify\.theme", r"shopifycdn\."]),
+    ("Wix", [r"static\.wixstatic\.com", r"wixsite\.com"]),
+    ("Squarespace", [r"static1\.squarespace\.com", "squarespace-cdn"]),
+    ("Webflow", [r"assets\.website-files\.com", r"uploads-ssl\.webflow"]),
+    ("PrestaShop", [r"var\s+prestashop\s*=", "/modules/ps_"]),
+    ("Magento", [r"/static/version\d", "Magento_[A-Z]"]),
+    ("Drupal", ["/sites/default/files/", r"Drupal\.settings"]),
+    ("Next.js", ["__NEXT_DATA__", "/_next/static/"]),
 ]
 PLATFORM_CHARS = 200_000
 SHELL_IDS = ["root", "app", "__next", "__nuxt", "main-app", "svelte"]

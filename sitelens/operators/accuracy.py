@@ -71,6 +71,17 @@ def agreement(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count_if(F.col("tool") == F.col("literal")).alias("tool_literal"), F.count_if(F.col("tool") == F.col("stdlib")).alias("tool_stdlib"), F.count("*").alias("total"))
 
 
+def skipped(outcomes: DataFrame) -> DataFrame:
+    """outcome, n of the sites that weren't compared, most first. outcomes: domain, outcome (`compared` or why not)."""
+    return outcomes.where("outcome <> 'compared'").groupBy("outcome").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "outcome")
+
+
+def outcomes(sites: DataFrame, aborted: DataFrame) -> DataFrame:
+    """domain, outcome of sites (domain, robots_real) and those that were aborted (domain)."""
+    said = F.when(F.col("gone").isNotNull(), "aborted").when(~F.col("robots_real"), "no_robots").otherwise("compared")
+    return sites.select("domain", "robots_real").join(aborted.select("domain", F.lit(True).alias("gone")), "domain", "full_outer").select("domain", said.alias("outcome"))
+
+
 def disagreements(compared: DataFrame) -> DataFrame:
     return compared.where("tool <> literal OR tool <> stdlib").orderBy("robots_id", "token")
 

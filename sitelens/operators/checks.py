@@ -3,7 +3,8 @@
 Page rows: domain, pos, url, status, headers MAP, f (features struct). Readability looks at pages that answered 200 only, the
 access checks at all. All aggregates are taken in one grouping by domain and joined with one over the site's verdicts; the
 checks are then expressions over a row a site. `@check` registers one, so a new check is a function here and a line in the
-rubric. A check gives ratio (0 to 1, else an error), severity, evidence, fix (null for none) and details as JSON.
+rubric. A check gives ratio, severity, evidence, fix (summary and snippet, null for none) and details as JSON. One whose ratio isn't
+between 0 and 1 has failed at that site: it is an error of the site, and the other checks and sites go on.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def detect_platform(html: Column, headers: Column, metas: Column) -> Column:
     name = F.create_map(*[F.lit(x) for g in K.GENERATORS for x in (g, "WordPress" if g == "wordpress" else g.capitalize())])
     hits = F.flatten(F.transform(declared, lambda d: F.filter(F.array(*map(F.lit, K.GENERATORS)), lambda g: F.contains(d, g))))
     blob = F.concat(F.substring(html, 1, K.PLATFORM_CHARS), F.lit(" "), F.array_join(F.map_values(headers), " "))
-    signs = reduce(lambda c, s: c.when(F.rlike(blob, F.lit("(?i)" + s[1])), s[0]), K.PLATFORM_SIGNS[1:], F.when(F.rlike(blob, F.lit("(?i)" + K.PLATFORM_SIGNS[0][1])), K.PLATFORM_SIGNS[0][0]))
+    shows = lambda patterns: F.rlike(blob, F.lit("(?i)" + "|".join(patterns)))
+    signs = F.coalesce(*(F.when(shows(patterns), name_) for name_, patterns in K.PLATFORM_SIGNS))
     return F.when(html.isNull(), "unknown").when(F.size(hits) > 0, F.element_at(name, F.get(hits, F.lit(0)))).otherwise(F.coalesce(signs, F.lit("custom or unidentified")))
 
 
@@ -141,6 +143,12 @@ def of(n: Column, total: Column) -> Column:
     return F.concat(n.cast("string"), F.lit(" of "), total.cast("string"))
 
 
+def remedy(needed: Column, summary: Column | str, snippet: Column | str = "") -> Column:
+    """A fix: what to do, and the lines to paste where there are any; null where none is needed."""
+    said = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.when(needed, F.struct(said(summary).alias("summary"), said(snippet).alias("snippet")))
+
+
 def first_four(condition: Column, text: Column) -> Column:
     """The texts of the first four pages that meet the condition, in page order."""
     listed = F.array_sort(F.collect_list(F.when(condition, F.struct(F.col("pos"), text.alias("text")))))
@@ -164,7 +172,7 @@ def citation(c):
     v = F.col("citation")
     severity = F.when(v["allowed"] == v["total"], "ok").when(blackout(v) | (v["allowed"] == 0), "critical").otherwise("warning")
     evidence = F.concat(of(v["allowed"], v["total"]), F.lit(" citation crawlers may read the site."), F.when(F.size(v["blocked"]) > 0, F.concat(F.lit(" Shut out: "), F.array_join(v["told"], ", "), F.lit("."))).otherwise(""), F.when(blackout(v), " Search engines still get in, but nothing that only feeds AI answers does.").otherwise(""))
-    return F.coalesce(F.try_divide(v["allowed"], v["total"]), F.lit(0.0)), severity, evidence, F.when(F.size(v["blocked"]) > 0, allow_lines(v["blocked"])), F.struct(v["open"].alias("allowed"), v["blocked"].alias("blocked"), blackout(v).alias("ai_only_blackout"))
+    return F.coalesce(F.try_divide(v["allowed"], v["total"]), F.lit(0.0)), severity, evidence, remedy(F.size(v["blocked"]) > 0, "Let these crawlers in.", allow_lines(v["blocked"])), F.struct(v["open"].alias("allowed"), v["blocked"].alias("blocked"), blackout(v).alias("ai_only_blackout"))
 
 
 @check("user_fetch_crawlers_allowed")
@@ -173,7 +181,7 @@ def user_fetch(c):
     reached = v["allowed"] + F.size(v["ignored"])
     severity = F.when(v["allowed"] == v["total"], "ok").when(v["allowed"] > 0, "warning").otherwise("critical")
     evidence = F.concat(of(v["allowed"], v["total"]), F.lit(" crawlers that fetch for a person are allowed."), F.when(F.size(v["blocked"]) > 0, F.concat(F.lit(" Shut out: "), F.array_join(v["told"], ", "), F.lit("."))).otherwise(""), F.when(F.size(v["ignored"]) > 0, F.concat(F.lit(" These don't follow robots.txt: "), F.array_join(v["ignored"], ", "), F.lit("."))).otherwise(""))
-    return F.coalesce(F.try_divide(reached, v["total"]), F.lit(0.0)), severity, evidence, F.when(F.size(v["effective"]) > 0, allow_lines(v["effective"])), F.struct(v["open"].alias("allowed"), v["blocked"].alias("blocked"), v["ignored"].alias("blocked_but_ignore_robots"))
+    return F.coalesce(F.try_divide(reached, v["total"]), F.lit(0.0)), severity, evidence, remedy(F.size(v["effective"]) > 0, "Let these crawlers in; those that don't follow robots.txt can't be told there.", allow_lines(v["effective"])), F.struct(v["open"].alias("allowed"), v["blocked"].alias("blocked"), v["ignored"].alias("blocked_but_ignore_robots"))
 
 
 def page_wall() -> Column:
@@ -183,7 +191,7 @@ def page_wall() -> Column:
 @check("pages_reachable", n=lambda: F.count_if(F.col("_wall").isNull()), weak=lambda: first_four(F.col("_wall").isNotNull(), F.concat(F.col("url"), F.lit(" ("), F.col("_wall"), F.lit(")"))))
 def reachable(c):
     n, total = c("n"), F.col("pages")
-    return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages can be read without an account. "), c("weak")), F.when(n < total, "Serve these pages to a client without an account."), F.struct(n.alias("open"), total.alias("pages"))
+    return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages can be read without an account. "), c("weak")), remedy(n < total, "Serve these pages to a client without an account."), F.struct(n.alias("open"), total.alias("pages"))
 
 
 @check("sitemap_available")
@@ -192,7 +200,8 @@ def sitemap(c):
     found, named = F.col("reachable").isNotNull(), F.col("declared").isNotNull()
     severity = F.when(found & named, "ok").when(found, "info").otherwise("warning")
     evidence = F.when(found & named, F.concat(F.lit("robots.txt names a sitemap, and one answers at "), F.col("reachable"), F.lit("."))).when(found, F.concat(F.lit("A sitemap answers at "), F.col("reachable"), F.lit(", but robots.txt doesn't name it."))).when(named, F.concat(F.lit("robots.txt names "), F.col("declared"), F.lit(", where no sitemap answers."))).otherwise("There is no sitemap.")
-    fix = F.when(found & ~named, F.concat(F.lit("Sitemap: "), F.col("reachable"))).when(~found & named, "Make the sitemap answer at the address in robots.txt, or change the line.").when(~found, "Publish a sitemap and name it in robots.txt.")
+    unnamed = F.when(found, "Name the sitemap in robots.txt.").when(named, "Make the sitemap answer at the address in robots.txt, or change the line.").otherwise("Publish a sitemap and name it in robots.txt.")
+    fix = remedy(~(found & named), unnamed, F.when(found, F.concat(F.lit("Sitemap: "), F.col("reachable"))).otherwise(""))
     return found.cast("double"), severity, evidence, fix, F.struct("declared", "reachable")
 
 
@@ -203,7 +212,7 @@ def page_noindex() -> Column:
 @check("no_noindex", n=lambda: F.count_if(F.size(F.col("_noindex")) == 0), weak=lambda: first_four(F.size(F.col("_noindex")) > 0, F.concat(F.col("url"), F.lit(" ("), F.array_join(F.col("_noindex"), ", "), F.lit(")"))))
 def noindex(c):
     n, total = c("n"), F.col("pages")
-    return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages may be indexed. "), c("weak")), F.when(n < total, "Take the noindex directive off pages that are meant to be found."), F.struct(n.alias("clean"), total.alias("pages"))
+    return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages may be indexed. "), c("weak")), remedy(n < total, "Take the noindex directive off pages that are meant to be found."), F.struct(n.alias("clean"), total.alias("pages"))
 
 
 def page_raw() -> Column:
@@ -213,7 +222,7 @@ def page_raw() -> Column:
 @check("raw_html_content", ratio=lambda: mean(F.col("_raw")), weak=lambda: F.count_if(ok200() & (F.col("_raw") < 1)), told=lambda: first_four(ok200() & (F.col("_raw") < 1), F.concat(F.col("url"), F.lit(" ("), F.col("f.text_chars").cast("string"), F.lit(" characters of text)"))))
 def raw_html(c):
     severity = F.when(c("weak") == 0, "ok").when(c("ratio") < 0.34, "critical").otherwise("warning")
-    return c("ratio"), severity, F.concat(of(F.col("readable") - c("weak"), F.col("readable")), F.lit(" pages carry their text in the HTML that is sent. "), c("told")), F.when(c("weak") > 0, "Render the text on the server."), F.struct(c("weak").alias("weak"))
+    return c("ratio"), severity, F.concat(of(F.col("readable") - c("weak"), F.col("readable")), F.lit(" pages carry their text in the HTML that is sent. "), c("told")), remedy(c("weak") > 0, "Render the text on the server."), F.struct(c("weak").alias("weak"))
 
 
 def page_known() -> Column:
@@ -224,7 +233,7 @@ def page_known() -> Column:
 def jsonld(c):
     n, total, broken = c("n"), F.col("readable"), c("broken")
     severity = F.when((n == total) & (broken == 0), "ok").when((n == 0) | (broken > 0), "warning").otherwise("info")
-    return F.try_divide(n, total), severity, F.concat(of(n, total), F.lit(" pages carry JSON-LD of a type that is understood; "), broken.cast("string"), F.lit(" blocks can't be parsed.")), F.when((n < total) | (broken > 0), "Add one valid JSON-LD block a page that says what the page is."), F.struct(n.alias("with_recognised_type"), broken.alias("broken_blocks"))
+    return F.try_divide(n, total), severity, F.concat(of(n, total), F.lit(" pages carry JSON-LD of a type that is understood; "), broken.cast("string"), F.lit(" blocks can't be parsed.")), remedy((n < total) | (broken > 0), "Add one valid JSON-LD block a page that says what the page is."), F.struct(n.alias("with_recognised_type"), broken.alias("broken_blocks"))
 
 
 def page_outline() -> Column:
@@ -234,7 +243,7 @@ def page_outline() -> Column:
 @check("heading_structure", ratio=lambda: mean(F.col("_outline")), weak=lambda: F.count_if(ok200() & (F.col("_outline") < 1)), told=lambda: first_four(ok200() & (F.col("_outline") < 1), F.col("url")))
 def headings(c):
     severity = F.when(c("weak") == 0, "ok").when(c("ratio") < 0.5, "warning").otherwise("info")
-    return c("ratio"), severity, F.concat(of(F.col("readable") - c("weak"), F.col("readable")), F.lit(" pages have one h1 and skip no level. "), c("told")), F.when(c("weak") > 0, "Use one h1 and go down one level at a time."), F.struct(c("weak").alias("weak"))
+    return c("ratio"), severity, F.concat(of(F.col("readable") - c("weak"), F.col("readable")), F.lit(" pages have one h1 and skip no level. "), c("told")), remedy(c("weak") > 0, "Use one h1 and go down one level at a time."), F.struct(c("weak").alias("weak"))
 
 
 def page_title() -> Column:
@@ -254,14 +263,14 @@ def titles(c):
     unique = (c("titles") > 0) & (c("titles") == c("distinct"))
     full = (c("t") == 1) & (c("d") == 1) & unique
     ratio = F.when(full, 1.0).otherwise(K.TITLE_SHARE * c("t") + K.DESCRIPTION_SHARE * c("d") + K.UNIQUE_SHARE * unique.cast("double"))
-    return ratio, F.when(full, "ok").otherwise("warning"), F.concat((F.col("readable") - c("titles")).cast("string"), F.lit(" pages have no title, "), c("plain").cast("string"), F.lit(" no description; titles are "), F.when(unique, "all different.").otherwise("not all different.")), F.when(~full, "Give each page a title and a description of its own, of the usual length."), F.struct(unique.alias("titles_unique"), c("odd").alias("titles_outside_range"), c("plain").alias("no_description"))
+    return ratio, F.when(full, "ok").otherwise("warning"), F.concat((F.col("readable") - c("titles")).cast("string"), F.lit(" pages have no title, "), c("plain").cast("string"), F.lit(" no description; titles are "), F.when(unique, "all different.").otherwise("not all different.")), remedy(~full, "Give each page a title and a description of its own, of the usual length."), F.struct(unique.alias("titles_unique"), c("odd").alias("titles_outside_range"), c("plain").alias("no_description"))
 
 
 @check("author_and_dates", a=lambda: F.count_if(ok200() & F.col("_author")), d=lambda: F.count_if(ok200() & F.col("_date")))
 def authorship(c):
     total = F.col("readable")
     full = (c("a") == total) & (c("d") == total)
-    return F.try_divide(c("a") + c("d"), 2 * total), F.when(full, "ok").otherwise("warning"), F.concat(of(c("a"), total), F.lit(" pages name an author, "), of(c("d"), total), F.lit(" a date.")), F.when(~full, "Name the author and the date in the page's markup."), F.struct(c("a").alias("with_author"), c("d").alias("with_date"))
+    return F.try_divide(c("a") + c("d"), 2 * total), F.when(full, "ok").otherwise("warning"), F.concat(of(c("a"), total), F.lit(" pages name an author, "), of(c("d"), total), F.lit(" a date.")), remedy(~full, "Name the author and the date in the page's markup."), F.struct(c("a").alias("with_author"), c("d").alias("with_date"))
 
 
 def page_canonical() -> Column:
@@ -271,7 +280,7 @@ def page_canonical() -> Column:
 @check("canonical", n=lambda: F.count_if(ok200() & F.col("_canonical").isNull()), told=lambda: first_four(ok200() & F.col("_canonical").isNotNull(), F.concat(F.col("url"), F.lit(" ("), F.col("_canonical"), F.lit(")"))))
 def canonical(c):
     full = c("n") == F.col("readable")
-    return F.try_divide(c("n"), F.col("readable")), F.when(full, "ok").otherwise("warning"), F.concat(of(c("n"), F.col("readable")), F.lit(" pages name a canonical address on their own host. "), c("told")), F.when(~full, "Add a canonical link to each page, on its own host."), F.struct(c("n").alias("sound"))
+    return F.try_divide(c("n"), F.col("readable")), F.when(full, "ok").otherwise("warning"), F.concat(of(c("n"), F.col("readable")), F.lit(" pages name a canonical address on their own host. "), c("told")), remedy(~full, "Add a canonical link to each page, on its own host."), F.struct(c("n").alias("sound"))
 
 
 def llms_ratio(body: Column) -> Column:
@@ -288,7 +297,7 @@ def read_llms(status: Column, error: Column, body: Column) -> Column:
 def llms(c):
     """From the site's column llms (body or null)."""
     good = llms_ratio(F.col("llms")) == 1
-    return llms_ratio(F.col("llms")), F.when(good, "ok").otherwise("info"), F.when(good, "llms.txt is there.").when(F.col("llms").isNull(), "There is no llms.txt.").otherwise("llms.txt is all but empty."), F.when(~good, "Publish an llms.txt that lists the pages worth reading."), F.struct(F.length(F.coalesce("llms", F.lit(""))).alias("length"))
+    return llms_ratio(F.col("llms")), F.when(good, "ok").otherwise("info"), F.when(good, "llms.txt is there.").when(F.col("llms").isNull(), "There is no llms.txt.").otherwise("llms.txt is all but empty."), remedy(~good, "Publish an llms.txt that lists the pages worth reading."), F.struct(F.length(F.coalesce("llms", F.lit(""))).alias("length"))
 
 
 SHAPES = ("steps", "comparison_table", "faq", "definition_list", "attributed_quote", "summary_box")
@@ -299,7 +308,7 @@ def answers(c):
     found = reduce(lambda a, b: a + b, (c(n).cast("int") for n in SHAPES))
     full = (found >= K.SHAPES_WANTED) & (c("citable") == 1)
     ratio = K.SHAPE_SHARE * F.least(found, F.lit(K.SHAPES_WANTED)) / K.SHAPES_WANTED + K.CITABLE_SHARE * c("citable")
-    return F.when(full, 1.0).otherwise(ratio), F.when(full, "ok").otherwise("info"), F.concat(found.cast("string"), F.lit(" of 6 shapes that answers are taken from.")), F.when(~full, "Offer steps, tables, questions with answers or definitions, in sections."), F.struct(*(c(n).alias(n) for n in SHAPES), found.alias("found"), c("citable").alias("citable"))
+    return F.when(full, 1.0).otherwise(ratio), F.when(full, "ok").otherwise("info"), F.concat(found.cast("string"), F.lit(" of 6 shapes that answers are taken from.")), remedy(~full, "Offer steps, tables, questions with answers or definitions, in sections."), F.struct(*(c(n).alias(n) for n in SHAPES), found.alias("found"), c("citable").alias("citable"))
 
 
 #: What the aggregates read of a page, computed once a page.
@@ -323,23 +332,43 @@ PAGE: dict[str, Callable[[], Column]] = {
 OF_PAGES = frozenset(i for c, i, _ in K.RUBRIC if c == "readability" and i != "llms_txt")
 
 
-def checks(sites: DataFrame, pages: DataFrame, verdicts: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
-    """domain, check_id, category, ratio, severity, evidence, fix, details for every site and check (or those named).
+FIX = "struct<summary:string,snippet:string,docs_url:string>"
+
+
+def attempted(sites: DataFrame, pages: DataFrame, verdicts: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
+    """domain, pos, check_id, category, ratio, severity, evidence, fix, details, error (null unless the check failed) for every site
+    and check (or those named).
 
     sites: domain, declared, reachable, llms. pages and verdicts are grouped by domain once each."""
-    wanted = [(c, i) for c, i, _ in K.RUBRIC if not only or i in only]
-    aggregates = [a().alias(f"{i}__{n}") for _, i in wanted for n, a in CHECKS[i][1].items()]
+    wanted = [(k, c, i) for k, (c, i, _) in enumerate(K.RUBRIC) if not only or i in only]
+    aggregates = [a().alias(f"{i}__{n}") for _, _, i in wanted for n, a in CHECKS[i][1].items()]
     per_site = pages.withColumns({n: c() for n, c in PAGE.items()}).groupBy("domain").agg(F.count("*").alias("pages"), F.count_if(ok200()).alias("readable"), *aggregates)
     row = sites.join(per_site, "domain", "left").join(crawler_facts(verdicts), "domain", "left").withColumn("pages", F.coalesce("pages", F.lit(0))).withColumn("readable", F.coalesce("readable", F.lit(0)))
     made = []
-    for category, i in wanted:
+    for k, category, i in wanted:
         ratio, severity, evidence, fix, details = CHECKS[i][0](lambda n, i=i: F.col(f"{i}__{n}"))
         unread = (F.col("readable") == 0) if i in OF_PAGES else F.lit(False)
-        sound = F.when(unread, 0.0).when(ratio.between(0, 1), ratio).otherwise(F.raise_error(F.lit(f"{i}: ratio outside 0 to 1")).cast("double"))
+        fault = F.when(unread | F.coalesce(ratio.between(0, 1), F.lit(False)), F.lit(None)).otherwise(F.concat(F.lit(f"{i}: no ratio from 0 to 1 but "), F.coalesce(ratio.cast("string"), F.lit("none"))))
+        linked = F.when(~unread & fix.isNotNull(), F.struct(fix["summary"].alias("summary"), fix["snippet"].alias("snippet"), F.lit(K.CHECK_DOCS[i]).alias("docs_url")))
         made.append(
             F.struct(
-                F.lit(i).alias("check_id"), F.lit(category).alias("category"), sound.cast("double").alias("ratio"), F.when(unread, "warning").otherwise(severity).alias("severity"),
-                F.when(unread, "No page answered 200, so there was nothing to read.").otherwise(evidence).alias("evidence"), F.when(~unread, fix.cast("string")).alias("fix"), F.when(unread, "{}").otherwise(F.to_json(details)).alias("details"),
+                F.lit(k).alias("pos"), F.lit(i).alias("check_id"), F.lit(category).alias("category"), F.when(unread, 0.0).otherwise(ratio).cast("double").alias("ratio"), F.when(unread, "warning").otherwise(severity).alias("severity"),
+                F.when(unread, "No page answered 200, so there was nothing to read.").otherwise(evidence).alias("evidence"), linked.cast(FIX).alias("fix"), F.when(unread, "{}").otherwise(F.to_json(details)).alias("details"), fault.cast("string").alias("error"),
             )
         )
     return row.select("domain", F.explode(F.array(*made)).alias("x")).select("domain", "x.*")
+
+
+def sound(attempted_: DataFrame) -> DataFrame:
+    """The checks that ran: domain, check_id, category, ratio, severity, evidence, fix, details."""
+    return attempted_.where("error IS NULL").drop("error", "pos")
+
+
+def failures(attempted_: DataFrame) -> DataFrame:
+    """domain, pos, message of those that failed, after the errors of the crawl."""
+    return attempted_.where("error IS NOT NULL").select("domain", (F.col("pos") + 100).alias("pos"), F.col("error").alias("message"))
+
+
+def checks(sites: DataFrame, pages: DataFrame, verdicts: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
+    """sound() of attempted()."""
+    return sound(attempted(sites, pages, verdicts, only))

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.constants import AGENTS, ROBOTS_DIRECTIVE, RULES_SHOWN
+from sitelens.constants import AGENTS, CRAWLER_DOCS, CRAWLER_NOTES, ROBOTS_DIRECTIVE, RULES_SHOWN, VENDOR_DOCS
 from sitelens.functions.text import lines, strip
 
 
 def agents(spark: SparkSession) -> DataFrame:
     """The crawlers, in report order; a fixed, small table."""
-    rows = [(i, *a) for i, a in enumerate(AGENTS)]
-    return spark.createDataFrame(rows, "pos int, token string, vendor string, bucket string, obeys_robots string, ai_only boolean, documented boolean")
+    rows = [(i, *a, CRAWLER_DOCS.get(a[0], VENDOR_DOCS.get(a[1])), CRAWLER_NOTES[a[0]]) for i, a in enumerate(AGENTS)]
+    return spark.createDataFrame(rows, "pos int, token string, vendor string, bucket string, obeys_robots string, ai_only boolean, documented boolean, docs string, note string")
 
 
 def looks_like_robots(body: Column, content_type: Column) -> Column:
@@ -61,10 +61,10 @@ def groups(bodies: DataFrame) -> DataFrame:
     return counted.where("field = 'user-agent'").select("robots_id", "group_id", F.col("value").alias("agent"), "n_rules")
 
 
-def tables(bodies: DataFrame) -> DataFrame:
-    """One row a body: its agent lines and its rules as arrays in order."""
+def tables(bodies: DataFrame, path: str | None = None) -> DataFrame:
+    """One row a body: its agent lines and its rules as arrays in order; with a path, whether each rule covers it."""
     g = grouped(directives(bodies)).where("group_id > 0")
-    item = F.struct("pos", "group_id", "field", "value")
+    item = F.struct("pos", "group_id", "field", "value", *([covers(F.col("value"), F.lit(path)).alias("fits")] if path is not None else []))
     rows = g.groupBy("robots_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("field") == "user-agent", item))).alias("names"),
         F.array_sort(F.collect_list(F.when(F.col("field").isin("allow", "disallow"), item))).alias("rules"),
@@ -77,16 +77,35 @@ def each(tokens: list[str]) -> Column:
     return F.explode(F.array(*map(F.lit, tokens)))
 
 
-def path_regex(pattern: Column) -> Column:
-    """A rule's path as a regular expression from the start of a path: * is any run, a last $ is the end."""
-    escaped = F.regexp_replace(pattern, r"([\\.\[\](){}+?^|$])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(escaped, r"\\\$$", r"\$"), r"\*+", ".*"))
-
-
-def selected(bodies: DataFrame, tokens: list[str]) -> DataFrame:
+def folded(path: Column) -> Column:
+    """A path or pattern with its percent escapes undone, but for those of /, *, $ and %, so that spellings of one path agree."""
+    kept = F.regexp_replace(F.regexp_replace(path, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    for code in ("25", "2F", "2A", "24"):
+        kept = F.regexp_replace(kept, f"(?i)%{code}", f"%25{code}")
+    return F.coalesce(F.try_url_decode(kept), path)
+
+
+def covers(pattern: Column, path: Column) -> Column:
+    """Whether a rule's path covers a path from its start: * is any run, a last $ is the end; an empty rule covers nothing. The
+    parts between stars are looked for one after the other, each at the first place after the one before, which finds a way if
+    there is one, in time that grows with the length of both."""
+    ended = F.endswith(pattern, F.lit("$"))
+    parts = F.split(folded(F.when(ended, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)), r"\*")
+    own, n = folded(path), F.size(parts)
+    first, last = F.get(parts, F.lit(0)), F.get(parts, n - 1)
+    found = lambda at, part: F.call_function("locate", part, own, at)
+    # the place after what is found so far; 0 for no way
+    step = lambda at, part: F.when((at == 0) | (part == ""), at).when(found(at, part) == 0, 0).otherwise(found(at, part) + F.length(part))
+    between = F.slice(parts, F.lit(2), F.greatest(n - F.when(ended, 2).otherwise(1), F.lit(0)))
+    place = F.aggregate(between, F.when(F.startswith(own, first), F.length(first) + 1).otherwise(0), step)
+    fits = F.when(~ended, place > 0).when(n == 1, own == first).otherwise((place > 0) & F.endswith(own, last) & (F.length(own) - F.length(last) + 1 >= place))
+    return (pattern != "") & fits
+
+
+def selected(bodies: DataFrame, tokens: list[str], path: str | None = None) -> DataFrame:
     """robots_id, token, winner (null: no group speaks to it), rules: for each body and crawler, the longest user-agent value
     that begins the token, case aside, else *; rules of all groups that declare it, in order."""
-    listed = tables(bodies).withColumn("token", each(tokens))
+    listed = tables(bodies, path).withColumn("token", each(tokens))
     name = lambda x: F.lower(x["value"])
     hits = F.filter("names", lambda x: (x["value"] != "*") & F.startswith(F.lower(F.col("token")), name(x)))
     longest = F.array_max(F.transform(hits, lambda x: F.length(x["value"])))
@@ -97,9 +116,10 @@ def selected(bodies: DataFrame, tokens: list[str]) -> DataFrame:
     return picked.select("robots_id", "token", F.get("chosen", F.lit(0))["value"].alias("winner"), F.filter("rules", lambda r: F.array_contains("ids", r["group_id"])).alias("rules"))
 
 
-def decide(rules: Column, path: Column) -> Column:
-    """Whether the rules allow a path: the longest matching rule decides, allow before disallow, and none allows."""
-    fits = F.filter(rules, lambda r: (r["value"] != "") & F.rlike(path, path_regex(r["value"])))
+def decide(rules: Column, path: Column | None = None) -> Column:
+    """Whether the rules allow a path (or the one tables() was given): the longest that covers it decides, allow before disallow,
+    and none allows."""
+    fits = F.filter(rules, lambda r: r["fits"] if path is None else covers(r["value"], path))
     best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["value"]).alias("size"), (r["field"] == "allow").alias("allow"))))
     return F.coalesce(best["allow"], F.lit(True))
 
@@ -118,7 +138,7 @@ def verdicts(bodies: DataFrame, path: str = "/") -> DataFrame:
     spark = bodies.sparkSession
     known = agents(spark)
     tokens = [a[0] for a in AGENTS]
-    told = selected(bodies, tokens).select("robots_id", "token", decide(F.col("rules"), F.lit(path)).alias("allowed"), describe(F.col("winner"), F.col("rules")).alias("matched_rule"))
+    told = selected(bodies, tokens, path).select("robots_id", "token", decide(F.col("rules")).alias("allowed"), describe(F.col("winner"), F.col("rules")).alias("matched_rule"))
     silent = bodies.where("body IS NULL").select("robots_id", each(tokens).alias("token")).select("robots_id", "token", F.lit(True).alias("allowed"), F.lit(None).cast("string").alias("matched_rule"))
     return told.unionByName(silent).join(F.broadcast(known), "token")
 

@@ -41,6 +41,11 @@ def measure(sites: DataFrame, verdicts: DataFrame, results: DataFrame, scores: D
     return scored.unionByName(aborted.select("domain", "reason", F.lit("aborted").alias("outcome")), allowMissingColumns=True)
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Site rows by domain, for what is written."""
+    return rows.orderBy("domain")
+
+
 def headline(rows: DataFrame) -> DataFrame:
     """metric, count, share over scored sites: what they block and what they have adopted."""
     facts = {

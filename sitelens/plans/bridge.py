@@ -96,10 +96,21 @@ PLATFORMS = [
     (6, None, "unknown"),
     (7, "<script>var  prestashop = {}</script>", "PrestaShop"),
 ]
+#: html to add to a page and what it says about what published it
+MARKS = [
+    ("", "custom or unidentified"),
+    ('<meta name="generator" content="Hugo 0.1">', "Hugo"),
+    ('<link rel="x" href="/wp-includes/a.css">', "WordPress"),
+    ('<script src="https://cdn.shopify.com/x.js"></script>', "Shopify"),
+    ('<script id="__NEXT_DATA__">{}</script>', "Next.js"),
+]
 #: domain, recorded body, live status, live body
 SNAPSHOTS = [("a.example", "User-agent: *\n", 200, "User-agent: *\n"), ("b.example", "User-agent: *\n", 200, "User-agent: x\n"), ("c.example", "User-agent: *\n", 503, ""), ("d.example", "", 200, ""), ("e.example", "x", None, None)]
 
 
+_AUTHORITY = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+
+
 def quoted(value) -> str:
     if value is None:
         return "NULL"
@@ -121,7 +132,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """domain, pos, url, status, headers, html of every page."""
     raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
     k = F.col("page_id")
-    added = F.concat(pick([s[0] for s in SNIPPETS], k % len(SNIPPETS)), F.lit("</article>"))
+    added = F.concat(pick([s[0] for s in SNIPPETS], k % len(SNIPPETS)), pick([m[0] for m in MARKS], k % len(MARKS)), F.lit("</article>"))
     login = F.concat(urls.origin(F.col("url")), F.lit("/login?next=1"))
     header = F.when(k % 13 == 5, X_ROBOTS[5]).when(k % 13 == 6, X_ROBOTS[6])
     headers = F.when(header.isNull(), F.create_map(F.lit("server"), F.lit("x"))).otherwise(F.create_map(F.lit("x-robots-tag"), header))
@@ -131,8 +142,27 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bodies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(BODIES)), "robots_id int, body string")
+def each(spark: SparkSession, sf_dir: str, rows: list[tuple], columns: str) -> DataFrame:
+    """page_id, domain and one of the fixed rows for every page, in turn."""
+    fixed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"k int, {columns}")
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.authority(F.col("url")).alias("domain"))
+    return raw.join(F.broadcast(fixed), F.col("page_id") % len(rows) == F.col("k")).drop("k")
+
+
+def sql_each(rows: list[tuple], columns: str, *picked: str) -> str:
+    """The same in SQL: a relation of page_id, domain and what is picked of the fixed rows."""
+    return f"""(SELECT q.page_id, regexp_extract(q.url, '{_AUTHORITY}', 1) AS domain, {', '.join(picked)} FROM pages q JOIN {values([(i, *r) for i, r in enumerate(rows)], 't', 'k, ' + columns)} ON q.page_id % {len(rows)} = t.k)"""
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """robots_id, body: one for every page, each with a rule of its own."""
+    own = F.concat("body", F.lit("Disallow: /"), F.col("page_id").cast("string"), F.lit("/\n"))
+    return each(spark, sf_dir, [(b,) for b in BODIES], "body string").select(F.col("page_id").alias("robots_id"), own.alias("body"))
+
+
+def site_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies of the sites, which are those of their first pages."""
+    return bodies(spark, sf_dir).join(sites(spark, sf_dir).select("robots_id"), "robots_id", "left_semi")
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,22 +172,23 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, base = F.col("least"), F.concat(F.lit("https://"), "domain")
     kind = m % SITEMAP_KINDS
     return per.select(
-        "domain", "least", base.alias("base_url"), (m % len(BODIES)).cast("int").alias("robots_id"), F.when(m % len(BODIES) == 0, 404).otherwise(200).alias("robots_status"), (m % len(BODIES) != 0).alias("robots_real"),
+        "domain", "least", base.alias("base_url"), m.alias("robots_id"), F.when(m % len(BODIES) == 0, 404).otherwise(200).alias("robots_status"), (m % len(BODIES) != 0).alias("robots_real"),
         F.when(kind.isin(0, 2), F.concat(base, F.lit("/map.xml"))).alias("declared"), F.when(kind == 0, F.concat(base, F.lit("/map.xml"))).when(kind == 1, F.concat(base, F.lit("/sitemap.xml"))).alias("reachable"),
         pick(LLMS, m % len(LLMS)).alias("llms"), F.when(m % 7 != 6, pick(CATEGORY_LIST, m % len(CATEGORY_LIST))).alias("category"), F.when(m % 11 == 4, pick(ABORTS, m % len(ABORTS))).alias("aborted"),
     )
 
 
-_AUTHORITY = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+SQL_BODIES = f"""
+r AS (SELECT page_id AS robots_id, body || 'Disallow: /' || page_id || '/' || chr(10) AS body FROM {sql_each([(b,) for b in BODIES], "body", "body")})"""
 SQL_PAGES = f"""
 p AS (SELECT q.page_id, regexp_extract(q.url, '{_AUTHORITY}', 1) AS domain, q.url AS url0,
              CASE WHEN q.page_id % 17 = 3 THEN regexp_extract(q.url, '{_AUTHORITY}', 0) || '/login?next=1' ELSE q.url END AS url,
              CASE WHEN q.page_id % 23 = 7 THEN 404 ELSE 200 END AS status,
              CASE q.page_id % 13 WHEN 5 THEN '{X_ROBOTS[5]}' WHEN 6 THEN '{X_ROBOTS[6]}' ELSE '' END AS x_robots,
-             replace(q.html, '</article>', s.added || '</article>') AS html, contains(q.html, '</article>') AS has, s.*
-      FROM pages q JOIN {values([(i, *s) for i, s in enumerate(SNIPPETS)], "s", "k, added, types, recognised, broken, author, dated, canonical, levels, shapes, description, noindex")} ON s.k = q.page_id % {len(SNIPPETS)})"""
+             replace(q.html, '</article>', s.added || m.mark || '</article>') AS html, contains(q.html, '</article>') AS has, s.*, CASE WHEN contains(q.html, '</article>') THEN m.platform ELSE '{MARKS[0][1]}' END AS platform
+      FROM pages q JOIN {values([(i, *m) for i, m in enumerate(MARKS)], "m", "k, mark, platform")} ON m.k = q.page_id % {len(MARKS)} JOIN {values([(i, *s) for i, s in enumerate(SNIPPETS)], "s", "k, added, types, recognised, broken, author, dated, canonical, levels, shapes, description, noindex")} ON s.k = q.page_id % {len(SNIPPETS)})"""
 SQL_SITES = f"""
-s AS (SELECT domain, least, 'https://' || domain AS base_url, least % {len(BODIES)} AS robots_id, least % {len(BODIES)} <> 0 AS robots_real,
+s AS (SELECT domain, least, 'https://' || domain AS base_url, least AS robots_id, least % {len(BODIES)} <> 0 AS robots_real,
              CASE WHEN least % 4 IN (0, 2) THEN 'https://' || domain || '/map.xml' END AS declared,
              CASE least % 4 WHEN 0 THEN 'https://' || domain || '/map.xml' WHEN 1 THEN 'https://' || domain || '/sitemap.xml' END AS reachable,
              l.llms, CASE WHEN least % 7 <> 6 THEN c.category END AS category, CASE WHEN least % 11 = 4 THEN a.reason END AS aborted

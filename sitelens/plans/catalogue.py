@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens import constants as K
@@ -40,28 +40,35 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def featured(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
-    """Pages with their features in place of their HTML; kept where more than one grouping reads them."""
-    p = balanced(B.pages(spark, sf_dir)).withColumn("f", html.features(F.col("html"), F.col("url"))).drop("html")
+    """Pages with their features and platform in place of their HTML; kept where more than one grouping reads them."""
+    p = balanced(B.pages(spark, sf_dir)).withColumn("f", html.features(F.col("html"), F.col("url")))
+    p = p.withColumn("platform", checks.detect_platform(F.col("html"), F.col("headers"), F.col("f.metas"))).drop("html")
     return kept(p) if keep else p
 
 
-def site_verdicts(spark: SparkSession, sites: DataFrame) -> DataFrame:
+def site_verdicts(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFrame:
     """A body is judged once, however many sites share it."""
-    return sites.select("domain", "robots_id").join(robots.verdicts(B.bodies(spark)), "robots_id")
+    return sites.select("domain", "robots_id").join(robots.verdicts(B.site_bodies(spark, sf_dir)), "robots_id")
+
+
+def site_blanket(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFrame:
+    return sites.select("domain", "robots_id").join(robots.blanket_disallow(B.site_bodies(spark, sf_dir)), "robots_id").select("domain", "blanket")
 
 
 def audited(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sites, verdicts and check results."""
     s = B.sites(spark, sf_dir)
-    v = kept(site_verdicts(spark, s))
+    v = kept(site_verdicts(spark, sf_dir, s))
     return s, v, checks.checks(s, featured(spark, sf_dir), v, only)
 
 
-def site_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    s, v, r = audited(spark, sf_dir)
-    r = kept(r)
-    blanket = s.select("domain", "robots_id").join(robots.blanket_disallow(B.bodies(spark)), "robots_id").select("domain", "blanket")
-    return s, v, r, scoring.scores(s, r, scoring.caps(v, blanket))
+def site_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sites, pages, verdicts, check results and scores."""
+    s = B.sites(spark, sf_dir)
+    v = kept(site_verdicts(spark, sf_dir, s))
+    p = featured(spark, sf_dir, keep=True)
+    r = kept(checks.checks(s, p, v))
+    return s, p, v, r, scoring.scores(s, r, scoring.caps(v, site_blanket(spark, sf_dir, s)))
 
 
 ACCESS = tuple(i for c, i, _ in K.RUBRIC if c == "access")
@@ -70,8 +77,7 @@ ACCESS = tuple(i for c, i, _ in K.RUBRIC if c == "access")
 
 _AGENTS = B.values([(i, *a[:5]) for i, a in enumerate(K.AGENTS)], "t", "pos, token, vendor, bucket, obeys, ai_only")
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_LINES = rf"""
-r AS (SELECT * FROM {B.values(list(enumerate(B.BODIES)), "t", "robots_id, body")}),
+_LINES = rf"""{B.SQL_BODIES},
 l0 AS (SELECT robots_id, unnest(a) AS line, unnest(range(len(a))) AS pos FROM (SELECT robots_id, string_split_regex(body, '\r\n|[\n\r]') AS a FROM r WHERE body IS NOT NULL)),
 d AS (SELECT robots_id, pos, lower({_STRIP.format("split_part(c, ':', 1)")}) AS field, {_STRIP.format("substr(c, strpos(c, ':') + 1)")} AS value
       FROM (SELECT robots_id, pos, split_part(line, '#', 1) AS c FROM l0) WHERE strpos(c, ':') > 0)"""
@@ -198,23 +204,33 @@ def answer_shapes(spark, sf_dir):
     return featured(spark, sf_dir).where("status = 200").groupBy("domain").agg(*(F.bool_or(F.col("f")[n]).alias(n) for n in checks.SHAPES))
 
 
-@query(f"SELECT id, largest::INT AS largest, total::INT AS total FROM {B.values([(i, a, t) for i, _, a, t in B.SECTIONS], 't', 'id, largest, total')}")
+_SECTIONS = B.sql_each([x[1:] for x in B.SECTIONS], "html, largest, total", "greatest(largest, page_id % 97) AS largest", "total + page_id % 97 AS total")
+
+
+def sections(spark, sf_dir) -> DataFrame:
+    """page_id and the sizes of the sections of a page for every page: one of the fixed ones with a last section of its own."""
+    p = B.each(spark, sf_dir, [(h,) for _, h, _, _ in B.SECTIONS], "html string")
+    own = F.concat("html", F.lit("<h2>own</h2><p>"), F.expr("repeat('w ', cast(page_id % 97 as int))"), F.lit("</p>"))
+    return p.select("page_id", html.features(own, F.lit("https://a.example/"))["block_sizes"].alias("sizes"))
+
+
+@query(f"SELECT page_id, largest::INT AS largest, total::INT AS total FROM {_SECTIONS}")
 def block_sections(spark, sf_dir):
-    df = spark.createDataFrame([(i, h) for i, h, _, _ in B.SECTIONS], "id int, html string")
-    sizes = html.features(F.col("html"), F.lit("https://a.example/"))["block_sizes"]
-    return df.select("id", sizes.alias("sizes")).select("id", F.array_max("sizes").alias("largest"), F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("total"))
+    return sections(spark, sf_dir).select("page_id", F.array_max("sizes").alias("largest"), F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("total"))
 
 
-@query(f"SELECT id, CASE WHEN t < {K.WORDS_TO_JUDGE} OR a <= {K.WELL_SECTIONED} * t THEN 1000 WHEN a >= {K.ONE_BLOCK} * t THEN 0 ELSE round(1000 * ({K.ONE_BLOCK} - a / t) / ({K.ONE_BLOCK} - {K.WELL_SECTIONED})) END::INT AS citable FROM {B.values([(i, float(a), float(t)) for i, _, a, t in B.SECTIONS], 't', 'id, a, t')}")
+@query(f"SELECT page_id, CASE WHEN t < {K.WORDS_TO_JUDGE} OR a <= {K.WELL_SECTIONED} * t THEN 1000 WHEN a >= {K.ONE_BLOCK} * t THEN 0 ELSE round(1000 * ({K.ONE_BLOCK} - a / t) / ({K.ONE_BLOCK} - {K.WELL_SECTIONED})) END::INT AS citable FROM (SELECT page_id, largest::DOUBLE AS a, total::DOUBLE AS t FROM {_SECTIONS})")
 def citable_pages(spark, sf_dir):
-    df = spark.createDataFrame([(i, h) for i, h, _, _ in B.SECTIONS], "id int, html string")
-    return df.select("id", F.round(1000 * checks.citable_score(html.features(F.col("html"), F.lit("https://a.example/"))["block_sizes"])).cast("int").alias("citable"))
+    return sections(spark, sf_dir).select("page_id", F.round(1000 * checks.citable_score(F.col("sizes"))).cast("int").alias("citable"))
 
 
-@query(f"SELECT * FROM {B.values([(i, p) for i, _, p in B.PLATFORMS], 't', 'id, platform')}")
+@query(f"SELECT page_id, platform FROM {B.sql_each([(p,) for _, _, p in B.PLATFORMS], 'platform', 'platform')}")
 def platform_detect(spark, sf_dir):
-    df = spark.createDataFrame([(i, h) for i, h, _ in B.PLATFORMS], "id int, html string").withColumn("f", html.features(F.col("html"), F.lit("https://a.example/")))
-    return df.select("id", checks.detect_platform(F.col("html"), F.create_map(F.lit("server"), F.lit("x")), F.col("f.metas")).alias("platform"))
+    """Every page with one of the fixed heads before its own HTML."""
+    head = B.each(spark, sf_dir, [(h,) for _, h, _ in B.PLATFORMS], "head string").select("page_id", "head")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").join(head, "page_id").select("page_id", "url", F.concat("head", "html").alias("html"))
+    p = p.withColumn("f", html.features(F.col("html"), F.col("url")))
+    return p.select("page_id", checks.detect_platform(F.col("html"), F.create_map(F.lit("server"), F.lit("x")), F.col("f.metas")).alias("platform"))
 
 
 @query(f"""WITH {B.SQL_PAGES},{_FEATURES} SELECT k AS kind, min(text_chars)::INT AS least, (array_agg(text_chars ORDER BY text_chars))[count(*) // 2 + 1]::INT AS upper_median, max(text_chars)::INT AS most
@@ -255,71 +271,87 @@ def hash_sample_pages(spark, sf_dir):
 
 @query(f"WITH {_LINES} SELECT robots_id, pos::INT AS pos, field, value FROM d")
 def robots_tokens(spark, sf_dir):
-    return robots.directives(B.bodies(spark))
+    return robots.directives(B.bodies(spark, sf_dir))
 
 
 @query(f"WITH {_GROUPS} SELECT an.robots_id, an.gid::BIGINT AS group_id, an.agent, (SELECT count(*) FROM ru WHERE ru.robots_id = an.robots_id AND ru.gid = an.gid) AS n_rules FROM an")
 def robots_groups(spark, sf_dir):
-    return robots.groups(B.bodies(spark))
+    return robots.groups(B.bodies(spark, sf_dir))
 
 
 @query(f"WITH {_VERDICTS} SELECT robots_id, token, allowed FROM v")
 def agent_verdicts(spark, sf_dir):
-    return robots.verdicts(B.bodies(spark)).select("robots_id", "token", "allowed")
+    return robots.verdicts(B.bodies(spark, sf_dir)).select("robots_id", "token", "allowed")
 
 
 @query(f"""WITH {_VERDICTS} SELECT v.robots_id, v.token, CASE WHEN wn.winner IS NULL THEN NULL WHEN t.n IS NULL THEN 'User-agent: ' || wn.winner || ' (no rules)'
 ELSE 'User-agent: ' || wn.winner || ' | ' || t.shown || CASE WHEN t.n > 3 THEN ', and ' || (t.n - 3) || ' more' ELSE '' END END AS matched_rule
 FROM v LEFT JOIN wn USING (robots_id, token) LEFT JOIN (SELECT robots_id, token, count(*) AS n, string_agg(upper(left(field, 1)) || substr(field, 2) || ': ' || value, ', ' ORDER BY k) FILTER (WHERE k <= 3) AS shown FROM mr GROUP BY ALL) t USING (robots_id, token)""")
 def matched_rule(spark, sf_dir):
-    return robots.verdicts(B.bodies(spark)).select("robots_id", "token", "matched_rule")
+    return robots.verdicts(B.bodies(spark, sf_dir)).select("robots_id", "token", "matched_rule")
 
 
 @query(f"WITH {_BLANKET} SELECT robots_id, blanket FROM b")
 def blanket_disallow(spark, sf_dir):
-    return robots.blanket_disallow(B.bodies(spark))
+    return robots.blanket_disallow(B.bodies(spark, sf_dir))
 
 
 @query(f"WITH {_SITE_VERDICTS} SELECT domain, bucket, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS total FROM sv GROUP BY domain, bucket")
 def bucket_counts(spark, sf_dir):
-    return robots.bucket_counts(site_verdicts(spark, B.sites(spark, sf_dir)), "domain")
+    return robots.bucket_counts(site_verdicts(spark, sf_dir, B.sites(spark, sf_dir)), "domain")
 
 
 @query(f"WITH {_SITE_VERDICTS} SELECT domain, CASE WHEN bool_and(allowed) THEN 'open' WHEN NOT bool_or(allowed) THEN 'closed' ELSE 'partial' END AS posture FROM sv WHERE bucket = 'training' GROUP BY domain")
 def training_posture(spark, sf_dir):
-    n = robots.bucket_counts(site_verdicts(spark, B.sites(spark, sf_dir)), "domain").where("bucket = 'training'")
+    n = robots.bucket_counts(site_verdicts(spark, sf_dir, B.sites(spark, sf_dir)), "domain").where("bucket = 'training'")
     return n.select("domain", robots.posture(F.col("allowed"), F.col("total")).alias("posture"))
 
 
-@query(rf"""SELECT id, status = 200 AND NOT (starts_with(lower(ltrim(left(body, 500))), '<!doctype') OR contains(lower(left(body, 500)), '<html')) AND NOT (contains(kind, 'html') AND contains(lower(left(body, 5000)), '<html'))
-AND regexp_matches(body, '(?im)^\s*(user-agent|disallow|allow|sitemap|crawl-delay)\s*:') AS is_real FROM {B.values(B.RESPONSES, 't', 'id, status, kind, body')}""")
+@query(rf"""SELECT page_id, status = 200 AND NOT (starts_with(lower(ltrim(left(body, 500))), '<!doctype') OR contains(lower(left(body, 500)), '<html')) AND NOT (contains(kind, 'html') AND contains(lower(left(body, 5000)), '<html'))
+AND regexp_matches(body, '(?im)^\s*(user-agent|disallow|allow|sitemap|crawl-delay)\s*:') AS is_real FROM {B.sql_each([x[1:] for x in B.RESPONSES], 'status, kind, body', 'status', 'kind', "body || '# ' || page_id AS body")}""")
 def robots_validity(spark, sf_dir):
-    df = spark.createDataFrame(B.RESPONSES, "id int, status int, kind string, body string")
-    _, real, _ = robots.read_response(F.col("status"), F.lit(None).cast("string"), F.col("body"), F.col("kind"))
-    return df.select("id", real.alias("is_real"))
+    df = B.each(spark, sf_dir, [x[1:] for x in B.RESPONSES], "status int, kind string, body string")
+    own = F.concat("body", F.lit("# "), F.col("page_id").cast("string"))
+    _, real, _ = robots.read_response(F.col("status"), F.lit(None).cast("string"), own, F.col("kind"))
+    return df.select("page_id", real.alias("is_real"))
 
 
-@query(rf"""WITH r AS (SELECT * FROM {B.values(list(enumerate(B.BODIES)), 't', 'robots_id, body')}),
+@query(rf"""WITH {B.SQL_BODIES},
 c AS (SELECT robots_id, unnest(m) AS line, unnest(range(len(m))) AS k FROM (SELECT robots_id, regexp_extract_all(body, '(?im)^\s*content-signal\s*:\s*(.+?)\s*$', 1) AS m FROM r WHERE body IS NOT NULL)),
 p AS (SELECT robots_id, 10000 * k + i AS pos, lower(trim(split_part(pair, '=', 1))) AS key, lower(trim(substr(pair, strpos(pair, '=') + 1))) AS value
       FROM (SELECT robots_id, k, unnest(string_split(line, ',')) AS pair, unnest(range(len(string_split(line, ',')))) AS i FROM c) WHERE contains(pair, '='))
 SELECT robots_id, key, CASE WHEN known THEN value END AS value, known FROM (SELECT robots_id, key, arg_max(value, pos) AS value, key IN ({', '.join(map(B.quoted, K.SIGNAL_KEYS))}) AS known FROM p WHERE key <> '' GROUP BY ALL)""")
 def content_signals(spark, sf_dir):
-    return signals.declared(B.bodies(spark))
+    return signals.declared(B.bodies(spark, sf_dir))
 
 
-@query()
+def _listed(x: str) -> str:
+    return f"CASE WHEN len({x}) = 1 THEN {x}[1] ELSE array_to_string({x}[1:len({x}) - 1], ', ') || ' and ' || {x}[len({x})] END"
+
+
+@query(rf"""WITH {B.SQL_BODIES},
+c AS (SELECT robots_id, unnest(m) AS line, unnest(range(len(m))) AS k FROM (SELECT robots_id, regexp_extract_all(body, '(?im)^\s*content-signal\s*:\s*(.+?)\s*$', 1) AS m FROM r WHERE body IS NOT NULL)),
+p AS (SELECT robots_id, 10000 * k + i AS pos, lower(trim(split_part(pair, '=', 1))) AS key, lower(trim(substr(pair, strpos(pair, '=') + 1))) AS value
+      FROM (SELECT robots_id, k, unnest(string_split(line, ',')) AS pair, unnest(range(len(string_split(line, ',')))) AS i FROM c) WHERE contains(pair, '=')),
+u AS (SELECT robots_id, key, arg_max(value, pos) AS value FROM p WHERE key <> '' GROUP BY ALL),
+y AS (SELECT u.robots_id, coalesce(list(m.meaning ORDER BY u.key) FILTER (WHERE m.meaning IS NOT NULL AND u.value = 'yes'), []) AS yes, coalesce(list(m.meaning ORDER BY u.key) FILTER (WHERE m.meaning IS NOT NULL AND u.value = 'no'), []) AS no,
+             count(*) FILTER (WHERE u.key NOT IN ({', '.join(map(B.quoted, K.SIGNAL_KEYS))})) AS unknown FROM u LEFT JOIN {B.values(list(signals.MEANING.items()), 'm', 'key, meaning')} ON m.key = u.key GROUP BY u.robots_id)
+SELECT y.robots_id, y.unknown::INT AS n_unknown, w.raw, TRUE AS present, CASE WHEN len(yes) + len(no) = 0 THEN 'A declaration without a key we know.' ELSE 'The site ' || CASE WHEN len(yes) > 0 THEN 'allows ' || {_listed('yes')} ELSE '' END
+ || CASE WHEN len(yes) > 0 AND len(no) > 0 THEN ', and ' ELSE '' END || CASE WHEN len(no) > 0 THEN 'refuses ' || {_listed('no')} ELSE '' END || '.' END AS summary
+FROM y JOIN (SELECT robots_id, string_agg(line, '; ' ORDER BY k) AS raw FROM c GROUP BY robots_id) w USING (robots_id)""")
 def content_signal_summary(spark, sf_dir):
-    return signals.signals(B.bodies(spark)).select("robots_id", "unknown_keys", "raw", "boilerplate_only", "present", "summary")
+    return signals.signals(B.bodies(spark, sf_dir)).select("robots_id", F.size("unknown_keys").alias("n_unknown"), "raw", "present", "summary")
 
 
 # ---- sitemaps and llms.txt ----------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT id, pos, kind, url FROM {B.values([(i, k, kind, u) for i, _, locs in B.SITEMAPS for k, (kind, u) in enumerate(locs)], 't', 'id, pos, kind, url')}")
+@query(f"""SELECT page_id, pos, kind, replace(url, '.example', '.' || page_id || '.example') AS url FROM (SELECT q.page_id, t.pos, t.kind, t.url FROM pages q
+JOIN {B.values([(i, k, kind, u) for i, _, locs in B.SITEMAPS for k, (kind, u) in enumerate(locs)], 't', 'id, pos, kind, url')} ON q.page_id % {len(B.SITEMAPS)} = t.id)""")
 def sitemap_locs(spark, sf_dir):
-    df = spark.createDataFrame([(i, x) for i, x, _ in B.SITEMAPS], "id int, xml string")
-    return df.select("id", F.posexplode(sitemap.parse("xml")).alias("pos", "loc")).select("id", "pos", "loc.kind", "loc.url")
+    df = B.each(spark, sf_dir, [(x,) for _, x, _ in B.SITEMAPS], "xml string")
+    df = df.withColumn("xml", F.replace("xml", F.lit(".example"), F.concat(F.lit("."), F.col("page_id").cast("string"), F.lit(".example"))))
+    return df.select("page_id", F.posexplode(sitemap.parse("xml")).alias("pos", "loc")).select("page_id", "pos", "loc.kind", "loc.url")
 
 
 @query(f"WITH {_SITES} SELECT domain, CASE WHEN reachable IS NULL THEN 'warning' WHEN declared IS NULL THEN 'info' ELSE 'ok' END AS severity, CASE WHEN reachable IS NULL THEN 0 ELSE 1 END::DOUBLE AS ratio FROM s")
@@ -339,7 +371,7 @@ def llms_txt_check(spark, sf_dir):
 @query(f"""WITH {_SITE_VERDICTS}, c AS (SELECT domain, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS total, bool_and(NOT allowed) FILTER (WHERE ai_only) AND count(*) FILTER (WHERE allowed) > 0 AS blackout FROM sv WHERE bucket = 'citation' GROUP BY domain)
 SELECT domain, allowed, total, CASE WHEN allowed = total THEN 'ok' WHEN blackout OR allowed = 0 THEN 'critical' ELSE 'warning' END AS severity, blackout FROM c""")
 def citation_check(spark, sf_dir):
-    v = site_verdicts(spark, B.sites(spark, sf_dir))
+    v = site_verdicts(spark, sf_dir, B.sites(spark, sf_dir))
     c = F.col("citation")
     severity = checks.citation(None)[1]
     return checks.crawler_facts(v).select("domain", c["allowed"].alias("allowed"), c["total"].alias("total"), severity.alias("severity"), checks.blackout(c).alias("blackout"))
@@ -348,14 +380,13 @@ def citation_check(spark, sf_dir):
 @query(f"WITH {_SITE_VERDICTS} SELECT domain, count(*) FILTER (WHERE allowed OR obeys <> 'yes') AS reachable, count(*) AS total FROM sv WHERE bucket = 'user_fetch' GROUP BY domain")
 def user_fetch_check(spark, sf_dir):
     u = F.col("user_fetch")
-    return checks.crawler_facts(site_verdicts(spark, B.sites(spark, sf_dir))).select("domain", (u["allowed"] + F.size(u["ignored"])).alias("reachable"), u["total"].alias("total"))
+    return checks.crawler_facts(site_verdicts(spark, sf_dir, B.sites(spark, sf_dir))).select("domain", (u["allowed"] + F.size(u["ignored"])).alias("reachable"), u["total"].alias("total"))
 
 
 @query(f"WITH {_SCORED} SELECT domain, round(100 * raw)::BIGINT AS raw_x100, round(100 * final)::BIGINT AS final_x100, {_LETTER.format('final')} AS letter, CASE WHEN raw > cap THEN cap ELSE 0 END::INT AS cap FROM fa")
 def access_score(spark, sf_dir):
     s, v, r = audited(spark, sf_dir, ACCESS)
-    blanket = s.select("domain", "robots_id").join(robots.blanket_disallow(B.bodies(spark)), "robots_id").select("domain", "blanket")
-    out = scoring.scores(s, r, scoring.caps(v, blanket)).where("category = 'access'")
+    out = scoring.scores(s, r, scoring.caps(v, site_blanket(spark, sf_dir, s))).where("category = 'access'")
     cap = F.when(F.col("cap_applied").isNotNull(), F.col("final").cast("int")).otherwise(0)
     return out.select("domain", F.round(100 * F.col("raw")).cast("long").alias("raw_x100"), F.round(100 * F.col("final")).cast("long").alias("final_x100"), "letter", cap.alias("cap"))
 
@@ -377,7 +408,7 @@ def readability_checks(spark, sf_dir):
 
 @query()
 def readability_score(spark, sf_dir):
-    return site_scores(spark, sf_dir)[3].where("category = 'readability'").select("domain", "raw", "letter")
+    return site_scores(spark, sf_dir)[4].where("category = 'readability'").select("domain", "raw", "letter")
 
 
 @query(f"WITH {_SCORED} SELECT letter, count(*) AS sites FROM (SELECT {_LETTER.format('final')} AS letter FROM fa) GROUP BY letter")
@@ -394,7 +425,7 @@ def score_gate(spark, sf_dir):
 @query(f"""WITH {_SITE_VERDICTS} SELECT domain, count(*) FILTER (WHERE ai_only AND NOT allowed) AS ai_only_blocked, bool_and(NOT allowed) FILTER (WHERE ai_only) AND bool_and(allowed) FILTER (WHERE token IN ('Googlebot', 'Bingbot')) AS ai_blackout,
  NOT bool_and(allowed) FILTER (WHERE token = 'OAI-SearchBot') AS blocks_oai_searchbot, NOT bool_and(allowed) FILTER (WHERE token = 'GPTBot') AS blocks_gptbot FROM sv GROUP BY domain""")
 def ai_blackout(spark, sf_dir):
-    return study.crawler_facts(site_verdicts(spark, B.sites(spark, sf_dir))).drop("training_posture")
+    return study.crawler_facts(site_verdicts(spark, sf_dir, B.sites(spark, sf_dir))).drop("training_posture")
 
 
 # ---- reports ------------------------------------------------------------------------------------------------------------
@@ -419,16 +450,41 @@ def robots_additions(spark, sf_dir):
 
 @query()
 def payload_json(spark, sf_dir):
-    s = B.sites(spark, sf_dir)
-    v = kept(site_verdicts(spark, s))
-    p = featured(spark, sf_dir, keep=True)
-    r = kept(checks.checks(s, p, v))
-    blanket = s.select("domain", "robots_id").join(robots.blanket_disallow(B.bodies(spark)), "robots_id").select("domain", "blanket")
-    scores = scoring.scores(s, r, scoring.caps(v, blanket))
-    made = report.payload(s.join(blanket, "domain"), report.check_rows(s, r), scores, v, p, report.additions(r))
+    s, p, v, r, scores = site_scores(spark, sf_dir)
+    said = s.select("domain", "robots_id").join(B.site_bodies(spark, sf_dir), "robots_id").select("domain", "body")
+    made = report.payload(s.join(site_blanket(spark, sf_dir, s), "domain"), report.check_rows(s, r), scores, v, p, report.additions(r), declared=said)
     return made.select("domain", "n_checks", F.regexp_replace("payload", '"generated_at":"[^"]*"', '"generated_at":""').alias("payload"))
 
 
+_TITLES = "|".join(K.CHECK_TITLES.values())
+
+
+@query(f"""WITH {_SCORED}, tr AS (SELECT domain, count(*) FILTER (WHERE allowed) AS allowed, CASE WHEN bool_and(allowed) THEN 'open' WHEN NOT bool_or(allowed) THEN 'closed' ELSE 'partial' END AS state FROM sv WHERE bucket = 'training' GROUP BY domain),
+said AS (SELECT s.domain, regexp_matches(r.body, '(?im)^\\s*content-signal\\s*:') AS signals FROM s JOIN ({f"WITH {B.SQL_BODIES} SELECT * FROM r"}) r ON r.robots_id = s.robots_id)
+SELECT s.domain, 13 AS n_checks, round(100 * fa.final)::INT AS access_x100, tr.state, tr.allowed::INT AS training_allowed, (SELECT count(*) FROM p WHERE p.domain = s.domain)::INT AS pages, sh.blanket, coalesce(s.declared, '') AS declared, length(coalesce(s.llms, ''))::INT AS llms_length,
+ coalesce(said.signals, FALSE) AS signals, '{_TITLES}' AS titles, CASE WHEN cf.ca < cf.ct THEN '{K.CHECK_DOCS["citation_crawlers_allowed"]}' ELSE '' END AS citation_docs, cf.ct::INT AS citation_total, '{K.AGENTS[0][0]}' AS first_crawler
+FROM s JOIN fa USING (domain) JOIN tr USING (domain) JOIN cf USING (domain) JOIN sh ON sh.robots_id = s.robots_id JOIN said USING (domain)""")
+def payload_fields(spark, sf_dir):
+    """What the JSON of a payload says, read back from it."""
+    p = payload_json(spark, sf_dir).cache()
+    at = lambda path: F.get_json_object("payload", f"$.{path}")
+    text_ = lambda path: F.coalesce(at(path), F.lit(""))
+    titles = F.array_join(F.from_json(at("checks[*].title"), "array<string>"), "|")
+    return p.select(
+        "domain", "n_checks", F.round(100 * at("scores.access.score").cast("double")).cast("int").alias("access_x100"), at("training_posture.state").alias("state"), at("training_posture.allowed").cast("int").alias("training_allowed"), at("run.pages_sampled").cast("int").alias("pages"),
+        at("robots.blanket_disallow").cast("boolean").alias("blanket"), text_("sitemap.declared").alias("declared"), at("llms_txt.length").cast("int").alias("llms_length"), at("content_signals.raw").isNotNull().alias("signals"), titles.alias("titles"),
+        text_("checks[0].fix.docs_url").alias("citation_docs"), at("crawlers.citation.total").cast("int").alias("citation_total"), at("crawlers.citation.agents[0].token").alias("first_crawler"),
+    )
+
+
+@query(f"""SELECT bucket, count(*)::INT AS crawlers, string_agg('`' || token || '`', ' ' ORDER BY lower(token)) AS tokens FROM (SELECT * FROM {_AGENTS}) GROUP BY bucket""")
+def crawler_documents(spark, sf_dir):
+    """The tables of crawlers, with the names read back from them."""
+    made = report.crawler_table(robots.agents(spark))
+    names = F.regexp_extract_all("document", F.lit("(?m)^\\| (`[^`]+`)"), F.lit(1))
+    return made.select("bucket", F.regexp_extract("document", "^([0-9]+) crawlers", 1).cast("int").alias("crawlers"), F.array_join(names, " ").alias("tokens"))
+
+
 @query()
 def markdown_reports(spark, sf_dir):
     return payload_json(spark, sf_dir).select("domain", report.render_markdown("payload").alias("report"), report.render_terminal("payload").alias("summary"))
@@ -438,16 +494,16 @@ def markdown_reports(spark, sf_dir):
 
 
 def site_rows(spark, sf_dir) -> DataFrame:
-    s, v, r, scores = site_scores(spark, sf_dir)
-    home = B.pages(spark, sf_dir).groupBy("domain").agg(F.min_by(F.struct("html", "headers", "url"), "pos").alias("h"))
-    platforms = home.select("domain", checks.detect_platform(F.col("h.html"), F.col("h.headers"), html.features(F.col("h.html"), F.col("h.url"))["metas"]).alias("platform"))
+    s, p, v, r, scores = site_scores(spark, sf_dir)
+    platforms = p.groupBy("domain").agg(F.min_by("platform", "pos").alias("platform"))
     return study.measure(s, v, r, scores, platforms, s.where("aborted IS NOT NULL").select("domain", F.col("aborted").alias("reason")))
 
 
 _STUDY = f"""{_SCORED},
 st AS (SELECT domain, count(*) FILTER (WHERE ai_only AND NOT allowed) AS blocked, bool_and(NOT allowed) FILTER (WHERE ai_only) AND bool_and(allowed) FILTER (WHERE token IN ('Googlebot', 'Bingbot')) AS dark,
-              bool_and(allowed) FILTER (WHERE token = 'OAI-SearchBot') AS oai, bool_and(allowed) FILTER (WHERE token = 'GPTBot') AS gpt FROM sv GROUP BY domain),
-rows_ AS (SELECT s.*, fa.final, st.blocked, st.dark, st.oai, st.gpt FROM s JOIN fa USING (domain) JOIN st USING (domain))"""
+              bool_and(allowed) FILTER (WHERE token = 'OAI-SearchBot') AS oai, bool_and(allowed) FILTER (WHERE token = 'GPTBot') AS gpt,
+              CASE WHEN bool_and(allowed) FILTER (WHERE bucket = 'training') THEN 'open' WHEN NOT bool_or(allowed) FILTER (WHERE bucket = 'training') THEN 'closed' ELSE 'partial' END AS posture FROM sv GROUP BY domain),
+rows_ AS (SELECT s.*, fa.final, st.blocked, st.dark, st.oai, st.gpt, st.posture, p.platform FROM s JOIN fa USING (domain) JOIN st USING (domain) JOIN p ON p.page_id = s.least)"""
 
 
 @query(f"""WITH {_STUDY}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE blocked > 0) AS a, count(*) FILTER (WHERE dark) AS b, count(*) FILTER (WHERE NOT gpt AND oai) AS c, count(*) FILTER (WHERE NOT gpt AND NOT oai) AS d,
@@ -469,11 +525,29 @@ def study_by_category(spark, sf_dir):
     return study.by_category(site_rows(spark, sf_dir), categories).select("category", "domains", "scored", "aborted", "abort_share", "blocks_any_ai_only", "median_access")
 
 
-@query(f"WITH {_STUDY} SELECT 'custom or unidentified' AS platform, count(*) AS sites, {_MEDIAN.format('final')}::DOUBLE AS median_access FROM rows_ WHERE aborted IS NULL HAVING count(*) > 0")
+@query(f"WITH {_STUDY} SELECT platform, count(*) AS sites, {_MEDIAN.format('final')}::DOUBLE AS median_access FROM rows_ WHERE aborted IS NULL GROUP BY platform")
 def study_by_platform(spark, sf_dir):
     return study.by_platform(site_rows(spark, sf_dir)).select("platform", "sites", "median_access")
 
 
+@query(f"WITH {_STUDY} SELECT posture AS training_posture, count(*) AS n FROM rows_ WHERE aborted IS NULL GROUP BY posture")
+def posture_histogram(spark, sf_dir):
+    return study.histogram(site_rows(spark, sf_dir), "training_posture")
+
+
+@query(f"WITH {_STUDY} SELECT domain, CASE WHEN aborted IS NULL THEN 'scored' ELSE 'aborted' END AS outcome, CASE WHEN aborted IS NULL THEN final ELSE -1 END::DOUBLE AS access, row_number() OVER (ORDER BY domain)::INT AS place FROM rows_")
+def study_rows(spark, sf_dir):
+    """The rows of a study as they are written, in order."""
+    rows = study.in_order(site_rows(spark, sf_dir).select("domain", "outcome", F.coalesce("access", F.lit(-1.0)).alias("access")))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("domain")))
+
+
+@query(f"WITH {_SITES} SELECT CASE WHEN aborted IS NOT NULL THEN 'aborted' ELSE 'no_robots' END AS outcome, count(*) AS n FROM s WHERE aborted IS NOT NULL OR NOT robots_real GROUP BY 1")
+def accuracy_skipped(spark, sf_dir):
+    s = B.sites(spark, sf_dir)
+    return accuracy.skipped(accuracy.outcomes(s.where("aborted IS NULL"), s.where("aborted IS NOT NULL")))
+
+
 @query(f"WITH {_SITES} SELECT split_part(aborted, ':', 1) AS reason, count(*) AS n FROM s WHERE aborted IS NOT NULL GROUP BY 1")
 def abort_reasons(spark, sf_dir):
     s = B.sites(spark, sf_dir).where("aborted IS NOT NULL").select("domain", F.col("aborted").alias("reason"), F.lit("aborted").alias("outcome"))
@@ -486,16 +560,22 @@ def abort_notes(spark, sf_dir):
     return s.select("domain", F.coalesce(urls.status_in(F.col("aborted")), F.lit(-1)).alias("status"), F.contains(urls.abort_note(F.col("aborted")), F.lit("refuses")).alias("refused"))
 
 
-@query(f"WITH {_SITES}, t AS (SELECT CASE WHEN aborted IS NULL THEN 'scored' ELSE 'aborted' END AS outcome FROM s) SELECT outcome, count(*) AS n, 100.0::DOUBLE AS completed_share FROM t GROUP BY outcome")
+@query(f"WITH {_SITES}, t AS (SELECT CASE WHEN robots_real AND llms IS NULL AND reachable IS NULL THEN 'crashed' WHEN aborted IS NULL THEN 'scored' ELSE 'aborted' END AS outcome FROM s) SELECT outcome, count(*) AS n, (SELECT round_even(100.0 * count(*) FILTER (WHERE outcome <> 'crashed') / count(*), 1) FROM t)::DOUBLE AS completed_share FROM t GROUP BY outcome")
 def robustness_report(spark, sf_dir):
+    """Sites with a robots.txt but neither sitemap nor llms.txt are taken as crashed."""
     s = B.sites(spark, sf_dir)
-    return study.robustness(s.select("domain", F.when(F.col("aborted").isNull(), "scored").otherwise(F.concat(F.lit("aborted: "), "aborted")).alias("outcome")))
+    odd = F.col("robots_real") & F.col("llms").isNull() & F.col("reachable").isNull()
+    return study.robustness(s.select("domain", F.when(odd, "crashed: x").when(F.col("aborted").isNull(), "scored").otherwise(F.concat(F.lit("aborted: "), "aborted")).alias("outcome")))
 
 
-@query(f"WITH {_SITES}, x AS (SELECT domain FROM s WHERE least % 3 <> 0), y AS (SELECT domain FROM s WHERE least % 2 = 0) SELECT domain, 'uncategorised' AS side FROM s WHERE category IS NULL AND least % 3 <> 0 UNION ALL SELECT domain, 'stale' FROM y WHERE domain NOT IN (SELECT domain FROM x) UNION ALL SELECT domain, 'missing' FROM x WHERE domain NOT IN (SELECT domain FROM y)")
+@query(f"""WITH {_SITES}, x AS (SELECT domain FROM s WHERE declared IS NOT NULL OR llms IS NULL), y AS (SELECT domain FROM s WHERE aborted IS NULL AND (reachable IS NOT NULL OR llms IS NOT NULL))
+SELECT domain, 'uncategorised' AS side FROM x WHERE domain NOT IN (SELECT domain FROM s WHERE category IS NOT NULL) UNION ALL SELECT domain, 'stale' FROM y WHERE domain NOT IN (SELECT domain FROM x) UNION ALL SELECT domain, 'missing' FROM x WHERE domain NOT IN (SELECT domain FROM y)""")
 def coverage_anti_join(spark, sf_dir):
+    """The list: sites that declare a sitemap or have no llms.txt; recorded: those not aborted that have one or the other."""
     s = B.sites(spark, sf_dir)
-    return study.coverage(s.where("least % 3 <> 0").select("domain"), s.where("category IS NOT NULL").select("domain"), s.where("least % 2 = 0").select("domain"))
+    listed = s.where("declared IS NOT NULL OR llms IS NULL").select("domain")
+    recorded = s.where("aborted IS NULL AND (reachable IS NOT NULL OR llms IS NOT NULL)").select("domain")
+    return study.coverage(listed, s.where("category IS NOT NULL").select("domain"), recorded)
 
 
 # ---- accuracy and manifests ---------------------------------------------------------------------------------------------
@@ -503,12 +583,17 @@ def coverage_anti_join(spark, sf_dir):
 
 @query()
 def accuracy_agreement(spark, sf_dir):
-    return accuracy.agreement(accuracy.compare(B.bodies(spark)))
+    return accuracy.agreement(accuracy.compare(B.bodies(spark, sf_dir)))
+
+
+@query(f"WITH {_VERDICTS} SELECT v.robots_id, v.token, v.allowed AS literal FROM v JOIN r USING (robots_id) WHERE r.body IS NOT NULL")
+def literal_verdicts(spark, sf_dir):
+    return accuracy.compare(B.bodies(spark, sf_dir)).select("robots_id", "token", "literal")
 
 
 @query(f"WITH {_VERDICTS} SELECT DISTINCT robots_id FROM v WHERE bucket <> 'training' AND NOT allowed")
 def worth_reading(spark, sf_dir):
-    return accuracy.worth_reading(accuracy.compare(B.bodies(spark)))
+    return accuracy.worth_reading(accuracy.compare(B.bodies(spark, sf_dir)))
 
 
 @query("SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, page_id, sha256(html) AS sha256, strlen(html)::INT AS bytes FROM pages")
@@ -518,25 +603,25 @@ def manifest_fingerprint(spark, sf_dir):
     return p.select(urls.authority(F.col("url")).alias("domain"), "page_id", sha.alias("sha256"), size.alias("bytes"))
 
 
-@query(f"""SELECT domain, CASE WHEN robots_id = 0 THEN '404' ELSE '200' END AS robots_status, CASE WHEN robots_id = 0 THEN '' ELSE sha256(body) END AS robots_sha256, CASE WHEN robots_id = 0 THEN '' ELSE strlen(body)::VARCHAR END AS robots_bytes
-FROM (WITH {_SITES} SELECT s.domain, s.robots_id, r.body FROM s JOIN {B.values(list(enumerate(B.BODIES)), 'r', 'robots_id, body')} USING (robots_id))""")
+@query(f"""SELECT domain, CASE WHEN robots_real THEN '200' ELSE '404' END AS robots_status, CASE WHEN robots_real THEN sha256(body) ELSE '' END AS robots_sha256, CASE WHEN robots_real THEN strlen(body)::VARCHAR ELSE '' END AS robots_bytes
+FROM (WITH {_SITES},{B.SQL_BODIES} SELECT s.domain, s.robots_real, r.body FROM s JOIN r USING (robots_id))""")
 def robots_manifest(spark, sf_dir):
-    s = B.sites(spark, sf_dir).join(B.bodies(spark), "robots_id")
+    s = B.sites(spark, sf_dir).join(B.site_bodies(spark, sf_dir), "robots_id")
     own = s.select("domain", F.lit(1).alias("pos"), F.concat("base_url", F.lit("/robots.txt")).alias("url"), F.col("robots_status").alias("status"), F.lit(None).cast("string").alias("error"), F.col("body").alias("text"), F.lit("2024-01-01T00:00:00").alias("fetched_at"), F.lit("scored").alias("outcome"))
     home = own.withColumns({"pos": F.lit(0), "url": F.regexp_replace("url", "robots.txt$", ""), "text": F.lit("home")})
     return manifest.manifest(own.unionByName(home)).select("domain", "robots_status", "robots_sha256", "robots_bytes")
 
 
-@query(f"SELECT domain, CASE WHEN status IS NULL OR status <> 200 THEN 'UNREACHABLE' WHEN recorded = live THEN 'MATCH' ELSE 'CHANGED' END AS state FROM {B.values(B.SNAPSHOTS, 't', 'domain, recorded, status, live')}")
+@query(f"SELECT page_id || '.' || domain AS domain, CASE WHEN status IS NULL OR status <> 200 THEN 'UNREACHABLE' WHEN recorded = live THEN 'MATCH' ELSE 'CHANGED' END AS state FROM {B.sql_each([x[1:] for x in B.SNAPSHOTS], 'recorded, status, live', 'recorded', 'status', 'live')}")
 def manifest_diff(spark, sf_dir):
-    df = spark.createDataFrame(B.SNAPSHOTS, "domain string, recorded string, status int, live string")
+    df = B.each(spark, sf_dir, [x[1:] for x in B.SNAPSHOTS], "recorded string, status int, live string").withColumn("domain", F.concat(F.col("page_id").cast("string"), F.lit("."), "domain"))
     return manifest.difference(df.select("domain", F.sha2("recorded", 256).alias("robots_sha256")), df.select("domain", "status", F.col("live").alias("text")))
 
 
 # ---- streaming ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {B.SQL_PAGES.replace('s.added ||', '')},{_FEATURES} SELECT page_id, text_chars::INT AS text_chars, script_chars::INT AS script_chars, title FROM sc")
+@query(f"WITH {B.SQL_PAGES.replace('s.added || m.mark ||', '')},{_FEATURES} SELECT page_id, text_chars::INT AS text_chars, script_chars::INT AS script_chars, title FROM sc")
 def stream_audit(spark, sf_dir):
     """The pages read as a stream, written by an exactly-once sink and read back."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

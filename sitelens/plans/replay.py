@@ -24,13 +24,14 @@ FIELDS = ("final_url", "status", "headers", "text", "error")
 @dataclass
 class Audit:
     """sites: domain, base_url, robots_id, robots_status, robots_real, blanket, declared, reachable, llms; pages: domain, pos, url,
-    status, headers, html; verdicts with domain; errors: domain, pos, message; aborted: domain, reason."""
+    status, headers, html; verdicts with domain; errors: domain, pos, message; aborted: domain, reason; declared: domain, body of robots.txt as it came."""
 
     sites: DataFrame
     pages: DataFrame
     verdicts: DataFrame
     errors: DataFrame
     aborted: DataFrame
+    declared: DataFrame
 
 
 def answers(requests: DataFrame, responses: DataFrame, url: Column, name: str) -> DataFrame:
@@ -61,7 +62,7 @@ def assemble(responses: DataFrame, domains: DataFrame, pages: int = PAGES_SAMPLE
 
     asked = answers(ok.select("domain", "base_url"), responses, F.concat("base_url", F.lit("/robots.txt")), "r")
     body, real, odd = robots.read_response(F.col("r.status"), F.col("r.error"), F.col("r.text"), content_type(F.col("r.headers")))
-    told = asked.select("domain", "base_url", F.col("r.status").alias("robots_status"), real.alias("robots_real"), body.alias("body"), odd.alias("odd"))
+    told = asked.select("domain", "base_url", F.col("r.status").alias("robots_status"), real.alias("robots_real"), body.alias("body"), odd.alias("odd"), F.coalesce(body, F.when(F.col("r.status") == 200, F.col("r.text"))).alias("sent"))
     told = written(told, "robots").withColumn("robots_id", F.coalesce(F.sha2("body", 256), F.lit("none")))
     notes.append(note(told, 1, F.col("odd")))
     bodies = written(told.select("robots_id", "body").dropDuplicates(["robots_id"]), "bodies")
@@ -90,7 +91,7 @@ def assemble(responses: DataFrame, domains: DataFrame, pages: int = PAGES_SAMPLE
     errors = notes[0]
     for n in notes[1:]:
         errors = errors.unionByName(n)
-    return Audit(sites, all_pages, verdicts, written(errors, "errors"), aborted)
+    return Audit(sites, all_pages, verdicts, written(errors, "errors"), aborted, told.select("domain", F.col("sent").alias("body")))
 
 
 def features(audit: Audit) -> DataFrame:
@@ -101,6 +102,7 @@ def features(audit: Audit) -> DataFrame:
 def payloads(audit: Audit) -> DataFrame:
     """domain, n_checks, payload of every site that wasn't aborted."""
     pages = features(audit)
-    results = written(checks.checks(audit.sites, pages, audit.verdicts), "results")
+    ran = written(checks.attempted(audit.sites, pages, audit.verdicts), "results")
+    results = checks.sound(ran)
     scores = scoring.scores(audit.sites, results, scoring.caps(audit.verdicts, audit.sites.select("domain", "blanket")))
-    return report.payload(audit.sites, report.check_rows(audit.sites, results), scores, audit.verdicts, pages, report.additions(results), audit.errors)
+    return report.payload(audit.sites, report.check_rows(audit.sites, results), scores, audit.verdicts, pages, report.additions(results), audit.errors.unionByName(checks.failures(ran)), audit.declared)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,3 +81,33 @@ def test_equals_the_literal_reading(spark, bodies):
     df = spark.createDataFrame(list(enumerate(bodies)), "robots_id int, body string")
     row = accuracy.agreement(accuracy.compare(df)).collect()[0]
     assert row["tool_literal"] == row["total"]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "path", "fits"),
+    [
+        ("/caf%C3%A9", "/café/x", True), ("/café", "/caf%c3%a9", True), ("/%7Euser", "/~user", True), ("/a%2Fb", "/a/b", False), ("/a%2fb", "/a%2Fb", True), ("/100%", "/100%", True), ("/a+b", "/a b", False), ("/a+b", "/a+b/", True),
+        ("/%2A", "/x", False), ("/*a*b$", "/xaab", True), ("/*a*b$", "/xabc", False), ("/*ab*ab$", "/ab", False), ("/a$", "/a", True), ("/a$", "/ab", False), ("/a*$", "/abc", True), ("*", "/", True), ("$", "/", False), ("/x*", "/y", False), ("/**b", "/aab", True), ("/a$b", "/a$bc", True), ("", "/", False), ("/*/c", "/a/b/c/d", True),
+    ],
+)
+def test_paths_that_rules_cover(spark, pattern, path, fits):
+    assert spark.range(1).select(robots.covers(F.lit(pattern), F.lit(path))).collect()[0][0] is fits
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.text("/ab*$", max_size=7), st.text("/ab", max_size=8)), min_size=1, max_size=40))
+def test_covering_equals_a_regular_expression(spark, pairs):
+    got = [r[0] for r in spark.createDataFrame(pairs, "p string, x string").select(robots.covers(F.col("p"), F.col("x"))).collect()]
+    for (pattern, path), fits in zip(pairs, got, strict=True):
+        ended = pattern.endswith("$")
+        expression = ".*".join(map(re.escape, (pattern[:-1] if ended else pattern).split("*"))) + ("$" if ended else "")
+        assert fits is bool(pattern and re.match(expression, path)), (pattern, path)
+
+
+def test_many_stars_take_no_time(spark):
+    began = time.time()
+    rule = "/" + "*a" * 400 + "*b$"
+    urls = spark.createDataFrame([(0, "https://x.example/" + "a" * 2000)], "robots_id int, url string")
+    bodies = spark.createDataFrame([(0, f"User-agent: *\nDisallow: {rule}\n")], "robots_id int, body string")
+    assert robots.permitted(urls, bodies, "sitelens").count() == 1
+    assert time.time() - began < 15

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from sitelens import constants as K
 from sitelens.functions import text, urls
-from sitelens.operators import report, scoring, study
+from sitelens.operators import checks, report, robots, scoring, study
+from sitelens.plans import bridge, catalogue
 
 
 def test_weights_sum_to_a_hundred():
@@ -73,3 +76,55 @@ def test_text_helpers(spark):
     words = lambda *w: text.join_words(F.array(*map(F.lit, w)))
     got = spark.range(1).select(words("a"), words("a", "b"), words("a", "b", "c"), text.percentage(F.lit(1), F.lit(8)), text.percentage(F.lit(0), F.lit(0)), text.escape_cell(F.lit("a|b")), text.first_sentence(F.lit("One two. Three."))).collect()[0]
     assert tuple(got) == ("a", "a and b", "a, b and c", 12.5, 0.0, "a\\|b", "One two")
+
+
+def test_a_failing_check_is_an_error_of_its_site_alone(spark, sf_dir, monkeypatch):
+    """At every other site the check gives a ratio of 3, which stops nothing else."""
+    sites = bridge.sites(spark, sf_dir)
+    pages = catalogue.featured(spark, sf_dir)
+    verdicts = catalogue.site_verdicts(spark, sf_dir, sites)
+    sound = checks.CHECKS["llms_txt"]
+    broken = lambda c: (F.when(F.length("domain") % 2 == 0, 3.0).when(F.length("domain") % 3 == 0, F.lit(None)).otherwise(sound[0](c)[0]), *sound[0](c)[1:])
+    monkeypatch.setitem(checks.CHECKS, "llms_txt", (broken, sound[1]))
+    ran = checks.attempted(sites, pages, verdicts).cache()
+    bad = {r["domain"] for r in sites.collect() if len(r["domain"]) % 2 == 0 or len(r["domain"]) % 3 == 0}
+    assert {r["domain"] for r in checks.failures(ran).collect()} == bad and bad
+    good = checks.sound(ran)
+    assert good.count() == 13 * sites.count() - len(bad)
+    rows = report.check_rows(sites, good)
+    told = {(r["domain"], r["check_id"]): r for r in rows.collect()}
+    assert len(told) == 13 * sites.count()
+    for (domain, check_id), r in told.items():
+        missing = check_id == "llms_txt" and domain in bad
+        assert (r["evidence"] == "the check did not run") == missing and r["title"] == (check_id if missing else K.CHECK_TITLES[check_id])
+    scores = scoring.scores(sites, good)
+    made = report.payload(sites.withColumn("blanket", F.lit(False)), rows, scores, verdicts, pages, report.additions(good), checks.failures(ran))
+    for r in made.collect():
+        run = json.loads(r["payload"])
+        assert len(run["checks"]) == 13 and (len(run["errors"]) == 1) == (r["domain"] in bad) and run["content_signals"] is None
+        assert all(e.startswith("llms_txt: no ratio from 0 to 1 but ") for e in run["errors"])
+
+
+def test_fixes_have_parts(spark, sf_dir):
+    for r in catalogue.QUERIES["payload_json"](spark, sf_dir).collect():
+        run = json.loads(r["payload"])
+        for c in run["checks"]:
+            assert isinstance(c["details"], dict) and c["title"]
+            assert c["fix"] is None or (c["fix"]["summary"] and c["fix"]["docs_url"].startswith("https://") and set(c["fix"]) == {"summary", "snippet", "docs_url"})
+            assert (c["fix"] is None) == (c["severity"] == "ok") or c["check_id"] in ("user_fetch_crawlers_allowed", "no_noindex") or c["evidence"].startswith("No page")
+        own = next(c for c in run["checks"] if c["check_id"] == "citation_crawlers_allowed")
+        assert own["fix"] is None or own["fix"]["snippet"].startswith("User-agent: ")
+        for agent in run["crawlers"]["training"]["agents"]:
+            assert agent["note"] and (agent["docs"] or agent["token"] == "Bytespider")
+
+
+def test_page_of_crawlers(spark):
+    agents = robots.agents(spark)
+    page = "# Crawlers\n\nProse.\n\n" + "".join(f"{h}\n\nold\n\n" for h, _ in report.SECTIONS.values()) + "## After\n\nMore.\n"
+    made = report.rebuilt(page, agents)
+    assert not report.is_current(page, agents) and report.is_current(made, agents)
+    assert made.startswith("# Crawlers\n\nProse.\n\n## Crawlers that cite\n\n11 crawlers, worth 50 points.\n") and made.endswith("## After\n\nMore.\n") and "\nold\n" not in made
+    assert "| `GPTBot` | [OpenAI](https://developers.openai.com/api/docs/bots) | yes | Collects pages for training |" in made and "| `Bytespider` | ByteDance |" in made
+    with pytest.raises(ValueError):
+        report.rebuilt("# no headings", agents)
+    assert set(K.CRAWLER_NOTES) == {a[0] for a in K.AGENTS} and all(a[5] == bool(K.CRAWLER_DOCS.get(a[0], K.VENDOR_DOCS.get(a[1]))) for a in K.AGENTS)
