@@ -5,7 +5,6 @@ Hosts are dealt to tasks, so one host is asked by one task, one request after an
 
 from __future__ import annotations
 
-import gzip
 import http.client
 import re
 import socket
@@ -16,6 +15,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from sitelens.functions.urls import authority
 
 AGENT = "sitelens/0.1"
 TIMEOUT, ATTEMPTS, REDIRECTS = 15, 3, 10
+#: Bytes read at a time, and answers held before they are handed on.
+PART, HELD = 1 << 16, 10
 RETRIED = (429, 500, 502, 503, 504)
 SCHEMA = "domain string, url string, final_url string, status int, headers map<string,string>, text string, error string, truncated boolean"
 
@@ -78,13 +80,27 @@ def name_of(error: BaseException) -> str:
     return "unknown"
 
 
-def read_body(raw: bytes, encoding: str, limit: int = BODY_BYTES) -> tuple[bytes, bool]:
-    """The body unpacked, cut at the limit, and whether it was cut."""
-    try:
-        body = gzip.decompress(raw) if encoding == "gzip" else zlib.decompress(raw) if encoding == "deflate" else raw
-    except (OSError, zlib.error, EOFError):
-        body = raw
-    return body[:limit], len(body) >= limit
+def read_body(answer, encoding: str, limit: int = BODY_BYTES) -> tuple[bytes, bool]:
+    """The body, unpacked as it comes and cut at so many unpacked bytes, and whether it had as many. One that isn't in the encoding
+    named is taken as it is."""
+    kinds = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(encoding.strip().lower(), ())
+    first = answer.read(PART)
+    for window in kinds:
+        unpack, out, held, part = zlib.decompressobj(window), [], 0, first
+        try:
+            while part and held < limit and not unpack.eof:
+                out.append(unpack.decompress(part, limit - held))
+                held += len(out[-1])
+                part = unpack.unconsumed_tail or answer.read(PART)
+        except zlib.error:
+            if not held:
+                continue  # not in this encoding at all
+        return b"".join(out)[:limit], held >= limit
+    out, held = [first], len(first)
+    while held < limit and (part := answer.read(PART)):
+        out.append(part)
+        held += len(part)
+    return b"".join(out)[:limit], held >= limit
 
 
 def fetch_one(url: str, open_: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> dict:
@@ -100,7 +116,7 @@ def fetch_one(url: str, open_: Callable = urllib.request.urlopen, sleep: Callabl
                 answer = e
             with answer:
                 headers = {k.lower(): v for k, v in answer.headers.items()}
-                body, cut = read_body(answer.read(BODY_BYTES), headers.get("content-encoding", ""))
+                body, cut = read_body(answer, headers.get("content-encoding", ""))
                 row |= {"final_url": answer.geturl(), "status": answer.status, "headers": headers, "text": decode(body, headers.get("content-type", "")), "error": None, "truncated": cut}
         except Exception as e:
             row |= {"status": None, "error": name_of(e)}
@@ -113,12 +129,22 @@ def fetch_one(url: str, open_: Callable = urllib.request.urlopen, sleep: Callabl
     return row
 
 
-def fetch(requests: DataFrame, tasks: int = 4) -> DataFrame:
-    """Responses of requests (domain, url); `tasks` are at work at a time at most."""
+def fetch(requests: DataFrame, tasks: int = 4, stagger: float = 1.0) -> DataFrame:
+    """Responses of requests (domain, url); `tasks` are at work at a time at most, and each starts so many seconds after the one
+    before it. A task holds a few answers at a time."""
+    names = ["domain", "url", "final_url", "status", "headers", "text", "error", "truncated"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        time.sleep(stagger * (context.partitionId() if context else 0))
         for frame in frames:
-            rows = [{"domain": d} | fetch_one(u) for d, u in zip(frame["domain"], frame["url"], strict=True)]
-            yield pd.DataFrame(rows, columns=["domain", "url", "final_url", "status", "headers", "text", "error", "truncated"]).astype({"status": "Int64"})
+            rows: list[dict] = []
+            for domain, url in zip(frame["domain"], frame["url"], strict=True):
+                rows.append({"domain": domain} | fetch_one(url))
+                if len(rows) == HELD:
+                    yield pd.DataFrame(rows, columns=names).astype({"status": "Int64"})
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({"status": "Int64"})
 
     return requests.select("domain", "url").repartition(tasks, authority(F.col("url"))).mapInPandas(run, SCHEMA)

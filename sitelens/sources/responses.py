@@ -6,7 +6,7 @@ file, compressed or not. As a table it has a row a response, in recorded order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import strip
@@ -34,6 +34,16 @@ def write_recordings(responses: DataFrame, path: str) -> None:
     per.select(line.alias("value")).write.option("compression", "gzip").text(path)
 
 
+def recorded(answers: DataFrame, homes: DataFrame) -> DataFrame:
+    """Answers of fetch() as recordings: fetched_at, pos in the order of the URLs, and the outcome of their site, which its home page
+    decides. homes: domain, url of the home page."""
+    own = answers.join(homes, ["domain", "url"], "left_semi")
+    outcome = resolve_bases(own).select("domain", F.concat_ws(": ", "outcome", "reason").alias("outcome"))
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("url")) - 1
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    return answers.join(outcome, "domain", "left").select("domain", now.alias("fetched_at"), F.coalesce("outcome", F.lit("aborted: no home page")).alias("outcome"), place.alias("pos"), "url", "final_url", "status", "headers", "text", "error", "truncated")
+
+
 def replay(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """An answer for each request (domain, url): the recorded one, or an error that says there is none; never a made-up status."""
     found = requests.join(responses.withColumn("recorded", F.lit(True)), ["domain", "url"], "left")
@@ -45,8 +55,8 @@ def available(responses: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, path: str, inline_comments: bool = True) -> DataFrame:
-    """pos, domain of a list of domains; lines that begin with # go, and with inline_comments what follows a #."""
-    text = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    """pos (rising), domain of a list of domains; lines that begin with # go, and with inline_comments what follows a #."""
+    text = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
     cut = F.substring_index("line", "#", 1) if inline_comments else F.when(~F.startswith(F.ltrim("line"), F.lit("#")), F.col("line"))
     return text.select("pos", strip(cut).alias("domain")).where("domain <> ''")
 

@@ -46,9 +46,9 @@ def rescore(stream: DataFrame, store: str, out: str, checkpoint: str) -> Streami
         facts = page_facts(batch).withColumn("domain", F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
         facts.write.mode("overwrite").parquet(f"{store}/batch={number}")
         changed = spark.read.parquet(f"{store}/batch={number}").select("domain").distinct()
-        every = spark.read.option("basePath", store).parquet(store).where(F.col("batch") <= number)
+        every = spark.read.option("basePath", store).parquet(store).where(F.col("batch") <= number).join(changed, "domain", "left_semi")
         latest = every.groupBy("domain", "url").agg(F.max_by("score", F.struct("batch", "page_id")).alias("score"))
-        sites = latest.join(changed, "domain", "left_semi").groupBy("domain").agg(F.avg("score").alias("ratio"), F.count("*").alias("pages"))
+        sites = latest.groupBy("domain").agg(F.avg("score").alias("ratio"), F.count("*").alias("pages"))
         sites.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

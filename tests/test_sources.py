@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
+import os
 import socket
+import tracemalloc
 import urllib.error
+import zlib
 from email.message import Message
 
 import pytest
 from pyspark.sql import functions as F
 
+from sitelens.constants import RUBRIC
 from sitelens.operators import manifest, report, sitemap, study
 from sitelens.plans import catalogue
-from sitelens.sources import fetch, responses
+from sitelens.sources import fetch, responses, steps
 from sitelens.streaming import audit
 
 
@@ -100,11 +105,40 @@ def test_failures_have_names(error, said, tries):
 
 
 def test_bodies_are_cut():
-    assert fetch.read_body(b"abcdef", "", 4) == (b"abcd", True)
-    assert fetch.read_body(b"not gzip", "gzip", 100) == (b"not gzip", False)
+    body = lambda raw, encoding, limit: fetch.read_body(io.BytesIO(raw), encoding, limit)
+    assert body(b"abcdef", "", 4) == (b"abcd", True)
+    assert body(b"not gzip", "gzip", 100) == body(b"not gzip", "deflate", 100) == (b"not gzip", False)
+    random = os.urandom(300_000)
+    for pack, name in ((gzip.compress, "gzip"), (zlib.compress, "deflate"), (lambda x: zlib.compress(x)[2:-4], "deflate")):
+        assert body(pack(random), name, 1_000_000) == (random, False)
+        assert body(pack(random), name, 250_000) == (random[:250_000], True)  # the limit is one of unpacked bytes
+        assert body(pack(random)[:200_000], name, 1_000_000)[0] == random[: len(body(pack(random)[:200_000], name, 1_000_000)[0])]
+    bomb = gzip.compress(b"x" * 50_000_000)
+    tracemalloc.start()
+    assert body(bomb, "gzip", 1000) == (b"x" * 1000, True)
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
     assert fetch.decode(b"\xff", "text/html; charset=nope") == "�"
 
 
+def test_answers_become_recordings(spark, tmp_path):
+    kind = "domain string, url string, final_url string, status int, headers map<string,string>, text string, error string, truncated boolean"
+    rows = [("a.example", "https://a.example/", "https://a.example/", 200, {"x": "y"}, "home", None, False), ("a.example", "https://a.example/robots.txt", "https://a.example/robots.txt", 404, {}, "", None, False), ("b.example", "https://b.example/", "https://b.example/", None, {}, "", "timeout", False), ("c.example", "https://c.example/x", "https://c.example/x", 200, {}, "", None, False)]
+    homes = spark.createDataFrame([(d, f"https://{d}/") for d in ("a.example", "b.example", "c.example")], "domain string, url string")
+    made = responses.recorded(spark.createDataFrame(rows, kind), homes)
+    responses.write_recordings(made, f"{tmp_path}/runs")
+    again = responses.read_recordings(spark, f"{tmp_path}/runs")
+    assert {(r["domain"], r["pos"], r["url"]): r["outcome"] for r in again.collect()} == {("a.example", 0, "https://a.example/"): "scored", ("a.example", 1, "https://a.example/robots.txt"): "scored", ("b.example", 0, "https://b.example/"): "aborted: timeout", ("c.example", 0, "https://c.example/x"): "aborted: no home page"}
+
+
+def test_steps_can_be_removed(spark):
+    step = steps.written(spark.range(10), "step")
+    folder = step.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert step.count() == 10 and os.path.isdir(folder)
+    steps.remove(step)
+    assert not os.path.exists(folder)
+
+
 def test_nested_sitemaps_are_followed_one_level(spark):
     index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://a.example/{k}.xml</loc></sitemap>" for k in range(20)) + "</sitemapindex>"
     child = lambda k: f"<urlset><url><loc>https://a.example/p{k}</loc></url></urlset>"
@@ -139,7 +173,7 @@ def test_payload_holds_every_criterion(spark, sf_dir):
     rows = catalogue.payload_json(spark, sf_dir).collect()
     for r in rows:
         run = json.loads(r["payload"])
-        assert [c["pos"] for c in run["checks"]] == list(range(13))
+        assert [c["check_id"] for c in run["checks"]] == [i for _, i, _ in RUBRIC]
         assert {b: len(v["agents"]) for b, v in run["crawlers"].items()} == {"citation": 11, "user_fetch": 8, "training": 13}
         assert "## Scores" in report.markdown(run) and report.terminal(run)
 
