@@ -345,7 +345,7 @@ def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = materialise(found, "copies")
     own = F.col("doc_id").cast("long")
     marks = {own_id: own, own_mark: mark(), row: F.when(own.isNull(), F.monotonically_increasing_id())}
-    kept = docs.withColumns(marks).join(copies.hint("merge"), [own_id, own_mark], "left_anti").dropDuplicates([own_id, own_mark, row])
+    kept = docs.withColumns(marks).join(copies.hint("shuffle_hash"), [own_id, own_mark], "left_anti").dropDuplicates([own_id, own_mark, row])
     return kept.select(*named(*docs.columns))
 
 

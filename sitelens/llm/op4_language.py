@@ -56,11 +56,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, total_chars: int = TOTAL_CHARS)
     chars = max(20, min(SAMPLE_CHARS, total_chars // (sample * len(counts))))
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in counts.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    drawn = open_rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).withColumn("mark", F.xxhash64("text"))
-    # at most twice the sample of each language, the same rows in every run, chosen without their texts
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "mark"))
-    chosen = drawn.select("lang", "doc_id", "mark").distinct().withColumn("place", place).where(F.col("place") <= 2 * sample)
-    picked = drawn.join(F.broadcast(chosen.select("lang", "doc_id", "mark")), ["lang", "doc_id", "mark"])
+    drawn = open_rows.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
+    # at most twice the sample of each language, the same documents in every run; of one with many texts, some by hash
+    per = drawn.groupBy("lang", "doc_id").agg(F.count("*").alias("texts"))
+    chosen = per.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where(F.col("place") <= 2 * sample).select("lang", "doc_id", "texts")
+    picked = drawn.join(F.broadcast(chosen), ["lang", "doc_id"]).withColumn("mark", F.xxhash64("text")).where("texts <= 4 OR pmod(mark, texts) < 4")
     rows = picked.select("lang", "doc_id", "mark", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "doc_id", "mark"]).collect()
     streams: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["mark"])):

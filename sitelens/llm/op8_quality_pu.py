@@ -209,11 +209,11 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
         return None
     draw = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
     trusted = labels.where(draw(0) < min(1.0, positives / marks)).select("doc_id").distinct().orderBy("doc_id").limit(2 * positives)
-    flagged = docs.withColumn("mark", F.xxhash64("text")).join(F.broadcast(trusted.withColumn("good", F.lit(True))), "doc_id", "left")
+    flagged = docs.join(F.broadcast(trusted.withColumn("good", F.lit(True))), "doc_id", "left")
     flagged = flagged.withColumns({"good": F.coalesce("good", F.lit(False)), "other": draw(1) < min(1.0, unlabelled / rows), "half": (F.xxhash64("doc_id", F.lit(2)) % 2 == 0).cast("int")}).where("good OR other")
-    # rows are chosen without their texts: at most so many, the same ones in every run
-    chosen = flagged.select("doc_id", "mark").distinct().orderBy("doc_id", "mark").limit(2 * (positives + unlabelled))
-    drawn = flagged.join(F.broadcast(chosen), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    # documents are chosen without reading texts: at most so many, the same ones in every run; of one with many texts, some by hash
+    chosen = flagged.groupBy("doc_id").agg(F.count("*").alias("texts")).orderBy("doc_id").limit(2 * (positives + unlabelled))
+    drawn = flagged.join(F.broadcast(chosen), "doc_id").withColumn("mark", F.xxhash64("text")).where("texts <= 4 OR pmod(mark, texts) < 4").dropDuplicates(["doc_id", "mark"])
     return materialise(drawn.select("doc_id", "mark", "half", "good", "other", "text"), "quality-sample")
 
 
