@@ -91,15 +91,21 @@ def covers(pattern: Column, path: Column) -> Column:
     there is one, in time that grows with the length of both."""
     ended = F.endswith(pattern, F.lit("$"))
     parts = F.split(folded(F.when(ended, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)), r"\*")
-    own, n = folded(path), F.size(parts)
+    bound = F.struct(ended.alias("ended"), parts.alias("parts"), folded(path).alias("own"))
+    # bound to a name, so that each is computed once
+    return F.get(F.transform(F.array(bound), lambda x: (pattern != "") & _in_order(x["ended"], x["parts"], x["own"])), F.lit(0))
+
+
+def _in_order(ended: Column, parts: Column, own: Column) -> Column:
+    n = F.size(parts)
     first, last = F.get(parts, F.lit(0)), F.get(parts, n - 1)
     found = lambda at, part: F.call_function("locate", part, own, at)
     # the place after what is found so far; 0 for no way
     step = lambda at, part: F.when((at == 0) | (part == ""), at).when(found(at, part) == 0, 0).otherwise(found(at, part) + F.length(part))
     between = F.slice(parts, F.lit(2), F.greatest(n - F.when(ended, 2).otherwise(1), F.lit(0)))
     place = F.aggregate(between, F.when(F.startswith(own, first), F.length(first) + 1).otherwise(0), step)
-    fits = F.when(~ended, place > 0).when(n == 1, own == first).otherwise((place > 0) & F.endswith(own, last) & (F.length(own) - F.length(last) + 1 >= place))
-    return (pattern != "") & fits
+    ends = (place > 0) & F.endswith(own, last) & (F.length(own) - F.length(last) + 1 >= place)
+    return F.when(~ended, place > 0).when(n == 1, own == first).otherwise(ends)
 
 
 def selected(bodies: DataFrame, tokens: list[str], path: str | None = None) -> DataFrame:

@@ -42,19 +42,18 @@ def declared(bodies: DataFrame) -> DataFrame:
 
 
 def signals(bodies: DataFrame) -> DataFrame:
-    """robots_id, declared MAP, unknown_keys, raw, boilerplate_only, present, summary of the bodies that say anything."""
-    by_key = pairs(bodies).groupBy("robots_id", "key").agg(F.max_by("value", "pos").alias("value"), F.min("pos").alias("pos"))
-    known = F.col("key").isin(SIGNAL_KEYS)
-    found = by_key.groupBy("robots_id").agg(
-        F.array_sort(F.collect_list(F.when(known, F.struct("key", "value")))).alias("known"),
-        F.transform(F.array_sort(F.collect_list(F.when(~known, F.struct("pos", "key")))), lambda x: x["key"]).alias("unknown_keys"),
-    )
-    said = bodies.where("body IS NOT NULL").select("robots_id", F.array_join(raw_lines(F.col("body")), "; ").alias("raw"), terms_only(F.col("body")).alias("boilerplate_only")).where("raw <> '' OR boilerplate_only")
-    all_ = said.join(found, "robots_id", "left")
-    none = F.array().cast("array<struct<key:string,value:string>>")
-    all_ = all_.withColumn("known", F.coalesce("known", none)).withColumn("unknown_keys", F.coalesce("unknown_keys", F.array().cast("array<string>")))
-    present = (F.size("known") > 0) | (F.size("unknown_keys") > 0)
-    return all_.select("robots_id", F.map_from_entries("known").alias("declared"), "unknown_keys", "raw", "boilerplate_only", present.alias("present"), summary(F.col("known"), F.col("boilerplate_only")).alias("summary"))
+    """robots_id, declared MAP, unknown_keys, raw, boilerplate_only, present, summary of the bodies that say anything. Expressions
+    over one row a body."""
+    text = lambda x, part: F.lower(strip(F.substring_index(x, "=", 1) if part == "key" else F.regexp_replace(x, "^[^=]*=", "")))
+    said = bodies.where("body IS NOT NULL").select("robots_id", raw_lines(F.col("body")).alias("lines"), terms_only(F.col("body")).alias("boilerplate_only")).where("size(lines) > 0 OR boilerplate_only")
+    items = F.filter(F.flatten(F.transform("lines", lambda line: F.split(line, ","))), lambda x: F.contains(x, F.lit("=")))
+    named = F.filter(F.transform(items, lambda x: F.struct(text(x, "key").alias("key"), text(x, "value").alias("value"))), lambda x: x["key"] != "")
+    last = lambda k: F.get(F.reverse(F.filter("pairs", lambda x: x["key"] == k)), F.lit(0))
+    known = F.filter(F.array(*map(last, sorted(SIGNAL_KEYS))), lambda x: x.isNotNull())
+    unknown = F.array_distinct(F.transform(F.filter("pairs", lambda x: ~x["key"].isin(SIGNAL_KEYS)), lambda x: x["key"]))
+    all_ = said.withColumn("pairs", named).withColumns({"known": known, "unknown_keys": unknown})
+    present = F.size("pairs") > 0
+    return all_.select("robots_id", F.map_from_entries("known").alias("declared"), "unknown_keys", F.array_join("lines", "; ").alias("raw"), "boilerplate_only", present.alias("present"), summary(F.col("known"), F.col("boilerplate_only")).alias("summary"))
 
 
 def summary(known: Column, terms: Column) -> Column:

@@ -160,9 +160,10 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each(spark, sf_dir, [(b,) for b in BODIES], "body string").select(F.col("page_id").alias("robots_id"), own.alias("body"))
 
 
-def site_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_bodies(sites_: DataFrame) -> DataFrame:
     """The bodies of the sites, which are those of their first pages."""
-    return bodies(spark, sf_dir).join(sites(spark, sf_dir).select("robots_id"), "robots_id", "left_semi")
+    m = F.col("robots_id")
+    return sites_.select("robots_id", F.concat(pick(BODIES, m % len(BODIES)), F.lit("Disallow: /"), m.cast("string"), F.lit("/\n")).alias("body"))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:

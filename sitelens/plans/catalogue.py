@@ -46,29 +46,29 @@ def featured(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     return kept(p) if keep else p
 
 
-def site_verdicts(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFrame:
+def site_verdicts(sites: DataFrame) -> DataFrame:
     """A body is judged once, however many sites share it."""
-    return sites.select("domain", "robots_id").join(robots.verdicts(B.site_bodies(spark, sf_dir)), "robots_id")
+    return sites.select("domain", "robots_id").join(robots.verdicts(B.site_bodies(sites)), "robots_id")
 
 
-def site_blanket(spark: SparkSession, sf_dir: str, sites: DataFrame) -> DataFrame:
-    return sites.select("domain", "robots_id").join(robots.blanket_disallow(B.site_bodies(spark, sf_dir)), "robots_id").select("domain", "blanket")
+def site_blanket(sites: DataFrame) -> DataFrame:
+    return sites.select("domain", "robots_id").join(robots.blanket_disallow(B.site_bodies(sites)), "robots_id").select("domain", "blanket")
 
 
 def audited(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sites, verdicts and check results."""
     s = B.sites(spark, sf_dir)
-    v = kept(site_verdicts(spark, sf_dir, s))
+    v = kept(site_verdicts(s))
     return s, v, checks.checks(s, featured(spark, sf_dir), v, only)
 
 
 def site_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """sites, pages, verdicts, check results and scores."""
     s = B.sites(spark, sf_dir)
-    v = kept(site_verdicts(spark, sf_dir, s))
+    v = kept(site_verdicts(s))
     p = featured(spark, sf_dir, keep=True)
     r = kept(checks.checks(s, p, v))
-    return s, p, v, r, scoring.scores(s, r, scoring.caps(v, site_blanket(spark, sf_dir, s)))
+    return s, p, v, r, scoring.scores(s, r, scoring.caps(v, site_blanket(s)))
 
 
 ACCESS = tuple(i for c, i, _ in K.RUBRIC if c == "access")
@@ -298,12 +298,12 @@ def blanket_disallow(spark, sf_dir):
 
 @query(f"WITH {_SITE_VERDICTS} SELECT domain, bucket, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS total FROM sv GROUP BY domain, bucket")
 def bucket_counts(spark, sf_dir):
-    return robots.bucket_counts(site_verdicts(spark, sf_dir, B.sites(spark, sf_dir)), "domain")
+    return robots.bucket_counts(site_verdicts(B.sites(spark, sf_dir)), "domain")
 
 
 @query(f"WITH {_SITE_VERDICTS} SELECT domain, CASE WHEN bool_and(allowed) THEN 'open' WHEN NOT bool_or(allowed) THEN 'closed' ELSE 'partial' END AS posture FROM sv WHERE bucket = 'training' GROUP BY domain")
 def training_posture(spark, sf_dir):
-    n = robots.bucket_counts(site_verdicts(spark, sf_dir, B.sites(spark, sf_dir)), "domain").where("bucket = 'training'")
+    n = robots.bucket_counts(site_verdicts(B.sites(spark, sf_dir)), "domain").where("bucket = 'training'")
     return n.select("domain", robots.posture(F.col("allowed"), F.col("total")).alias("posture"))
 
 
@@ -371,7 +371,7 @@ def llms_txt_check(spark, sf_dir):
 @query(f"""WITH {_SITE_VERDICTS}, c AS (SELECT domain, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS total, bool_and(NOT allowed) FILTER (WHERE ai_only) AND count(*) FILTER (WHERE allowed) > 0 AS blackout FROM sv WHERE bucket = 'citation' GROUP BY domain)
 SELECT domain, allowed, total, CASE WHEN allowed = total THEN 'ok' WHEN blackout OR allowed = 0 THEN 'critical' ELSE 'warning' END AS severity, blackout FROM c""")
 def citation_check(spark, sf_dir):
-    v = site_verdicts(spark, sf_dir, B.sites(spark, sf_dir))
+    v = site_verdicts(B.sites(spark, sf_dir))
     c = F.col("citation")
     severity = checks.citation(None)[1]
     return checks.crawler_facts(v).select("domain", c["allowed"].alias("allowed"), c["total"].alias("total"), severity.alias("severity"), checks.blackout(c).alias("blackout"))
@@ -380,13 +380,13 @@ def citation_check(spark, sf_dir):
 @query(f"WITH {_SITE_VERDICTS} SELECT domain, count(*) FILTER (WHERE allowed OR obeys <> 'yes') AS reachable, count(*) AS total FROM sv WHERE bucket = 'user_fetch' GROUP BY domain")
 def user_fetch_check(spark, sf_dir):
     u = F.col("user_fetch")
-    return checks.crawler_facts(site_verdicts(spark, sf_dir, B.sites(spark, sf_dir))).select("domain", (u["allowed"] + F.size(u["ignored"])).alias("reachable"), u["total"].alias("total"))
+    return checks.crawler_facts(site_verdicts(B.sites(spark, sf_dir))).select("domain", (u["allowed"] + F.size(u["ignored"])).alias("reachable"), u["total"].alias("total"))
 
 
 @query(f"WITH {_SCORED} SELECT domain, round(100 * raw)::BIGINT AS raw_x100, round(100 * final)::BIGINT AS final_x100, {_LETTER.format('final')} AS letter, CASE WHEN raw > cap THEN cap ELSE 0 END::INT AS cap FROM fa")
 def access_score(spark, sf_dir):
     s, v, r = audited(spark, sf_dir, ACCESS)
-    out = scoring.scores(s, r, scoring.caps(v, site_blanket(spark, sf_dir, s))).where("category = 'access'")
+    out = scoring.scores(s, r, scoring.caps(v, site_blanket(s))).where("category = 'access'")
     cap = F.when(F.col("cap_applied").isNotNull(), F.col("final").cast("int")).otherwise(0)
     return out.select("domain", F.round(100 * F.col("raw")).cast("long").alias("raw_x100"), F.round(100 * F.col("final")).cast("long").alias("final_x100"), "letter", cap.alias("cap"))
 
@@ -425,7 +425,7 @@ def score_gate(spark, sf_dir):
 @query(f"""WITH {_SITE_VERDICTS} SELECT domain, count(*) FILTER (WHERE ai_only AND NOT allowed) AS ai_only_blocked, bool_and(NOT allowed) FILTER (WHERE ai_only) AND bool_and(allowed) FILTER (WHERE token IN ('Googlebot', 'Bingbot')) AS ai_blackout,
  NOT bool_and(allowed) FILTER (WHERE token = 'OAI-SearchBot') AS blocks_oai_searchbot, NOT bool_and(allowed) FILTER (WHERE token = 'GPTBot') AS blocks_gptbot FROM sv GROUP BY domain""")
 def ai_blackout(spark, sf_dir):
-    return study.crawler_facts(site_verdicts(spark, sf_dir, B.sites(spark, sf_dir))).drop("training_posture")
+    return study.crawler_facts(site_verdicts(B.sites(spark, sf_dir))).drop("training_posture")
 
 
 # ---- reports ------------------------------------------------------------------------------------------------------------
@@ -451,8 +451,8 @@ def robots_additions(spark, sf_dir):
 @query()
 def payload_json(spark, sf_dir):
     s, p, v, r, scores = site_scores(spark, sf_dir)
-    said = s.select("domain", "robots_id").join(B.site_bodies(spark, sf_dir), "robots_id").select("domain", "body")
-    made = report.payload(s.join(site_blanket(spark, sf_dir, s), "domain"), report.check_rows(s, r), scores, v, p, report.additions(r), declared=said)
+    said = s.select("domain", "robots_id").join(B.site_bodies(s), "robots_id").select("domain", "body")
+    made = report.payload(s.join(site_blanket(s), "domain"), report.check_rows(s, r), scores, v, p, report.additions(r), declared=said)
     return made.select("domain", "n_checks", F.regexp_replace("payload", '"generated_at":"[^"]*"', '"generated_at":""').alias("payload"))
 
 
@@ -606,7 +606,8 @@ def manifest_fingerprint(spark, sf_dir):
 @query(f"""SELECT domain, CASE WHEN robots_real THEN '200' ELSE '404' END AS robots_status, CASE WHEN robots_real THEN sha256(body) ELSE '' END AS robots_sha256, CASE WHEN robots_real THEN strlen(body)::VARCHAR ELSE '' END AS robots_bytes
 FROM (WITH {_SITES},{B.SQL_BODIES} SELECT s.domain, s.robots_real, r.body FROM s JOIN r USING (robots_id))""")
 def robots_manifest(spark, sf_dir):
-    s = B.sites(spark, sf_dir).join(B.site_bodies(spark, sf_dir), "robots_id")
+    s = B.sites(spark, sf_dir)
+    s = s.join(B.site_bodies(s), "robots_id")
     own = s.select("domain", F.lit(1).alias("pos"), F.concat("base_url", F.lit("/robots.txt")).alias("url"), F.col("robots_status").alias("status"), F.lit(None).cast("string").alias("error"), F.col("body").alias("text"), F.lit("2024-01-01T00:00:00").alias("fetched_at"), F.lit("scored").alias("outcome"))
     home = own.withColumns({"pos": F.lit(0), "url": F.regexp_replace("url", "robots.txt$", ""), "text": F.lit("home")})
     return manifest.manifest(own.unionByName(home)).select("domain", "robots_status", "robots_sha256", "robots_bytes")

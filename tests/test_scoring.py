@@ -82,7 +82,7 @@ def test_a_failing_check_is_an_error_of_its_site_alone(spark, sf_dir, monkeypatc
     """At every other site the check gives a ratio of 3, which stops nothing else."""
     sites = bridge.sites(spark, sf_dir)
     pages = catalogue.featured(spark, sf_dir)
-    verdicts = catalogue.site_verdicts(spark, sf_dir, sites)
+    verdicts = catalogue.site_verdicts(sites)
     sound = checks.CHECKS["llms_txt"]
     broken = lambda c: (F.when(F.length("domain") % 2 == 0, 3.0).when(F.length("domain") % 3 == 0, F.lit(None)).otherwise(sound[0](c)[0]), *sound[0](c)[1:])
     monkeypatch.setitem(checks.CHECKS, "llms_txt", (broken, sound[1]))
