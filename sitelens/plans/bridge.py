@@ -51,6 +51,8 @@ SNIPPETS = [
     ('<dl><dt>a</dt><dd>b</dd></dl><blockquote>c <cite>d</cite></blockquote><time datetime="2024-01-01">e</time><span class="byline">f</span>', "", 0, 0, True, True, "", "", "000110", "", False),
     ('<meta name="robots" content="noindex, follow"><h2>What?</h2><p>This.</p><h2>Why?</h2><p>That.</p>', "", 0, 0, False, False, "", "22", "001000", "", True),
 ]
+#: words of a snippet in blocks of its own, and in scripts that an unclosed paragraph before it would hold
+SNIPPET_WORDS = [(0, 0), (0, 1), (0, 1), (0, 2), (0, 0), (0, 0), (0, 0), (4, 0), (3, 0), (3, 0), (4, 0), (2, 0)]
 X_ROBOTS = {5: "googlebot: noindex, nofollow", 6: "max-image-preview:large"}
 LLMS = [None, "soon", "# Site\n" + "- [page](https://a.example/page): what it says\n" * 4]
 SITEMAP_KINDS = 4

@@ -406,11 +406,44 @@ def readability_checks(spark, sf_dir):
     return audited(spark, sf_dir, named)[2].select("domain", "check_id", F.round(1_000_000 * F.col("ratio")).cast("long").alias("millionths"))
 
 
-@query()
+def _words(x: str) -> str:
+    return rf"len(list_filter(string_split_regex(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\s+'), lambda w: w <> ''))"
+
+
+#: words of the blocks of each page (a: of the largest section, t: of all), read by patterns: lists before the article, what the article
+#: holds beside its headings, and the snippet, of which the one without a heading belongs to the article's section
+_BLOCKS = rf"""
+b0 AS (SELECT page_id, contains(html, '</article>') AS has, regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs') AS clean FROM pages),
+b1 AS (SELECT page_id, has, array_to_string(regexp_extract_all(clean, '<ul>(.*?)</ul>', 1, 's'), ' ') AS lists, regexp_replace(split_part(regexp_extract(clean, '<article>(.*)', 1, 's'), '</article>', 1), '<h[1-6][^>]*>.*?</h[1-6]>', ' ', 'gs') AS art FROM b0),
+b2 AS (SELECT page_id, {_words('lists')} AS lists, {_words('art')} + CASE WHEN has AND NOT regexp_matches(art, '</p>\s*$') THEN w.held + CASE WHEN page_id % {len(B.MARKS)} = 4 AND k < 7 THEN 1 ELSE 0 END ELSE 0 END AS art, CASE WHEN has THEN w.blocks ELSE 0 END AS blocks, k
+       FROM b1 JOIN {B.values([(i, *w) for i, w in enumerate(B.SNIPPET_WORDS)], 'w', 'k, blocks, held')} ON w.k = page_id % {len(B.SNIPPET_WORDS)}),
+bw AS (SELECT page_id, greatest(lists, art + CASE WHEN k = 10 THEN blocks ELSE 0 END)::DOUBLE AS a, (lists + art + blocks)::DOUBLE AS t FROM b2)"""
+_ANSWERS = f"""{_BLOCKS},
+an_ AS (SELECT domain, avg(CASE WHEN t < {K.WORDS_TO_JUDGE} OR a <= {K.WELL_SECTIONED} * t THEN 1 WHEN a >= {K.ONE_BLOCK} * t THEN 0 ELSE ({K.ONE_BLOCK} - a / t) / ({K.ONE_BLOCK} - {K.WELL_SECTIONED}) END) AS citable,
+        {' + '.join(f"bool_or(has AND substr(shapes, {k + 1}, 1) = '1')::INT" for k in range(len(checks.SHAPES)))} AS found FROM p JOIN bw USING (page_id) WHERE status = 200 GROUP BY domain),
+aw AS (SELECT s.domain, coalesce(CASE WHEN found >= {K.SHAPES_WANTED} AND citable = 1 THEN 1 ELSE {K.SHAPE_SHARE} * least(found, {K.SHAPES_WANTED}) / {K.SHAPES_WANTED} + {K.CITABLE_SHARE} * citable END, 0) AS answers FROM s LEFT JOIN an_ USING (domain))"""
+
+
+@query(f"WITH {_SITES},{_ANSWERS} SELECT domain, round(1000000 * answers)::BIGINT AS millionths FROM aw")
+def answer_shaped_check(spark, sf_dir):
+    return audited(spark, sf_dir, ("answer_shaped_content",))[2].select("domain", F.round(1_000_000 * F.col("ratio")).cast("long").alias("millionths"))
+
+
+_READABLE = f"""{_READABILITY},{_ANSWERS},
+rs AS (SELECT rd.domain, round_even(round(CASE WHEN n = 0 THEN 0 ELSE 30 * raw4 / (4.0 * n) + 20.0 * jl / n + 15 * hd / (10.0 * n) + 10 * (0.5 * t2 / (2.0 * n) + 0.3 * d2 / (2.0 * n) + CASE WHEN uni THEN 0.2 ELSE 0 END) + 10 * ad / (2.0 * n) + 5.0 * ca / n + 5 * answers END
+       + CASE WHEN length(trim(coalesce(s.llms, ''), chr(10) || ' ')) >= {K.LLMS_CHARS} THEN 5 ELSE 0 END, 9), 2)::DOUBLE AS raw FROM rd JOIN aw USING (domain) JOIN s USING (domain))"""
+
+
+@query(f"WITH {_READABLE} SELECT domain, raw, {_LETTER.format('raw')} AS letter FROM rs")
 def readability_score(spark, sf_dir):
     return site_scores(spark, sf_dir)[4].where("category = 'readability'").select("domain", "raw", "letter")
 
 
+@query(f"WITH {_READABLE} SELECT {_LETTER.format('raw')} AS letter, count(*) AS sites FROM rs GROUP BY 1")
+def readability_histogram(spark, sf_dir):
+    return readability_score(spark, sf_dir).groupBy("letter").agg(F.count("*").alias("sites"))
+
+
 @query(f"WITH {_SCORED} SELECT letter, count(*) AS sites FROM (SELECT {_LETTER.format('final')} AS letter FROM fa) GROUP BY letter")
 def grade_histogram(spark, sf_dir):
     return access_score(spark, sf_dir).groupBy("letter").agg(F.count("*").alias("sites"))
