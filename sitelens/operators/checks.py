@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens import constants as K
@@ -127,13 +127,18 @@ def crawler_facts(verdicts: DataFrame) -> DataFrame:
 
 
 CHECKS: dict[str, tuple[Callable, dict[str, Callable[[], Column]]]] = {}
+#: What a check says of a page that fails it; null of one that doesn't. The first SHOWN pages of a site are found as `told`.
+FAULTS: dict[str, Callable[[], Column]] = {}
+SHOWN = 4
 
 
-def check(check_id: str, **aggregates: Callable[[], Column]):
+def check(check_id: str, fault: Callable[[], Column] | None = None, **aggregates: Callable[[], Column]):
     """Registers a check; its aggregates are taken by domain and found under their names, after the check's."""
 
     def register(f: Callable) -> Callable:
         CHECKS[check_id] = (f, aggregates)
+        if fault:
+            FAULTS[check_id] = fault
         return f
 
     return register
@@ -149,10 +154,14 @@ def remedy(needed: Column, summary: Column | str, snippet: Column | str = "") ->
     return F.when(needed, F.struct(said(summary).alias("summary"), said(snippet).alias("snippet")))
 
 
-def first_four(condition: Column, text: Column) -> Column:
-    """The texts of the first four pages that meet the condition, in page order."""
-    listed = F.array_sort(F.collect_list(F.when(condition, F.struct(F.col("pos"), text.alias("text")))))
-    return F.array_join(F.transform(F.slice(listed, 1, 4), lambda x: x["text"]), "; ")
+def first_faults(pages: DataFrame, wanted: list[str]) -> DataFrame:
+    """domain and, for each of these checks, `<check>__told`: what is said of the first SHOWN pages that fail it, in page order.
+    The rank is limited before the shuffle, so a site of many faulty pages sends SHOWN rows a task and check."""
+    said = F.explode(F.array(*[F.struct(F.lit(i).alias("check_id"), FAULTS[i]().alias("text")) for i in wanted]))
+    order = Window.partitionBy("domain", "check_id").orderBy("pos", "text")
+    first = pages.select("domain", "pos", said.alias("x")).select("domain", "pos", "x.*").where("text IS NOT NULL").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SHOWN)
+    listed = lambda i: F.array_sort(F.collect_list(F.when(F.col("check_id") == i, F.struct("k", "text"))))
+    return first.groupBy("domain").agg(*(F.array_join(F.transform(listed(i), lambda x: x["text"]), "; ").alias(f"{i}__told") for i in wanted))
 
 
 def ok200() -> Column:
@@ -188,10 +197,10 @@ def page_wall() -> Column:
     return wall_reason(F.col("status"), F.col("url"), F.col("f.has_password"), F.col("f.text_chars"))
 
 
-@check("pages_reachable", n=lambda: F.count_if(F.col("_wall").isNull()), weak=lambda: first_four(F.col("_wall").isNotNull(), F.concat(F.col("url"), F.lit(" ("), F.col("_wall"), F.lit(")"))))
+@check("pages_reachable", n=lambda: F.count_if(F.col("_wall").isNull()), fault=lambda: F.concat(F.col("url"), F.lit(" ("), F.col("_wall"), F.lit(")")))
 def reachable(c):
     n, total = c("n"), F.col("pages")
-    return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages can be read without an account. "), c("weak")), remedy(n < total, "Serve these pages to a client without an account."), F.struct(n.alias("open"), total.alias("pages"))
+    return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages can be read without an account. "), c("told")), remedy(n < total, "Serve these pages to a client without an account."), F.struct(n.alias("open"), total.alias("pages"))
 
 
 @check("sitemap_available")
@@ -209,17 +218,17 @@ def page_noindex() -> Column:
     return noindex_reasons(F.col("headers"), F.col("f.metas"))
 
 
-@check("no_noindex", n=lambda: F.count_if(F.size(F.col("_noindex")) == 0), weak=lambda: first_four(F.size(F.col("_noindex")) > 0, F.concat(F.col("url"), F.lit(" ("), F.array_join(F.col("_noindex"), ", "), F.lit(")"))))
+@check("no_noindex", n=lambda: F.count_if(F.size(F.col("_noindex")) == 0), fault=lambda: F.when(F.size(F.col("_noindex")) > 0, F.concat(F.col("url"), F.lit(" ("), F.array_join(F.col("_noindex"), ", "), F.lit(")"))))
 def noindex(c):
     n, total = c("n"), F.col("pages")
-    return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages may be indexed. "), c("weak")), remedy(n < total, "Take the noindex directive off pages that are meant to be found."), F.struct(n.alias("clean"), total.alias("pages"))
+    return F.coalesce(F.try_divide(n, total), F.lit(0.0)), F.when(total == 0, "warning").otherwise(_graded(n, total)), F.concat(of(n, total), F.lit(" pages may be indexed. "), c("told")), remedy(n < total, "Take the noindex directive off pages that are meant to be found."), F.struct(n.alias("clean"), total.alias("pages"))
 
 
 def page_raw() -> Column:
     return raw_html_score(F.col("f.text_chars"), F.col("f.script_chars"))
 
 
-@check("raw_html_content", ratio=lambda: mean(F.col("_raw")), weak=lambda: F.count_if(ok200() & (F.col("_raw") < 1)), told=lambda: first_four(ok200() & (F.col("_raw") < 1), F.concat(F.col("url"), F.lit(" ("), F.col("f.text_chars").cast("string"), F.lit(" characters of text)"))))
+@check("raw_html_content", ratio=lambda: mean(F.col("_raw")), weak=lambda: F.count_if(ok200() & (F.col("_raw") < 1)), fault=lambda: F.when(ok200() & (F.col("_raw") < 1), F.concat(F.col("url"), F.lit(" ("), F.col("f.text_chars").cast("string"), F.lit(" characters of text)"))))
 def raw_html(c):
     severity = F.when(c("weak") == 0, "ok").when(c("ratio") < 0.34, "critical").otherwise("warning")
     return c("ratio"), severity, F.concat(of(F.col("readable") - c("weak"), F.col("readable")), F.lit(" pages carry their text in the HTML that is sent. "), c("told")), remedy(c("weak") > 0, "Render the text on the server."), F.struct(c("weak").alias("weak"))
@@ -240,7 +249,7 @@ def page_outline() -> Column:
     return heading_score(F.transform("f.headings", lambda h: h["level"]))
 
 
-@check("heading_structure", ratio=lambda: mean(F.col("_outline")), weak=lambda: F.count_if(ok200() & (F.col("_outline") < 1)), told=lambda: first_four(ok200() & (F.col("_outline") < 1), F.col("url")))
+@check("heading_structure", ratio=lambda: mean(F.col("_outline")), weak=lambda: F.count_if(ok200() & (F.col("_outline") < 1)), fault=lambda: F.when(ok200() & (F.col("_outline") < 1), F.col("url")))
 def headings(c):
     severity = F.when(c("weak") == 0, "ok").when(c("ratio") < 0.5, "warning").otherwise("info")
     return c("ratio"), severity, F.concat(of(F.col("readable") - c("weak"), F.col("readable")), F.lit(" pages have one h1 and skip no level. "), c("told")), remedy(c("weak") > 0, "Use one h1 and go down one level at a time."), F.struct(c("weak").alias("weak"))
@@ -255,7 +264,7 @@ def page_title() -> Column:
     t=lambda: mean(F.col("_title_score")),
     d=lambda: mean(F.col("_description_score")),
     titles=lambda: F.count(F.col("_title")),
-    distinct=lambda: F.size(F.collect_set(F.col("_title"))),
+    distinct=lambda: F.count_distinct(F.col("_title")),
     odd=lambda: F.count_if(~F.length(F.col("_title")).between(*K.TITLE_RANGE)),
     plain=lambda: F.count_if(ok200() & (F.col("f.description") == "")),
 )
@@ -277,7 +286,7 @@ def page_canonical() -> Column:
     return canonical_fault(F.col("f.canonical"), F.col("url"))
 
 
-@check("canonical", n=lambda: F.count_if(ok200() & F.col("_canonical").isNull()), told=lambda: first_four(ok200() & F.col("_canonical").isNotNull(), F.concat(F.col("url"), F.lit(" ("), F.col("_canonical"), F.lit(")"))))
+@check("canonical", n=lambda: F.count_if(ok200() & F.col("_canonical").isNull()), fault=lambda: F.when(ok200() & F.col("_canonical").isNotNull(), F.concat(F.col("url"), F.lit(" ("), F.col("_canonical"), F.lit(")"))))
 def canonical(c):
     full = c("n") == F.col("readable")
     return F.try_divide(c("n"), F.col("readable")), F.when(full, "ok").otherwise("warning"), F.concat(of(c("n"), F.col("readable")), F.lit(" pages name a canonical address on their own host. "), c("told")), remedy(~full, "Add a canonical link to each page, on its own host."), F.struct(c("n").alias("sound"))
@@ -339,10 +348,15 @@ def attempted(sites: DataFrame, pages: DataFrame, verdicts: DataFrame, only: tup
     """domain, pos, check_id, category, ratio, severity, evidence, fix, details, error (null unless the check failed) for every site
     and check (or those named).
 
-    sites: domain, declared, reachable, llms. pages and verdicts are grouped by domain once each."""
+    sites: domain, declared, reachable, llms. pages are read twice (for counts, and for the pages that faults are shown of), so they
+    are kept or written; nothing gathers all pages of a site."""
     wanted = [(k, c, i) for k, (c, i, _) in enumerate(K.RUBRIC) if not only or i in only]
     aggregates = [a().alias(f"{i}__{n}") for _, _, i in wanted for n, a in CHECKS[i][1].items()]
-    per_site = pages.withColumns({n: c() for n, c in PAGE.items()}).groupBy("domain").agg(F.count("*").alias("pages"), F.count_if(ok200()).alias("readable"), *aggregates)
+    facts = pages.withColumns({n: c() for n, c in PAGE.items()})
+    per_site = facts.groupBy("domain").agg(F.count("*").alias("pages"), F.count_if(ok200()).alias("readable"), *aggregates)
+    shown = [i for _, _, i in wanted if i in FAULTS]
+    if shown:
+        per_site = per_site.join(first_faults(facts, shown), "domain", "left").withColumns({f"{i}__told": F.coalesce(f"{i}__told", F.lit("")) for i in shown})
     row = sites.join(per_site, "domain", "left").join(crawler_facts(verdicts), "domain", "left").withColumn("pages", F.coalesce("pages", F.lit(0))).withColumn("readable", F.coalesce("readable", F.lit(0)))
     made = []
     for k, category, i in wanted:

@@ -59,16 +59,18 @@ def audited(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> tup
     """sites, verdicts and check results."""
     s = B.sites(spark, sf_dir)
     v = kept(site_verdicts(s))
-    return s, v, checks.checks(s, featured(spark, sf_dir), v, only)
+    twice = not only or bool(set(only) & set(checks.FAULTS))
+    return s, v, checks.checks(s, featured(spark, sf_dir, keep=twice), v, only)
 
 
 def site_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """sites, pages, verdicts, check results and scores."""
+    """sites (with blanket), pages, verdicts, check results and scores."""
     s = B.sites(spark, sf_dir)
+    s = kept(s.join(site_blanket(s), "domain"))
     v = kept(site_verdicts(s))
     p = featured(spark, sf_dir, keep=True)
     r = kept(checks.checks(s, p, v))
-    return s, p, v, r, scoring.scores(s, r, scoring.caps(v, site_blanket(s)))
+    return s, p, v, r, scoring.scores(s, r, scoring.caps(v, s.select("domain", "blanket")))
 
 
 ACCESS = tuple(i for c, i, _ in K.RUBRIC if c == "access")
@@ -485,7 +487,7 @@ def robots_additions(spark, sf_dir):
 def payload_json(spark, sf_dir):
     s, p, v, r, scores = site_scores(spark, sf_dir)
     said = s.select("domain", "robots_id").join(B.site_bodies(s), "robots_id").select("domain", "body")
-    made = report.payload(s.join(site_blanket(s), "domain"), report.check_rows(s, r), scores, v, p, report.additions(r), declared=said)
+    made = report.payload(s, report.check_rows(s, r), scores, v, p, report.additions(r), declared=said)
     return made.select("domain", "n_checks", F.regexp_replace("payload", '"generated_at":"[^"]*"', '"generated_at":""').alias("payload"))
 
 

@@ -128,3 +128,18 @@ def test_page_of_crawlers(spark):
     with pytest.raises(ValueError):
         report.rebuilt("# no headings", agents)
     assert set(K.CRAWLER_NOTES) == {a[0] for a in K.AGENTS} and all(a[5] == bool(K.CRAWLER_DOCS.get(a[0], K.VENDOR_DOCS.get(a[1]))) for a in K.AGENTS)
+
+
+def test_the_first_four_faulty_pages_are_shown(spark):
+    """In page order, repeated rows and ties included, however the rows are dealt; a site without faults says nothing."""
+    rows = [("a.example", i, 404 if i % 2 else 200, f"https://a.example/{i}") for i in range(40)] + [("b.example", 0, 200, "https://b.example/"), ("c.example", 3, 404, "https://c.example/y"), ("c.example", 3, 404, "https://c.example/x"), ("c.example", 3, 404, "https://c.example/x"), ("d.example", None, None, None)]
+    pages = spark.createDataFrame(rows, "domain string, pos int, status int, url string").withColumn("_wall", F.when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string"))))
+    for df in (pages, pages.repartition(7)):
+        told = {r[0]: r[1] for r in checks.first_faults(df, ["pages_reachable"]).collect()}
+        assert told == {
+            "a.example": "; ".join(f"https://a.example/{i} (HTTP 404)" for i in (1, 3, 5, 7)),
+            "c.example": "https://c.example/x (HTTP 404); https://c.example/x (HTTP 404); https://c.example/y (HTTP 404)",
+        }
+    plan = checks.first_faults(pages, ["pages_reachable"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert checks.first_faults(pages.limit(0), ["pages_reachable"]).count() == 0
