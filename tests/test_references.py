@@ -35,3 +35,7 @@ def test_numbers_scripts_and_attributes():
 
 def test_page_text_volume(spark, cut_dir):
     oracle.check(spark, cut_dir, catalogue.QUERIES["page_text_volume"], catalogue.ORACLE["page_text_volume"])
+
+
+def test_title_quality(spark, cut_dir):
+    oracle.check(spark, cut_dir, catalogue.QUERIES["title_quality"], catalogue.ORACLE["title_quality"])
