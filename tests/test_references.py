@@ -39,3 +39,7 @@ def test_page_text_volume(spark, cut_dir):
 
 def test_title_quality(spark, cut_dir):
     oracle.check(spark, cut_dir, catalogue.QUERIES["title_quality"], catalogue.ORACLE["title_quality"])
+
+
+def test_stream_audit(spark, cut_dir):
+    oracle.check(spark, cut_dir, catalogue.QUERIES["stream_audit"], catalogue.ORACLE["stream_audit"])
