@@ -41,5 +41,9 @@ def test_title_quality(spark, cut_dir):
     oracle.check(spark, cut_dir, catalogue.QUERIES["title_quality"], catalogue.ORACLE["title_quality"])
 
 
+def test_calibration_summary(spark, cut_dir):
+    oracle.check(spark, cut_dir, catalogue.QUERIES["calibration_summary"], catalogue.ORACLE["calibration_summary"])
+
+
 def test_stream_audit(spark, cut_dir):
     oracle.check(spark, cut_dir, catalogue.QUERIES["stream_audit"], catalogue.ORACLE["stream_audit"])
