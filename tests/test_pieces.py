@@ -25,6 +25,12 @@ def made_dir(spark, tmp_path):
     return make
 
 
+def cut_pages() -> list[str]:
+    """Whole pages, and pages cut at each character of the tags after the article."""
+    tail = len("<footer>end.</footer></body></html>")
+    return [PAGE.format("w " * 30)] + [PAGE.format("w " * (30 + k))[:-k] for k in range(1, tail)]
+
+
 @pytest.mark.parametrize("title", TITLES)
 def test_a_title_is_one_run(title):
     assert page_features(f"<title>{title}</title>", "https://a.example/")["title"] == title.replace("&amp;", "&")
@@ -43,3 +49,8 @@ def test_many_pieces():
 def test_title_quality(spark, made_dir):
     at = made_dir([PAGE.replace("<title>t", f"<title>{t}").format("w") for t in TITLES])
     oracle.check(spark, at, catalogue.QUERIES["title_quality"], catalogue.ORACLE["title_quality"])
+
+
+def test_calibration_summary(spark, made_dir):
+    at = made_dir([*cut_pages(), PAGE.format("w") + "<a hre"])
+    oracle.check(spark, at, catalogue.QUERIES["calibration_summary"], catalogue.ORACLE["calibration_summary"])
