@@ -42,6 +42,10 @@ def test_tags_and_comments_part_runs():
     assert page_features("<script>if(a<3&&b<4&amp)c</script>", "")["script_chars"] == len("if(a<3&&b<4&amp)c")
 
 
+def test_an_unknown_section_is_a_comment():
+    assert [Tree(f"<p>a{x}b").root.texts() for x in ("<![c[d]]>", "<![1]>", "<![endif]>")] == ["a b"] * 3
+
+
 def test_many_pieces():
     assert len(Tree("<" * 300_000).root.texts()) == 300_000
 
@@ -54,3 +58,7 @@ def test_title_quality(spark, made_dir):
 def test_calibration_summary(spark, made_dir):
     at = made_dir([*cut_pages(), PAGE.format("w") + "<a hre"])
     oracle.check(spark, at, catalogue.QUERIES["calibration_summary"], catalogue.ORACLE["calibration_summary"])
+
+
+def test_stream_audit(spark, made_dir):
+    oracle.check(spark, made_dir(cut_pages()), catalogue.QUERIES["stream_audit"], catalogue.ORACLE["stream_audit"])
